@@ -111,7 +111,8 @@ def as_markdown(blocks: Column) -> Column:
                 .when(b.kind == "row", F.concat(F.lit("| "), b.text, F.lit(" |")))
                 .otherwise(b.text))
     table = F.exists(blocks, lambda b: b.kind == "header")
-    return F.array_join(F.transform(blocks, one), F.when(table, F.lit("\n")).otherwise(F.lit("\n\n")))
+    parts = F.transform(blocks, one)
+    return F.when(table, F.array_join(parts, "\n")).otherwise(F.array_join(parts, "\n\n"))
 
 
 def as_html(blocks: Column) -> Column:

@@ -60,6 +60,11 @@ def on_file(convert: Callable) -> Converter:
     return port
 
 
+def _instant(epoch: float) -> pd.Timestamp:
+    """A POSIX time to the microsecond, which is what a timestamp column holds."""
+    return pd.Timestamp(int(epoch * 1_000_000), unit="us")
+
+
 def _attempt(convert: Converter, data: bytes, name: str, options: dict, resources) -> tuple:
     """(files, versions, error) of one document; a failure is a result, not an exception."""
     try:
@@ -139,7 +144,7 @@ def convert_documents(documents: DataFrame, backend: str, convert: Converter,
                     seconds = round(time.perf_counter() - clock, 3)
                     files, versions, error = done
                     rows.append((row.path, row.name, backend, error is None, error, seconds,
-                                 pd.Timestamp(started, unit="s"), pd.Timestamp(started + seconds, unit="s"),
+                                 _instant(started), _instant(started + seconds),
                                  [{"name": n, "body": b} for n, b in files or []], versions or {}))
                     size += sum(len(b) for _, b in files or [])
                     if size > _OUT_BYTES:

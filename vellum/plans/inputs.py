@@ -298,9 +298,15 @@ samples AS (
 """
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queued jobs, some of them none the intake would have made."""
-    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def jobs(e: DataFrame) -> DataFrame:
+    """Events as queued jobs, some of them none the intake would have made; a job's document is its props."""
+    i = F.col("event_id")
     path = F.concat(F.lit(ROOT + "/u"), "user_id", F.lit("/e"), "event_id", F.lit(".pdf"))
     no = F.lit(None).cast("string")
     names = F.expr("cast(null as array<string>)")
@@ -319,12 +325,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.create_map(F.lit("input_root"), F.lit(ROOT))).alias("kwargs"),
         F.when(i % 29 == 0, F.lit("canary")).alias("callback"),
         F.when(i % 31 == 0, F.array(F.lit("http://h/x"))).otherwise(names).alias("webhooks"),
-        F.when(i % 67 == 0, F.array(F.lit("j0"))).otherwise(names).alias("depends_on"))
+        F.when(i % 67 == 0, F.array(F.lit("j0"))).otherwise(names).alias("depends_on"),
+        F.col("props").cast("binary").alias("content"))
 
 
 JOBS_SQL = """
 jobs AS (
-  SELECT user_id || '-' || event_id AS job_id, event_id AS i, ts, user_id,
+  SELECT user_id || '-' || event_id AS job_id, event_id AS i, ts, user_id, props,
     CASE WHEN event_id % 19 = 0 THEN '/data/input/../../etc/passwd' ELSE '/data/input/u' || user_id || '/e' || event_id || '.pdf' END AS path,
     CASE WHEN event_id % 23 = 0 THEN 'names ''os.system'', not convert_document'
          WHEN event_id % 53 = 0 THEN 'arguments are not a path and an options dict'
@@ -342,9 +349,42 @@ jobs AS (
 """
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(e: DataFrame) -> DataFrame:
+    """Events as request bodies: some leave fields out, some may not be queued."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    body = F.concat(
+        F.lit('{"path":"'), F.when(kind == "error", F.lit(ROOT + "/../secret/")).otherwise(F.lit(ROOT + "/")),
+        F.lit("u"), "user_id", F.lit("/e"), i, F.lit('.pdf"'),
+        F.when(kind == "click", F.when(F.col("value") < 5, F.lit(',"output_format":"pdf"')).otherwise(F.lit(',"output_format":"json"')))
+        .otherwise(F.lit("")),
+        F.when(kind == "view", F.concat(F.lit(',"page_range":" 0-'), F.get_json_object("props", "$.k"), F.lit('"'),
+                                        F.when(F.col("value") < 5, F.lit(',"use_llm":true')).otherwise(F.lit(',"force_ocr":true'))))
+        .otherwise(F.lit("")),
+        F.when(kind == "signup", F.when(F.col("value") < 5, F.lit(',"output_dir":"/tmp"')).otherwise(F.lit(',"output_dir":"/data/output/x"')))
+        .otherwise(F.lit("")), F.lit("}"))
+    return e.select(F.concat(F.lit("r"), i).alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
+
+
+REQUESTS_SQL = """
+requests AS (
+  SELECT 'r' || event_id AS job_id, event_type AS kind, value, (props->>'$.k')::INT AS k, '/data/input/u' || user_id || '/e' || event_id || '.pdf' AS path,
+    CASE WHEN event_type = 'error' THEN 'path must be under /data/input'
+         WHEN event_type = 'signup' AND value < 5 THEN 'output_dir must be under /data/output'
+         WHEN event_type = 'click' AND value < 5 THEN 'output_format must be one of markdown, json, html, chunks'
+         WHEN event_type = 'view' AND value < 5 THEN 'use_llm was requested but no LLM is configured' END AS error
+  FROM events),
+taken AS (
+  SELECT job_id, error, CASE WHEN error IS NULL THEN path END AS path,
+    CASE WHEN error IS NULL THEN CASE kind WHEN 'view' THEN 1800 + 180 * (k + 1) ELSE 21600 END END::BIGINT AS timeout,
+    CASE WHEN error IS NULL THEN '{"output_format":"' || CASE kind WHEN 'click' THEN 'json' ELSE 'markdown' END
+      || '","output_dir":"/data/output' || CASE kind WHEN 'signup' THEN '/x' ELSE '' END || '"'
+      || CASE kind WHEN 'view' THEN ',"force_ocr":true,"page_range":"0-' || k || '"' ELSE '' END || '}' END AS options
+  FROM requests)
+"""
+
+
+def job_events(e: DataFrame) -> DataFrame:
     """State changes of one job per user."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     status = (F.when(F.col("event_type") == "signup", F.lit("queued")).when(F.col("event_type") == "view", F.lit("started"))
               .when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("finished")))
     return e.select(

@@ -11,6 +11,8 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
+        if run.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {run.__name__}")
         QUERIES[run.__name__] = run
         if sql:
             ORACLES[run.__name__] = sql

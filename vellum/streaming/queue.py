@@ -1,6 +1,5 @@
 """The job queue as Structured Streaming: intake, admission, conversion, status, expiry."""
 
-import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,40 +89,40 @@ def read_status(spark: SparkSession, table: str, schema) -> DataFrame:
 
 
 class _Expiry(StatefulProcessor):
-    """One job's latest state, and a timer that ends it `ttl` after it finished or failed."""
+    """One job's latest state, and a timer that ends it `ttl` seconds after it finished or failed."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("latest", "ts timestamp, seq long, status string, expires long")
+        self.state = handle.getValueState("latest", "ms long, seq long, status string, expires long")
 
-    def _row(self, key, status, ts):
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "ts": [ts]})
+    @staticmethod
+    def _row(key, status, ms):
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "ms": [ms]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        best = (pd.Timestamp(held[0]), held[1], held[2]) if held else None
+        best = tuple(held[:3]) if held else None
         for batch in rows:
-            last = batch.sort_values(["ts", "seq"]).iloc[-1]
-            seen = (pd.Timestamp(last["ts"]), int(last["seq"]), last["status"])
+            last = batch.sort_values(["ms", "seq"]).iloc[-1]
+            seen = (int(last["ms"]), int(last["seq"]), last["status"])
             if best is None or seen[:2] > best[:2]:
                 best = seen
         if held and held[3] >= 0:
             self.handle.deleteTimer(held[3])
         expires = -1
         if best[2] in J.TERMINAL:
-            expires = int(best[0].timestamp() * 1000) + self.ttl * 1000
+            expires = best[0] + self.ttl * 1000
             self.handle.registerTimer(expires)
-        self.state.update((best[0].to_pydatetime(), best[1], best[2], expires))
-        if held is None or held[2] != best[2]:
+        self.state.update((*best, expires))
+        if held is None or tuple(held[:3]) != best:
             yield self._row(key, best[2], best[0])
 
     def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        at = datetime.datetime.fromtimestamp(expired.getExpiryTimeInMs() / 1000, datetime.timezone.utc)
         self.state.clear()
-        yield self._row(key, "expired", pd.Timestamp(at).tz_localize(None))
+        yield self._row(key, "expired", expired.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -136,9 +135,10 @@ def result_expiry(events: DataFrame, ttl: int = fixed.RESULT_TTL, lateness: str
     state held is bounded by the jobs of one lifetime. State lives in RocksDB.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return (events.withWatermark("ts", lateness).groupBy("job_id")
-            .transformWithStateInPandas(_Expiry(ttl), "job_id string, status string, ts timestamp",
-                                        "Append", "EventTime"))
+    timed = events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
+    changes = timed.groupBy("job_id").transformWithStateInPandas(
+        _Expiry(ttl), "job_id string, status string, ms bigint", "Append", "EventTime")
+    return changes.select("job_id", "status", F.timestamp_millis("ms").alias("ts"))
 
 
 def job_dedup(jobs: DataFrame, within: str = "1 day") -> DataFrame:
