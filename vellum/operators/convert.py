@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vellum import fixed
 from vellum.functions import paths as P
+from vellum.sources.tree import open_store
 
 Converter = Callable[[bytes, str, dict, object], tuple[dict[str, bytes], dict[str, str]]]
 
@@ -79,15 +80,16 @@ def _attempt(convert: Converter, data: bytes, name: str, options: dict, resource
 class _Helper:
     """A child process that converts one document after another and can be ended at a deadline."""
 
-    def __init__(self, convert, resources):
+    def __init__(self, convert, load):
         context = multiprocessing.get_context("fork")
         self.pipe, end = context.Pipe()
-        self.child = context.Process(target=self._serve, args=(end, convert, resources), daemon=True)
+        self.child = context.Process(target=self._serve, args=(end, convert, load), daemon=True)
         self.child.start()
         end.close()
 
     @staticmethod
-    def _serve(pipe, convert, resources):
+    def _serve(pipe, convert, load):
+        resources = load() if load else None
         while True:
             try:
                 data, name, options = pipe.recv()
@@ -110,42 +112,67 @@ class _Helper:
         self.child.join()
 
 
-def convert_documents(documents: DataFrame, backend: str, convert: Converter,
-                      load: Callable[[], object] | None = None, deadlines: bool = False) -> DataFrame:
-    """`documents(path, name, content, options[, timeout])` converted in bulk, one result row each.
+def _read(path: str) -> bytes:
+    store, local = open_store(path)
+    with store.open_input_stream(local) as source:
+        return source.read()
+
 
-    `options` is a map; the caller's output_dir is dropped, since where files end up is the
-    sink's business. With `deadlines` each row has its own `timeout` in seconds and its
-    document is ended when it is over. The name is made safe first and keeps its
-    extension, by which converters choose a reader.
+def convert_documents(documents: DataFrame, backend: str, convert: Converter,
+                      load: Callable[[], object] | None = None, deadlines: bool = False,
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """`documents(path, name[, content][, options][, timeout])` converted in bulk, one result row each.
+
+    Without `content` the task that converts a document reads it from its `path`, so bodies
+    never travel with the plan. `options` is a map; the caller's output_dir is dropped,
+    since where files end up is the sink's business. With `deadlines` each row has its own
+    `timeout` in seconds and its document is ended when it is over. The name is made safe
+    first and keeps its extension, by which converters choose a reader. Columns in `keep`
+    come back beside the result, which saves joining it to its input.
     """
+    given = set(documents.columns)
+    sent = F.col("options") if "options" in given else F.lit(None).cast("map<string,string>")
     wanted = documents.select(
-        "path", P.safe_name(F.col("name")).alias("name"), "content",
-        F.map_filter(F.coalesce("options", F.expr("cast(map() as map<string,string>)")),
+        "path", P.safe_name(F.col("name")).alias("name"),
+        *(["content"] if "content" in given else []),
+        F.map_filter(F.coalesce(sent, F.expr("cast(map() as map<string,string>)")),
                      lambda k, _: k != "output_dir").alias("options"),
-        *(["timeout"] if deadlines else []))
+        *(["timeout"] if deadlines else []),
+        *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = [f"keep_{c}" for c in keep]
+    held = "content" in given
+
+    def attempt(convert_one, row, options):
+        try:
+            data = bytes(row.content) if held else _read(row.path)
+        except Exception as exc:  # noqa: BLE001 - an unreadable document is that document's failure
+            return None, None, f"{type(exc).__name__}: {exc}"
+        return convert_one(data, options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resources, helper = _resources(backend, load), None
+        resources, helper = (None if deadlines else _resources(backend, load)), None
         rows, size = [], 0
         try:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    data, options = bytes(row.content if row.content is not None else b""), dict(row.options)
                     started, clock = time.time(), time.perf_counter()
                     if deadlines:
-                        helper = helper or _Helper(convert, resources)
-                        done, alive = helper.run(data, row.name, options, row.timeout)
+                        helper = helper or _Helper(convert, load)
+                        done, alive = attempt(
+                            lambda d, o: helper.run(d, row.name, o, row.timeout), row, dict(row.options)), True
+                        if len(done) == 2:
+                            done, alive = done
                         if not alive:
                             helper.close()
                             helper = None
                     else:
-                        done = _attempt(convert, data, row.name, options, resources)
+                        done = attempt(lambda d, o: _attempt(convert, d, row.name, o, resources), row, dict(row.options))
                     seconds = round(time.perf_counter() - clock, 3)
                     files, versions, error = done
                     rows.append((row.path, row.name, backend, error is None, error, seconds,
                                  _instant(started), _instant(started + seconds),
-                                 [{"name": n, "body": b} for n, b in files or []], versions or {}))
+                                 [{"name": n, "body": b} for n, b in files or []], versions or {},
+                                 *(getattr(row, k) for k in kept)))
                     size += sum(len(b) for _, b in files or [])
                     if size > _OUT_BYTES:
                         yield pd.DataFrame(rows, columns=columns)
@@ -156,8 +183,9 @@ def convert_documents(documents: DataFrame, backend: str, convert: Converter,
             if helper:
                 helper.close()
 
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    return wanted.mapInPandas(run, RESULT)
+    columns = [c.split()[0] for c in RESULT.split(", ")] + list(keep)
+    schema = RESULT + "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in keep)
+    return wanted.mapInPandas(run, schema)
 
 
 def spread_by_cost(documents: DataFrame, cost: str, key: str, per_task: float) -> DataFrame:

@@ -116,11 +116,21 @@ def requested_present(requested: DataFrame, present: DataFrame) -> DataFrame:
         "status", F.when(F.col("_there"), F.lit("present")).otherwise(F.lit("missing"))).drop("_there")
 
 
-def input_root(files: DataFrame) -> DataFrame:
-    """One row: the common parent folder of all files."""
+def input_root(files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """One row: the root that output mirrors. One folder given is its own root; otherwise it
+    is the common parent folder of all files."""
     parts = F.split(P.parent(F.col("path")), "/")
-    return files.agg(F.min(parts).alias("_first"), F.max(parts).alias("_last")).select(
-        F.array_join(P.common_prefix(F.col("_first"), F.col("_last")), "/").alias("input_root"))
+    shared = files.agg(F.min(parts).alias("_first"), F.max(parts).alias("_last")).select(
+        F.lit(1).alias("_one"), F.array_join(P.common_prefix(F.col("_first"), F.col("_last")), "/").alias("shared"))
+    if requested is None:
+        return shared.select(F.col("shared").alias("input_root"))
+    asked = requested.select(P.normalise(F.col("path")).alias("asked"))
+    only = asked.agg(F.count(F.lit(1)).alias("_n"), F.max("asked").alias("only")).withColumn("_one", F.lit(1))
+    is_file = files.select(P.normalise(F.col("path")).alias("only")).join(
+        only.where(F.col("_n") == 1), "only", "left_semi").agg((F.count(F.lit(1)) > 0).alias("_file")).withColumn(
+        "_one", F.lit(1))
+    return shared.join(only, "_one").join(is_file, "_one").select(
+        F.when((F.col("_n") == 1) & ~F.col("_file"), F.col("only")).otherwise(F.col("shared")).alias("input_root"))
 
 
 def common_paths(files: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import paths as P
 from vellum.operators.skew import HOT_ROWS, attach, count_per_key, rank_in_chunks
+from vellum.session import written
 
 
 def _with_ext(stem: Column, ext: Column) -> Column:
@@ -46,7 +47,10 @@ def output_stems(files: DataFrame, input_root: str | None = None, flat: bool = F
     in_dir = F.concat(rel, F.lit("_" if flat else "/"), shared_name)
     plain = F.col("_stem_rows") == 1
     first = grouped.withColumn("_plain", plain).withColumn(
-        "_name", F.when(plain, F.col("_stem")).when(rel == "", shared_name).otherwise(in_dir))
+        "_name", F.when(plain, F.col("_stem")).when(rel == "", shared_name).otherwise(in_dir)).select(
+        *files.columns, "_stem", "_ext", "_plain", "_name")
+    # The second pass reads the first one twice, to count and to join: it is written once instead.
+    first = written(first, "names")
     taken = count_per_key(first, P.name_key(F.col("_name")), "_name_key", "path", "_name_rows",
                           hot_rows=hot_rows)
     moved = F.col("_plain") & (F.col("_name_rows") > 1) & (F.col("_ext") != "")

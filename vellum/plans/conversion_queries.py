@@ -144,13 +144,16 @@ def write_outputs(spark, sf):
     """Documents converted under their output names and written as a table; clashing names are refused."""
     from vellum.operators.naming import name_clashes
     session.limit_batches(spark)
-    names = name_clashes(heavy_named(spark, sf).select("path", "output_name")).where("not clash")
-    docs = I.manifest(spark, sf, hashed=True).select("path", "name", F.col("text").cast("binary").alias("content"),
-                                                     F.lit(None).cast("map<string,string>").alias("options"))
-    converted = U.convert_documents(docs.join(names.select("path"), "path", "left_semi"), "stand-in", refusing, load_refusing)
+    named = session.written(heavy_named(spark, sf).select("path", "output_name"), "named")
+    checked = session.written(name_clashes(named), "checked")
+    clashes = session.written(checked.where("clash").select("path"), "clashes")
+    docs = I.manifest(spark, sf, hashed=True).where(
+        C.supported(F.col("name"), fixed.HEAVY_FORMATS) & ~P.is_sidecar(F.col("name"))).select(
+        "path", "name", F.col("text").cast("binary").alias("content"))
+    converted = U.convert_documents(docs.join(clashes, "path", "left_anti"), "stand-in", refusing, load_refusing)
     folder = session.fresh_folder(spark, "outputs")
-    K.write_outputs(converted.join(names, "path"), folder)
-    return spark.read.parquet(folder).select("path", "rel", F.sha2("body", 256).alias("sha256"))
+    K.write_outputs(converted, checked.where("not clash"), folder)
+    return K.read_outputs(spark, folder).select("path", "rel", F.sha2("body", 256).alias("sha256"))
 
 
 # A tree written from the pages: some in clutter, some hidden, some too deep, some output.

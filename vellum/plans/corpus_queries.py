@@ -7,6 +7,7 @@ from vellum.functions import paths as P
 from vellum.operators import corpus as C, naming as N, report as R
 from vellum.plans import inputs as I
 from vellum.plans.registry import query
+from vellum.session import written
 
 BASE = "WITH " + I.MANIFEST_SQL + ", " + I.names_sql() + "\n"
 HEAVY, LIGHT, BATCH = (I.listed(f) for f in (fixed.HEAVY_FORMATS, fixed.LIGHT_FORMATS, fixed.BATCH_FORMATS))
@@ -200,9 +201,17 @@ def common_path(spark, sf):
     return C.common_paths(files, "stem_key")
 
 
-@query(BASE + f"SELECT {_LCP} AS input_root FROM (SELECT min(string_split(dir, '/')) AS a, max(string_split(dir, '/')) AS b FROM m0)")
+@query(BASE + f"""SELECT 'files' AS asked, {_LCP} AS input_root FROM (SELECT min(string_split(dir, '/')) AS a, max(string_split(dir, '/')) AS b FROM m0)
+UNION ALL SELECT 'folder', '/data/input' UNION ALL SELECT 'file', (SELECT dir FROM m0 WHERE path = (SELECT min(path) FROM m0))""")
 def input_root_rule(spark, sf):
-    return C.input_root(I.manifest(spark, sf))
+    """The root when all files were named, when their folder was, and when one file was."""
+    files = I.manifest(spark, sf).select("path")
+    folder = spark.createDataFrame([(I.ROOT,)], "path string")
+    one = files.agg(F.min("path").alias("path"))
+    alone = files.join(one, "path", "left_semi")
+    return (C.input_root(files, files).withColumn("asked", F.lit("files"))
+            .unionByName(C.input_root(files, folder).withColumn("asked", F.lit("folder")))
+            .unionByName(C.input_root(alone, one).withColumn("asked", F.lit("file"))))
 
 
 def _stems_sql(formats: str, base: str, flat: bool) -> str:
@@ -246,7 +255,7 @@ def output_stems_rootless(spark, sf):
 
 @query(_HEAVY_STEMS + "SELECT path, output_name, count(*) OVER (PARTITION BY lower(output_name)) > 1 AS clash FROM named")
 def name_clashes(spark, sf):
-    return N.name_clashes(heavy_named(spark, sf).select("path", "output_name"))
+    return N.name_clashes(written(heavy_named(spark, sf).select("path", "output_name"), "named"))
 
 
 @query(_LIGHT_STEMS + """SELECT path, '/data/output/' || output_name || '.md' AS output, input_seq,
@@ -254,7 +263,7 @@ def name_clashes(spark, sf):
 def written_guard(spark, sf):
     rows = light_named(spark, sf).select(
         "path", F.concat(F.lit(I.OUTPUT + "/"), "output_name", F.lit(".md")).alias("output"), "input_seq")
-    return N.written_guard(rows)
+    return N.written_guard(written(rows, "named"))
 
 
 @query("""

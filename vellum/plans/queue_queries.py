@@ -7,6 +7,7 @@ from vellum.operators import convert as U, jobs as J
 from vellum.plans import inputs as I
 from vellum.plans.conversion_queries import load_refusing, refusing
 from vellum.plans.registry import query
+from vellum.sources.tables import read_jobs
 from vellum.streaming import queue as Q
 
 
@@ -81,10 +82,10 @@ def stream_queue(spark, sf):
     status, outputs, state = _folders(spark, "queue", "status", "outputs", "state")
 
     def convert(admitted):
-        docs = admitted.select("path", F.substring_index("path", "/", -1).alias("name"), "content",
+        docs = admitted.select("job_id", "ts", "path", F.substring_index("path", "/", -1).alias("name"), "content",
                                F.from_json("options", "map<string,string>").alias("options"))
-        done = U.convert_documents(docs, "stand-in", refusing, load_refusing).select("path", "ok", "error", "files")
-        return admitted.select("job_id", "ts", "path").join(done, "path")
+        return U.convert_documents(docs, "stand-in", refusing, load_refusing, keep=("job_id", "ts")).select(
+            "job_id", "ts", "path", "ok", "error", "files")
 
     Q.run_queue(I.jobs(I.event_stream(spark, sf)), status, state, convert, outputs).awaitTermination()
     body = F.try_element_at("files", F.lit(1))["body"]
@@ -122,3 +123,23 @@ def stream_dedup(spark, sf):
     (Q.job_dedup(named, "60 days").writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema("path string, ts timestamp").parquet(table).select("path")
+
+
+@query("WITH " + I.REQUESTS_SQL + """
+SELECT job_id, CASE WHEN error IS NULL THEN 'finished' ELSE 'refused' END AS status, path AS result, error FROM taken""")
+def stream_service(spark, sf):
+    """Requests to results: the intake stream writes job files, and a second stream takes them from there."""
+    queue, refused, taken, status, ran = _folders(spark, "service", "queue", "refused", "taken", "status", "ran")
+    Q.job_intake(I.requests(I.event_stream(spark, sf)), queue, refused, taken).awaitTermination()
+
+    def convert(admitted):
+        docs = admitted.select("job_id", "ts", "path", F.col("path").alias("name"), F.col("options").cast("binary").alias("content"),
+                               F.from_json("options", "map<string,string>").alias("options"))
+        return U.convert_documents(docs, "stand-in", refusing, load_refusing, keep=("job_id", "ts")).select(
+            "job_id", "ts", "path", "ok", "error")
+
+    Q.run_queue(read_jobs(spark, queue), status, ran, convert).awaitTermination()
+    rows = spark.read.schema("job_id string, ts timestamp, status string, result string, error string").parquet(status)
+    turned_away = spark.read.schema("job_id string, ts timestamp, error string").parquet(refused)
+    return rows.select("job_id", "status", "result", "error").unionByName(turned_away.select(
+        "job_id", F.lit("refused").alias("status"), F.lit(None).cast("string").alias("result"), "error"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import fixed
 from vellum.sources.tree import open_store
@@ -40,21 +40,26 @@ def export_files(files: DataFrame, root: str) -> None:
         "noop").mode("overwrite").save()
 
 
-def output_files(converted: DataFrame, layout: str = "folder") -> DataFrame:
-    """`converted(output_name, files)` as one row per output file, below the output folder.
+def write_outputs(converted: DataFrame, names: DataFrame, folder: str) -> None:
+    """A run's outputs as two tables: bodies by input path, and the output name of each path.
 
-    `folder` gives each document its own folder; `shared` puts its one text file at
-    `<output_name>.md` beside the others.
+    Bodies are written where they were converted. Only paths and names were ever grouped or
+    joined, so the corpus itself is not shuffled to give each document its own name.
     """
-    each = converted.where("ok").select("path", "output_name", F.explode("files").alias("_f"))
-    rel = (F.concat("output_name", F.lit("/"), "_f.name") if layout == "folder"
+    converted.where("ok").select("path", F.explode("files").alias("_f")).select(
+        "path", F.col("_f.name").alias("name"), F.col("_f.body").alias("body")).write.mode("overwrite").parquet(
+        f"{folder}/files")
+    names.select("path", "output_name").write.mode("overwrite").parquet(f"{folder}/names")
+
+
+def read_outputs(spark: SparkSession, folder: str, layout: str = "folder") -> DataFrame:
+    """(path, rel, body) of every output file. `folder` gives each document its own folder;
+    `shared` puts its one text file at `<output_name>.md` beside the others."""
+    files = spark.read.schema("path string, name string, body binary").parquet(f"{folder}/files")
+    names = spark.read.schema("path string, output_name string").parquet(f"{folder}/names")
+    rel = (F.concat("output_name", F.lit("/"), "name") if layout == "folder"
            else F.concat("output_name", F.lit(".md")))
-    return each.select("path", "output_name", rel.alias("rel"), F.col("_f.body").alias("body"))
-
-
-def write_outputs(converted: DataFrame, table: str, layout: str = "folder") -> None:
-    """Outputs as a table keyed by output name; the whole run appears at once or not at all."""
-    output_files(converted, layout).write.mode("overwrite").parquet(table)
+    return files.join(names, "path").select("path", rel.alias("rel"), "body")
 
 
 def sidecar_rows(records: DataFrame, folder, name=None) -> DataFrame:

@@ -102,7 +102,7 @@ class _Expiry(StatefulProcessor):
     def _row(key, status, ms):
         return pd.DataFrame({"job_id": [key[0]], "status": [status], "ms": [ms]})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
         best = tuple(held[:3]) if held else None
         for batch in rows:
@@ -120,9 +120,9 @@ class _Expiry(StatefulProcessor):
         if held is None or tuple(held[:3]) != best:
             yield self._row(key, best[2], best[0])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield self._row(key, "expired", expired.getExpiryTimeInMs())
+        yield self._row(key, "expired", expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
