@@ -3,15 +3,10 @@
 from pyspark.sql import Column, functions as F
 
 from vellum import fixed
+from vellum.functions.let import let
 from vellum.functions.paths import strip
 
-INTERVALS = "array<struct<lo:bigint,hi:bigint,is_range:boolean>>"
-
-
-def _digits(text: Column) -> Column:
-    """Digits without leading zeros, so that numbers of any length compare as (length, text)."""
-    bare = F.ltrim(text, F.lit("0"))
-    return F.when(bare == "", F.lit("0")).otherwise(bare)
+INTERVALS = "array<struct<lo:bigint,hi:bigint>>"
 
 
 def parse_page_range(spec: Column, max_pages: int = fixed.PAGE_RANGE_MAX_PAGES,
@@ -19,52 +14,60 @@ def parse_page_range(spec: Column, max_pages: int = fixed.PAGE_RANGE_MAX_PAGES,
     """struct(ok, normalised, pages, error, intervals); the error is the first rule that failed,
     element by element, as a reader from left to right would meet it."""
     text = strip(F.coalesce(spec, F.lit("")))
-    elements = F.transform(F.split(text, ","), strip)
-    read = F.transform(elements, lambda e: F.struct(
-        e.alias("element"),
-        e.rlike("^[0-9]+(-[0-9]+)?$").alias("good"),
-        e.contains("-").alias("is_range"),
-        _digits(F.substring_index(e, "-", 1)).alias("lo"),
-        _digits(F.substring_index(e, "-", -1)).alias("hi")))
-
-    def problem(e: Column) -> Column:
-        named = F.concat(F.lit("page_range element '"), e.element, F.lit("' "))
-        backwards = ((F.length(e.hi) < F.length(e.lo))
-                     | ((F.length(e.hi) == F.length(e.lo)) & (e.hi < e.lo)))
-        return (F.when(e.element == "", F.lit("page_range has an empty element"))
-                .when(~e.good, F.concat(named, F.lit("is not a page or a page range")))
-                .when(backwards, F.concat(named, F.lit("counts backwards")))
-                .when((F.length(e.hi) > 18) | (e.hi.try_cast("bigint") > max_index),
-                      F.concat(named, F.lit(f"is past the maximum page index {max_index}"))))
-
-    checked = F.transform(read, lambda e: F.struct(
-        problem(e).alias("error"), e.is_range.alias("is_range"),
-        e.lo.try_cast("bigint").alias("lo"), e.hi.try_cast("bigint").alias("hi")))
-    total = F.aggregate(
-        checked,
-        F.struct(F.lit(0).cast("bigint").alias("pages"), F.lit(None).cast("string").alias("error")),
-        lambda acc, e: F.when(acc.error.isNotNull(), acc)
-        .when(e.error.isNotNull(), F.struct(acc.pages.alias("pages"), e.error.alias("error")))
-        .otherwise(F.struct(
-            (acc.pages + e.hi - e.lo + 1).alias("pages"),
-            F.when(acc.pages + e.hi - e.lo + 1 > max_pages,
-                   F.lit(f"page_range covers more than {max_pages} pages")).alias("error"))))
-    error = F.when(text == "", F.lit("page_range is empty")).otherwise(total.error)
-    ok = error.isNull()
-    intervals = F.transform(checked, lambda e: F.struct(
-        e.lo.alias("lo"), e.hi.alias("hi"), e.is_range.alias("is_range")))
-    return F.struct(
-        ok.alias("ok"),
-        F.when(ok, as_text(intervals)).alias("normalised"),
-        F.when(ok, total.pages).alias("pages"),
-        error.alias("error"),
-        F.when(ok, intervals).alias("intervals"))
-
-
-def as_text(intervals: Column) -> Column:
-    """Intervals as written: `4-4` stays `4-4`, `4` stays `4`."""
-    return F.array_join(F.transform(intervals, lambda i: F.when(
-        i.is_range, F.concat(i.lo, F.lit("-"), i.hi)).otherwise(i.lo.cast("string"))), ",")
+    read = F.transform(F.transform(F.split(text, ","), strip), lambda e: F.struct(
+        e.alias("element"), e.rlike("^[0-9]+(-[0-9]+)?$").alias("good"), e.contains("-").alias("is_range"),
+        F.substring_index(e, "-", 1).alias("first"), F.substring_index(e, "-", -1).alias("last")))
+    numbered = F.transform(read, lambda e: F.struct(
+        e.element, e.good, e.is_range, e.first, e["last"].alias("last"),
+        _number(e.good, e.first).alias("lo"), _number(e.good, e["last"]).alias("hi")))
+
+    def verdict(elements: Column, total: Column) -> Column:
+        error = F.when(text == "", F.lit("page_range is empty")).otherwise(total.error)
+        ok = error.isNull()
+        shown = F.transform(elements, lambda e: F.when(e.is_range, F.concat(e.lo, F.lit("-"), e.hi)).otherwise(
+            e.lo.cast("string")))
+        return F.struct(
+            ok.alias("ok"), F.when(ok, F.array_join(shown, ",")).alias("normalised"),
+            F.when(ok, total.pages).alias("pages"), error.alias("error"),
+            F.when(ok, F.transform(elements, lambda e: F.struct(e.lo, e.hi))).alias("intervals"))
+
+    def totalled(elements: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("pages"), F.lit(None).cast("string").alias("error"))
+
+        def add(acc: Column, e: Column) -> Column:
+            pages = acc.pages + e.hi - e.lo + 1
+            fault = F.coalesce(_fault(e, max_index), F.when(
+                pages > max_pages, F.lit(f"page_range covers more than {max_pages} pages")))
+            return F.when(acc.error.isNotNull(), acc).otherwise(F.struct(
+                F.when(_plain(e, max_index), pages).otherwise(acc.pages).alias("pages"), fault.alias("error")))
+
+        return F.aggregate(elements, start, add)
+
+    return let(numbered, lambda es: let(totalled(es), lambda t: verdict(es, t)))
+
+
+def _number(good: Column, digits: Column) -> Column:
+    # Tested before it is cast: a cast that fails costs far more than one that does not.
+    return F.when(good & (F.length(digits) <= 18), digits.cast("bigint"))
+
+
+def _plain(e: Column, max_index: int) -> Column:
+    """An element with nothing wrong by itself."""
+    return F.coalesce((e.hi >= e.lo) & (e.hi <= max_index), F.lit(False))
+
+
+def _fault(e: Column, max_index: int) -> Column:
+    """What is wrong with one element by itself, or null."""
+    named = F.concat(F.lit("page_range element '"), e.element, F.lit("' "))
+    # Numbers of any length compare as (length, text) once their leading zeros are gone.
+    lo, hi = (F.ltrim(d, F.lit("0")) for d in (e.first, e["last"]))
+    backwards = (F.length(hi) < F.length(lo)) | ((F.length(hi) == F.length(lo)) & (hi < lo))
+    return (F.when(_plain(e, max_index), F.lit(None).cast("string"))
+            .when(e.element == "", F.lit("page_range has an empty element"))
+            .when(~e.good, F.concat(named, F.lit("is not a page or a page range")))
+            .when(backwards, F.concat(named, F.lit("counts backwards")))
+            .when((F.length(hi) > 18) | (F.coalesce(e.hi, F.lit(max_index + 1)) > max_index),
+                  F.concat(named, F.lit(f"is past the maximum page index {max_index}"))))
 
 
 def range_size(intervals: Column) -> Column:
@@ -72,11 +75,11 @@ def range_size(intervals: Column) -> Column:
     return F.aggregate(intervals, F.lit(0).cast("bigint"), lambda n, i: n + i.hi - i.lo + 1)
 
 
-def _runs(intervals: Column, total: Column) -> Column:
-    """The shortest sorted, disjoint runs covering the pages below `total`."""
-    kept = F.array_sort(F.transform(
-        F.filter(intervals, lambda i: i.lo < total),
-        lambda i: F.struct(i.lo.alias("lo"), F.least(i.hi, total.cast("bigint") - 1).alias("hi"))))
+def _runs(intervals: Column, total: Column | None = None) -> Column:
+    """The shortest sorted, disjoint runs covering the pages, those below `total` if it is given."""
+    if total is not None:
+        intervals = F.transform(F.filter(intervals, lambda i: i.lo < total), lambda i: F.struct(
+            i.lo.alias("lo"), F.least(i.hi, total.cast("bigint") - 1).alias("hi")))
 
     def add(runs: Column, i: Column) -> Column:
         last = F.try_element_at(runs, F.lit(-1))
@@ -85,14 +88,14 @@ def _runs(intervals: Column, total: Column) -> Column:
         return (F.when(apart, F.array_append(runs, i))
                 .otherwise(F.array_append(F.slice(runs, F.lit(1), F.size(runs) - 1), widened)))
 
-    return F.aggregate(kept, F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"), add)
+    return F.aggregate(F.array_sort(intervals), F.expr(f"cast(array() as {INTERVALS})"), add)
 
 
 def clamp_range(intervals: Column, total: Column) -> Column:
     """The range cut to a document of `total` pages, as the shortest runs; null if none is left."""
     text = F.array_join(F.transform(_runs(intervals, total), lambda r: F.when(
         r.lo == r.hi, r.lo.cast("string")).otherwise(F.concat(r.lo, F.lit("-"), r.hi))), ",")
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def selected_count(intervals: Column, total: Column) -> Column:
@@ -100,6 +103,6 @@ def selected_count(intervals: Column, total: Column) -> Column:
     return F.aggregate(_runs(intervals, total), F.lit(0).cast("bigint"), lambda n, r: n + r.hi - r.lo + 1)
 
 
-def page_indices(intervals: Column) -> Column:
-    """Distinct page numbers of an accepted range: at most the page limit, so safe to explode."""
-    return F.array_distinct(F.flatten(F.transform(intervals, lambda i: F.sequence(i.lo, i.hi))))
+def page_indices(intervals: Column, total: Column | None = None) -> Column:
+    """Distinct page numbers of an accepted range, sorted: at most the page limit, so safe to explode."""
+    return F.flatten(F.transform(_runs(intervals, total), lambda r: F.sequence(r.lo, r.hi)))

@@ -27,9 +27,9 @@ def _entity(piece: Column) -> Column:
     """What stood after an `&`: the character it names, or the `&` itself."""
     name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
     rest = F.substr(piece, F.length(name) + 2)
-    digits = F.regexp_extract(name, r"^#([0-9]+)$", 1).try_cast("bigint")
-    hexes = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]+)$", 1)
-    code = F.coalesce(digits, F.conv(F.nullif(hexes, F.lit("")), 16, 10).try_cast("bigint"))
+    digits = F.when(name.rlike("^#[0-9]+$"), F.substr(name, F.lit(2)))
+    hexes = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10))
+    code = F.coalesce(digits, hexes).cast("bigint")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
@@ -60,7 +60,7 @@ def html_blocks(html: Column) -> Column:
         F.when(b.tag.rlike(heading), F.lit("heading")).when(b.tag == "title", F.lit("title"))
         .when(b.tag == "p", F.lit("paragraph")).when(b.tag == "li", F.lit("item"))
         .when(b.tag.isin("td", "th"), F.lit("cell")).otherwise(F.lit("text")).alias("kind"),
-        F.when(b.tag.rlike(heading), F.substr(b.tag, F.lit(2)).try_cast("int")).otherwise(F.lit(0)).alias("level"),
+        F.when(b.tag.rlike(heading), F.substr(b.tag, F.lit(2)).cast("int")).otherwise(F.lit(0)).alias("level"),
         P.strip(decode_entities(b.text)).alias("text")))
     return F.filter(blocks, lambda b: b.text != "")
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum import fixed
 from vellum.functions import options as O, page_ranges as PR, paths as P, records as R
+from vellum.functions.let import let
 
 # What a caller sends, and what a queued job carries.
 REQUEST_SCHEMA = ("path string, output_format string, output_dir string, use_llm boolean, "
@@ -34,33 +35,34 @@ def intake(requests: DataFrame, settings: dict[str, str] | None = None, pages: C
     inside its root, the output format, the page range, a model service if one is asked
     for. Accepted rows carry the options and the timeout sized from their pages.
     """
-    path = P.confine(F.col("path"), input_root, "path")
-    out = P.confine(F.coalesce(F.nullif("output_dir", F.lit("")), F.lit(output_root)), output_root, "output_dir")
     has_range = F.coalesce("page_range", F.lit("")) != ""
-    spec = PR.parse_page_range(F.col("page_range"))
+    read = requests.select(
+        "*", P.confine(F.col("path"), input_root, "path").alias("_path"),
+        P.confine(F.coalesce(F.nullif("output_dir", F.lit("")), F.lit(output_root)), output_root, "output_dir").alias("_out"),
+        F.when(has_range, PR.parse_page_range(F.col("page_range"))).alias("_range"),
+        (pages if pages is not None else F.lit(None).cast("bigint")).alias("_pages"),
+        (exists if exists is not None else F.lit(True)).alias("_exists"))
     error = F.coalesce(
         F.when(F.col("path").isNull(), F.lit("path is required")),
-        path.error,
-        F.when(~exists, F.lit("path must be an existing file")) if exists is not None else F.lit(None),
-        out.error,
+        F.col("_path.error"),
+        F.when(~F.col("_exists"), F.lit("path must be an existing file")),
+        F.col("_out.error"),
         O.output_format_error(F.col("output_format")),
-        F.when(has_range, spec.error),
+        F.col("_range.error"),
         F.when(F.col("use_llm"), F.lit(None if settings else "use_llm was requested but no LLM is configured")))
     options = F.to_json(F.struct(
-        F.col("output_format"), out.path.alias("output_dir"),
+        F.col("output_format"), F.col("_out.path").alias("output_dir"),
         F.when(F.col("use_llm"), F.lit(True)).alias("use_llm"),
         F.when(F.col("force_ocr"), F.lit(True)).alias("force_ocr"),
-        F.when(has_range, spec.normalised).alias("page_range")))
-    known = pages if pages is not None else F.lit(None).cast("bigint")
-    timeout = R.job_timeout(R.job_pages(known, F.when(has_range, spec.pages)))
-    accepted = error.isNull()
-    return requests.select(
-        "job_id", "ts", error.alias("error"),
+        F.col("_range.normalised").alias("page_range")))
+    accepted = F.col("error").isNull()
+    return read.withColumn("error", error).select(
+        "job_id", "ts", "error",
         F.when(accepted, F.lit(fixed.JOB_FUNCTION)).alias("func"),
-        F.when(accepted, path.path).alias("path"),
+        F.when(accepted, F.col("_path.path")).alias("path"),
         F.when(accepted, options).alias("options"),
         F.when(accepted, F.create_map(F.lit("input_root"), F.lit(input_root))).alias("kwargs"),
-        F.when(accepted, timeout).alias("timeout"))
+        F.when(accepted, R.job_timeout(R.job_pages(F.col("_pages"), F.col("_range.pages")))).alias("timeout"))
 
 
 def refusal(settings: dict[str, str] | None = None, func: str = fixed.JOB_FUNCTION,
@@ -71,27 +73,34 @@ def refusal(settings: dict[str, str] | None = None, func: str = fixed.JOB_FUNCTI
     another way must not choose what is called, read or written.
     """
     options = F.coalesce("options", F.lit(""))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(options)).startswith("OBJECT"), F.lit(False))
     kwargs = F.coalesce("kwargs", F.expr("cast(map() as map<string,string>)"))
     others = F.array_except(F.map_keys(kwargs), F.array(F.lit("input_root")))
     root = F.try_element_at(kwargs, F.lit("input_root"))
-    out_dir = F.try_variant_get(F.try_parse_json(options), "$.output_dir", "variant")
-    out_text = F.get_json_object(options, "$.output_dir")
-    outside_out = out_dir.isNotNull() & (F.schema_of_variant(out_dir) != "VOID") & (
-        (F.schema_of_variant(out_dir) != "STRING") | ~P.under(P.normalise(out_text), output_root))
-    return F.coalesce(
-        F.when(~F.col("func").eqNullSafe(func), F.concat(
-            F.lit("names '"), F.coalesce("func", F.lit("")), F.lit(f"', not {func}"))),
-        F.when(F.col("path").isNull() | ~is_object, F.lit("arguments are not a path and an options dict")),
-        F.when(F.size(others) > 0, F.lit("keyword arguments other than input_root")),
-        F.when(F.col("callback").isNotNull(), F.lit("names a callback")),
-        F.when(F.coalesce(F.size("webhooks"), F.lit(0)) > 0, F.lit("carries webhooks")),
-        F.when(F.coalesce(F.size("depends_on"), F.lit(0)) > 0, F.lit("depends on other jobs")),
-        F.when(~P.under(P.normalise(F.col("path")), input_root), F.lit(f"path outside {input_root}")),
-        F.when(F.coalesce(root, F.lit("")) != "", F.when(
-            ~P.under(P.normalise(root), input_root), F.lit(f"input_root outside {input_root}"))),
-        F.when(outside_out, F.lit(f"output_dir outside {output_root}")),
-        F.concat(F.lit("options: "), O.validate_options(options, settings).error))
+
+    def reason(kinds: Column) -> Column:
+        out_dir = F.get_json_object(options, "$.output_dir")
+        outside_out = ~kinds["output_dir"].isin("STRING", "VOID") | (
+            (kinds["output_dir"] == "STRING") & ~P.under(P.normalise(out_dir), output_root))
+        return F.coalesce(
+            F.when(~F.col("func").eqNullSafe(func), F.concat(
+                F.lit("names '"), F.coalesce("func", F.lit("")), F.lit(f"', not {func}"))),
+            F.when(F.col("path").isNull() | ~F.coalesce(kinds["all"].startswith("OBJECT"), F.lit(False)),
+                   F.lit("arguments are not a path and an options dict")),
+            F.when(F.size(others) > 0, F.lit("keyword arguments other than input_root")),
+            F.when(F.col("callback").isNotNull(), F.lit("names a callback")),
+            F.when(F.coalesce(F.size("webhooks"), F.lit(0)) > 0, F.lit("carries webhooks")),
+            F.when(F.coalesce(F.size("depends_on"), F.lit(0)) > 0, F.lit("depends on other jobs")),
+            F.when(~P.under(P.normalise(F.col("path")), input_root), F.lit(f"path outside {input_root}")),
+            F.when(F.coalesce(root, F.lit("")) != "", F.when(
+                ~P.under(P.normalise(root), input_root), F.lit(f"input_root outside {input_root}"))),
+            F.when(outside_out, F.lit(f"output_dir outside {output_root}")),
+            F.concat(F.lit("options: "), O.validate_options(options, settings)["error"]))
+
+    def kinds(parsed: Column) -> Column:
+        out_dir = F.try_variant_get(parsed, "$.output_dir", "variant")
+        return F.struct(F.schema_of_variant(parsed).alias("all"), F.schema_of_variant(out_dir).alias("output_dir"))
+
+    return let(F.try_parse_json(options), lambda parsed: let(kinds(parsed), reason))
 
 
 def admit_jobs(jobs: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:

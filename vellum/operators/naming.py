@@ -91,7 +91,7 @@ def free_names(wanted: DataFrame, existing: DataFrame, clobber: bool = True,
              .withColumn("extension", F.substr(P.ext(F.col("name")), F.lit(2)))
              .withColumn("_whole", P.stem(F.col("name"))))
     numbered = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
-    nth = F.regexp_extract("_whole", numbered, 2).try_cast("bigint")
+    nth = F.when(F.col("_whole").rlike(numbered), F.regexp_extract("_whole", numbered, 2).cast("bigint"))
     slots = found.select("folder", "extension", F.inline(F.array(
         F.struct(F.col("_whole").alias("stem"), F.lit(1).cast("bigint").alias("slot")),
         F.struct(F.regexp_extract("_whole", numbered, 1).alias("stem"),

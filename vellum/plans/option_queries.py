@@ -19,18 +19,16 @@ def parse_page_range(spark, sf):
 
 
 @query("WITH " + I.PARSED_SQL + """
-SELECT l_linenumber, l_partkey, l_orderkey, normalised, coalesce((SELECT sum(hi - lo + 1) FROM items_of i WHERE i.rid = parsed.rid), 0)::BIGINT AS pages
-FROM parsed, (SELECT 1) WHERE ok""".replace("items_of", "judged"))
+SELECT l_linenumber, l_partkey, l_orderkey, normalised, pages FROM parsed""")
 def range_size(spark, sf):
-    parsed = I.parsed_specs(spark, sf).where("ok")
-    return parsed.select("l_linenumber", "l_partkey", "l_orderkey", "normalised",
+    return I.parsed_specs(spark, sf).select("l_linenumber", "l_partkey", "l_orderkey", "normalised",
                          PR.range_size(F.col("intervals")).alias("pages"))
 
 
 # A document of `total` pages for each spec: gaps and islands over its distinct pages.
 _SELECTED = "WITH " + I.PARSED_SQL + """,
-totals AS (SELECT rid, l_partkey, l_orderkey, l_linenumber, spec, quantity * 2 AS total FROM parsed WHERE ok),
-kept AS (SELECT DISTINCT t.rid, p.page FROM totals t JOIN judged j USING (rid), LATERAL (SELECT unnest(range(j.lo, least(j.hi + 1, t.total::BIGINT))) AS page) p),
+totals AS (SELECT rid, l_partkey, l_orderkey, l_linenumber, spec, ok, quantity * 2 AS total FROM parsed),
+kept AS (SELECT DISTINCT t.rid, p.page FROM totals t JOIN judged j USING (rid), LATERAL (SELECT unnest(range(j.lo, least(j.hi + 1, t.total::BIGINT))) AS page) p WHERE t.ok),
 """
 
 
@@ -38,10 +36,10 @@ kept AS (SELECT DISTINCT t.rid, p.page FROM totals t JOIN judged j USING (rid),
 runs AS (SELECT rid, min(page) AS a, max(page) AS b FROM (
     SELECT rid, page, page - row_number() OVER (PARTITION BY rid ORDER BY page) AS island FROM kept) GROUP BY rid, island),
 cut AS (SELECT rid, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS clamped, sum(b - a + 1)::BIGINT AS n FROM runs GROUP BY rid)
-SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.spec, c.clamped, coalesce(c.n, 0)::BIGINT AS n_pages FROM totals t LEFT JOIN cut c USING (rid)""")
+SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.spec, c.clamped, CASE WHEN t.ok THEN coalesce(c.n, 0) END::BIGINT AS n_pages FROM totals t LEFT JOIN cut c USING (rid)""")
 def clamp_range(spark, sf):
     total = F.col("quantity") * 2
-    return I.parsed_specs(spark, sf).where("ok").select(
+    return I.parsed_specs(spark, sf).select(
         "l_orderkey", "l_linenumber", "l_partkey", "spec", PR.clamp_range(F.col("intervals"), total).alias("clamped"),
         PR.selected_count(F.col("intervals"), total).alias("n_pages"))
 
@@ -50,9 +48,8 @@ def clamp_range(spark, sf):
 dummy AS (SELECT 1) SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.spec, k.page FROM totals t JOIN kept k USING (rid)""")
 def page_select(spark, sf):
     """The chosen pages each document has, one row per page."""
-    parsed = I.parsed_specs(spark, sf).where("ok").withColumn("total", F.col("quantity") * 2)
-    return parsed.withColumn("page", F.explode(PR.page_indices(F.col("intervals")))).where(
-        F.col("page") < F.col("total")).select("l_orderkey", "l_linenumber", "l_partkey", "spec", "page")
+    pages = PR.page_indices(F.col("intervals"), F.col("quantity") * 2)
+    return I.parsed_specs(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "spec", F.explode(pages).alias("page"))
 
 
 @query("WITH " + I.PAGES_SQL + ", " + I.PAGE_DOCS_SQL + """
@@ -123,21 +120,21 @@ def reject_options(spark, sf):
 
 _SIZED = "WITH " + I.PARSED_SQL + """,
 sized AS (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 'scan.PNG' WHEN 1 THEN 'book.pdf' ELSE 'report.docx' END AS name,
-   CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN quantity * 3 END::BIGINT AS doc_pages FROM parsed WHERE ok OR spec IS NULL)
+   CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN quantity * 3 END::BIGINT AS doc_pages FROM parsed)
 """
 
 
 @query(_SIZED + """
-SELECT l_orderkey, l_linenumber, l_partkey, spec, doc_pages, least(coalesce(doc_pages, pages), pages)::BIGINT AS job_pages,
-  (1800 + 180 * least(coalesce(doc_pages, pages), pages))::BIGINT AS timeout, coalesce(1800 + 180 * doc_pages, 21600)::BIGINT AS whole_timeout FROM sized""")
+SELECT l_orderkey, l_linenumber, l_partkey, spec, doc_pages, least(doc_pages, pages)::BIGINT AS job_pages, ok,
+  coalesce(1800 + 180 * least(doc_pages, pages), 21600)::BIGINT AS timeout, coalesce(1800 + 180 * doc_pages, 21600)::BIGINT AS whole_timeout FROM sized""")
 def job_timeout(spark, sf):
     """Pages a job converts and how long it may run, with its range and without."""
     k = F.col("l_partkey") % 3
     name = F.when(k == 0, F.lit("scan.PNG")).when(k == 1, F.lit("book.pdf")).otherwise(F.lit("report.docx"))
     known = facts.page_count(name, F.col("quantity") * 3)
-    jobs = I.parsed_specs(spark, sf).where("ok").withColumn("doc_pages", known)
+    jobs = I.parsed_specs(spark, sf).withColumn("doc_pages", known)
     pages = R.job_pages(F.col("doc_pages"), F.col("pages"))
-    return jobs.select("l_orderkey", "l_linenumber", "l_partkey", "spec", "doc_pages", pages.alias("job_pages"),
+    return jobs.select("l_orderkey", "l_linenumber", "l_partkey", "spec", "ok", "doc_pages", pages.alias("job_pages"),
                        R.job_timeout(pages).alias("timeout"), R.job_timeout(F.col("doc_pages")).alias("whole_timeout"))
 
 
