@@ -1,7 +1,9 @@
 """Session settings, and the shared folder that written intermediate tables go to."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +18,7 @@ def session(app: str = "vellum", master: str | None = None, **conf) -> SparkSess
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return limit_batches(builder.getOrCreate())
+    return ship(limit_batches(builder.getOrCreate()))
 
 
 def limit_batches(spark: SparkSession) -> SparkSession:
@@ -24,6 +26,24 @@ def limit_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """This package on every Python worker, once per Spark context, as `--py-files` would put it."""
+    context = spark.sparkContext
+    if getattr(context, "_vellum_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vellum-"), "vellum.zip")
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zipped.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._vellum_shipped = True
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from the session; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
