@@ -1,8 +1,10 @@
 """The job queue as Structured Streaming: intake, admission, conversion, status, expiry."""
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -91,8 +93,8 @@ def read_status(spark: SparkSession, table: str, schema) -> DataFrame:
 class _Expiry(StatefulProcessor):
     """One job's latest state, and a timer that ends it `ttl` seconds after it finished or failed."""
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    def __init__(self, ttl: int, terminal: list[str]):
+        self.ttl, self.terminal = ttl, terminal
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -113,7 +115,7 @@ class _Expiry(StatefulProcessor):
         if held and held[3] >= 0:
             self.handle.deleteTimer(held[3])
         expires = -1
-        if best[2] in J.TERMINAL:
+        if best[2] in self.terminal:
             expires = best[0] + self.ttl * 1000
             self.handle.registerTimer(expires)
         self.state.update((*best, expires))
@@ -135,9 +137,11 @@ def result_expiry(events: DataFrame, ttl: int = fixed.RESULT_TTL, lateness: str
     state held is bounded by the jobs of one lifetime. State lives in RocksDB.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    # The process that first reads the processor is not given shipped files: it travels whole.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     timed = events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
     changes = timed.groupBy("job_id").transformWithStateInPandas(
-        _Expiry(ttl), "job_id string, status string, ms bigint", "Append", "EventTime")
+        _Expiry(ttl, J.TERMINAL), "job_id string, status string, ms bigint", "Append", "EventTime")
     return changes.select("job_id", "status", F.timestamp_millis("ms").alias("ts"))
 
 
