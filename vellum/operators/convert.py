@@ -130,10 +130,16 @@ def convert_documents(documents: DataFrame, backend: str, convert: Converter,
     first and keeps its extension, by which converters choose a reader. Columns in `keep`
     come back beside the result, which saves joining it to its input.
     """
+    return convert_routed(documents.withColumn("backend", F.lit(backend)), {backend: (convert, load)}, deadlines, keep)
+
+
+def convert_routed(documents: DataFrame, converters: dict[str, tuple[Converter, Callable | None]],
+                   deadlines: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same with a `backend` column choosing each document's converter: one pass over the bodies."""
     given = set(documents.columns)
     sent = F.col("options") if "options" in given else F.lit(None).cast("map<string,string>")
     wanted = documents.select(
-        "path", P.safe_name(F.col("name")).alias("name"),
+        "path", P.safe_name(F.col("name")).alias("name"), "backend",
         *(["content"] if "content" in given else []),
         F.map_filter(F.coalesce(sent, F.expr("cast(map() as map<string,string>)")),
                      lambda k, _: k != "output_dir").alias("options"),
@@ -142,34 +148,32 @@ def convert_documents(documents: DataFrame, backend: str, convert: Converter,
     kept = [f"keep_{c}" for c in keep]
     held = "content" in given
 
-    def attempt(convert_one, row, options):
+    def convert_row(row, helpers: dict) -> tuple:
         try:
             data = bytes(row.content) if held else _read(row.path)
         except Exception as exc:  # noqa: BLE001 - an unreadable document is that document's failure
             return None, None, f"{type(exc).__name__}: {exc}"
-        return convert_one(data, options)
+        convert, load = converters[row.backend]
+        if not deadlines:
+            return _attempt(convert, data, row.name, dict(row.options), _resources(row.backend, load))
+        if row.backend not in helpers:
+            helpers[row.backend] = _Helper(convert, load)
+        done, alive = helpers[row.backend].run(data, row.name, dict(row.options), row.timeout)
+        if not alive:
+            helpers.pop(row.backend).close()
+        return done
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resources, helper = (None if deadlines else _resources(backend, load)), None
-        rows, size = [], 0
+        helpers, rows, size = {}, [], 0
         try:
             for batch in batches:
                 for row in batch.itertuples(index=False):
+                    if not deadlines:       # loading is not part of any document's seconds
+                        _resources(row.backend, converters[row.backend][1])
                     started, clock = time.time(), time.perf_counter()
-                    if deadlines:
-                        helper = helper or _Helper(convert, load)
-                        done, alive = attempt(
-                            lambda d, o: helper.run(d, row.name, o, row.timeout), row, dict(row.options)), True
-                        if len(done) == 2:
-                            done, alive = done
-                        if not alive:
-                            helper.close()
-                            helper = None
-                    else:
-                        done = attempt(lambda d, o: _attempt(convert, d, row.name, o, resources), row, dict(row.options))
+                    files, versions, error = convert_row(row, helpers)
                     seconds = round(time.perf_counter() - clock, 3)
-                    files, versions, error = done
-                    rows.append((row.path, row.name, backend, error is None, error, seconds,
+                    rows.append((row.path, row.name, row.backend, error is None, error, seconds,
                                  _instant(started), _instant(started + seconds),
                                  [{"name": n, "body": b} for n, b in files or []], versions or {},
                                  *(getattr(row, k) for k in kept)))
@@ -180,7 +184,7 @@ def convert_documents(documents: DataFrame, backend: str, convert: Converter,
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
         finally:
-            if helper:
+            for helper in helpers.values():
                 helper.close()
 
     columns = [c.split()[0] for c in RESULT.split(", ")] + list(keep)

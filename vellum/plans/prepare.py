@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vellum import fixed, session
 from vellum.functions import paths as P, records as R
-from vellum.operators import convert as U, corpus as C, facts, naming as N, provenance as V, report as O
+from vellum.operators import convert as U, corpus as C, facts, naming as N, provenance as V
 from vellum.operators.skew import HOT_ROWS
 
 
@@ -49,8 +49,8 @@ def run(documents: DataFrame, planned: DataFrame, converters: dict[str, tuple[Ca
     """(results, records) of converting `documents(path, name, content, sha256, bytes, modified)` as planned.
 
     `scope` cuts documents to what the plan covered, by their paths alone.
-    `planned` should be a written table. Every half runs whatever happens in the other, and
-    straight from the scan of `documents`: what a plan decides about a body is only whether
+    `planned` should be a written table. Both converters run in one pass, straight from the
+    scan of `documents`, whatever happens in either: what a plan decides about a body is only whether
     it is refused, and the refused paths are written on their own so that Spark knows how
     many there are when it chooses how to leave them out. The converted rows are written
     once to the shared folder: results, records and outputs come from that table, so no
@@ -58,10 +58,8 @@ def run(documents: DataFrame, planned: DataFrame, converters: dict[str, tuple[Ca
     """
     name = P.basename(F.col("path"))
     refused = session.written(planned.where(F.col("refused").isNotNull()).select("path"), "refused")
-    mine = scope(documents).join(refused, "path", "left_anti")
-    halves = [U.convert_documents(mine.where(C.route(name) == backend), backend, convert, load)
-              for backend, (convert, load) in converters.items()]
-    converted = session.written(O.backend_outcomes(*halves), "converted")
+    mine = scope(documents).join(refused, "path", "left_anti").withColumn("backend", C.route(name))
+    converted = session.written(U.convert_routed(mine, converters), "converted")
     outcome = planned.join(converted.select("path", "ok", "error"), "path", "left").select(
         "path", "backend", "output",
         F.when(F.col("ok"), F.lit("converted")).otherwise(F.lit("failed")).alias("status"),
