@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
-from vellum.llm import packing, token_records
+from vellum.llm import fertility, ngram_bloom, packing, token_records
 from vellum.llm.encoding import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and fertility bands of every document."""
+    made = fertility.verdicts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       "n_tokens", "byte_tokens", "chars_per_token", "words_per_token", "byte_share", "entropy")
+
+
 @query
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as records in ascending doc_id order and read back from them."""
@@ -32,6 +40,14 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op5_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and the log-frequency Bloom filter model's score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ngram_bloom.scores(docs.select("doc_id", "text", held_out.alias("held_out")), "held_out")
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 4096 ids, placed by best fit decreasing."""
