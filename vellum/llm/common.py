@@ -95,3 +95,20 @@ def joined_slices(rows: DataFrame, segments: int, slice_bytes: int) -> np.ndarra
     for row in rows.toLocalIterator():
         bits[row["segment"] * slice_bytes:(row["segment"] + 1) * slice_bytes] = np.frombuffer(row["bits"], np.uint8)
     return bits
+
+
+def sliced_filter(stored: DataFrame, segments: int, bits_per_key: int, probes: int, most_bytes: int) -> SlicedFilter:
+    """The filter over the packed keys of `stored`: a written table (segment, stored, keys), `stored` keys in each row.
+
+    Sized for the fullest segment, and never above `most_bytes` in all: with more keys it answers yes more often.
+    """
+    most = stored.groupBy("segment").sum("stored").agg({"sum(stored)": "max"}).first()[0] or 0
+    slice_bytes = max(64, min(-(-most * bits_per_key // 8), most_bytes // segments))
+
+    def slices(key, table):
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
+                         "bits": pa.array([SlicedFilter.slice_of(keys, slice_bytes, probes)], pa.binary())})
+
+    rows = stored.select("segment", "keys").groupBy("segment").applyInArrow(slices, "segment int, bits binary")
+    return SlicedFilter(segments, slice_bytes, probes, joined_slices(rows, segments, slice_bytes))

@@ -167,16 +167,7 @@ def build_filter(training: DataFrame, tokens_counted: int, most_bytes: int = MOS
 
     blocks = ngram_blocks(training, segments)
     stored = session.written(blocks.groupBy("segment").applyInArrow(level, "segment int, stored long, keys binary"), "ngrams")
-    most = stored.agg(F.max("stored")).first()[0] or 0
-    slice_bytes = max(64, min(math.ceil(most * BITS_PER_KEY / 8), most_bytes // segments))
-
-    def slices(batches):
-        for batch in batches:
-            bits = [SlicedFilter.slice_of(np.frombuffer(k, np.uint64), slice_bytes, PROBES) for k in batch.column("keys").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], names=["segment", "bits"])
-
-    rows = common.mapped(stored.select("segment", "keys"), slices, "segment int, bits binary")
-    return SlicedFilter(segments, slice_bytes, PROBES, common.joined_slices(rows, segments, slice_bytes))
+    return common.sliced_filter(stored, segments, BITS_PER_KEY, PROBES, most_bytes)
 
 
 class Model:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
-from vellum.llm import fertility, ngram_bloom, packing, token_records
+from vellum.llm import fertility, ngram_bloom, packing, suffix_dedup, token_records
 from vellum.llm.encoding import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op5_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_bloom.scores(docs.select("doc_id", "text", held_out.alias("held_out")), "held_out")
 
 
+@query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once strings of 50 bytes that an earlier one has are gone."""
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 4096 ids, placed by best fit decreasing."""
