@@ -112,3 +112,31 @@ def sliced_filter(stored: DataFrame, segments: int, bits_per_key: int, probes: i
 
     rows = stored.select("segment", "keys").groupBy("segment").applyInArrow(slices, "segment int, bits binary")
     return SlicedFilter(segments, slice_bytes, probes, joined_slices(rows, segments, slice_bytes))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows that follow each other with equal values of the long columns `keys`, over batch borders."""
+    held: list[pa.RecordBatch] = []
+
+    def values(batch, at):
+        return tuple(batch.column(k)[at].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, np.bool_)
+        for key in keys:
+            column = batch.column(key).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+        cuts = np.flatnonzero(new).tolist()
+        if held and values(held[-1], held[-1].num_rows - 1) != values(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = [0, *cuts]
+        for start, end in zip(starts, cuts):
+            part = batch.slice(start, end - start)
+            yield pa.Table.from_batches([*held, part])
+            held = []
+        held.append(batch.slice(starts[-1]))
+    if held:
+        yield pa.Table.from_batches(held)

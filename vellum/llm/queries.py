@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
-from vellum.llm import fertility, ngram_bloom, packing, suffix_dedup, token_records
+from vellum.llm import fertility, minhash, ngram_bloom, packing, suffix_dedup, token_records
 from vellum.llm.encoding import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document: 3-word shingles, 85 % or more in common."""
+    return minhash.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and fertility bands of every document."""
