@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
-from vellum.llm import fertility, main_text, minhash, ngram_bloom, packing, spaced_seeds, suffix_dedup, token_records
+from vellum.llm import fertility, main_text, minhash, ngram_bloom, packing, personal_data, spaced_seeds, suffix_dedup, token_records
 from vellum.llm.encoding import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op5_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_bloom.scores(docs.select("doc_id", "text", held_out.alias("held_out")), "held_out")
 
 
+@query
+def op6_semi_markov_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the rules' spans, and all spans with the model's."""
+    return personal_data.detected(table(spark, sf_dir, "documents"), ["doc_id"]).drop("masked")
+
+
 @query
 def op8_maximum_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
