@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
-from vellum.llm import fertility, main_text, minhash, ngram_bloom, packing, personal_data, spaced_seeds, suffix_dedup, token_records
+from vellum.llm import fertility, licences, main_text, minhash, ngram_bloom, packing, personal_data, spaced_seeds, suffix_dedup, token_records
 from vellum.llm.encoding import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near copies of every document: 3-word shingles, 85 % or more in common."""
-    return minhash.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return minhash.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_hash")
 
 
 @query
@@ -67,6 +67,12 @@ def op6_semi_markov_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame
     return personal_data.detected(table(spark, sf_dir, "documents"), ["doc_id"]).drop("masked")
 
 
+@query
+def op7_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document that grants a licence."""
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_maximum_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
