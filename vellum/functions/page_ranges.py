@@ -6,8 +6,6 @@ from vellum import fixed
 from vellum.functions.let import let
 from vellum.functions.paths import strip
 
-INTERVALS = "array<struct<lo:bigint,hi:bigint>>"
-
 
 def parse_page_range(spec: Column, max_pages: int = fixed.PAGE_RANGE_MAX_PAGES,
                      max_index: int = fixed.PAGE_RANGE_MAX_INDEX) -> Column:
@@ -16,7 +14,7 @@ def parse_page_range(spec: Column, max_pages: int = fixed.PAGE_RANGE_MAX_PAGES,
     text = strip(F.coalesce(spec, F.lit("")))
     read = F.transform(F.transform(F.split(text, ","), strip), lambda e: F.struct(
         e.alias("element"), e.rlike("^[0-9]+(-[0-9]+)?$").alias("good"), e.contains("-").alias("is_range"),
-        F.substring_index(e, "-", 1).alias("first"), F.substring_index(e, "-", -1).alias("last")))
+        _bare(F.substring_index(e, "-", 1)).alias("first"), _bare(F.substring_index(e, "-", -1)).alias("last")))
     numbered = F.transform(read, lambda e: F.struct(
         e.element, e.good, e.is_range, e.first, e["last"].alias("last"),
         _number(e.good, e.first).alias("lo"), _number(e.good, e["last"]).alias("hi")))
@@ -46,6 +44,11 @@ def parse_page_range(spec: Column, max_pages: int = fixed.PAGE_RANGE_MAX_PAGES,
     return let(numbered, lambda es: let(totalled(es), lambda t: verdict(es, t)))
 
 
+def _bare(digits: Column) -> Column:
+    """Digits without leading zeros, which do not count towards the length of a number."""
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
 def _number(good: Column, digits: Column) -> Column:
     # Tested before it is cast: a cast that fails costs far more than one that does not.
     return F.when(good & (F.length(digits) <= 18), digits.cast("bigint"))
@@ -59,8 +62,8 @@ def _plain(e: Column, max_index: int) -> Column:
 def _fault(e: Column, max_index: int) -> Column:
     """What is wrong with one element by itself, or null."""
     named = F.concat(F.lit("page_range element '"), e.element, F.lit("' "))
-    # Numbers of any length compare as (length, text) once their leading zeros are gone.
-    lo, hi = (F.ltrim(d, F.lit("0")) for d in (e.first, e["last"]))
+    # Numbers of any length compare as (length, text), as they have no leading zeros.
+    lo, hi = e.first, e["last"]
     backwards = (F.length(hi) < F.length(lo)) | ((F.length(hi) == F.length(lo)) & (hi < lo))
     return (F.when(_plain(e, max_index), F.lit(None).cast("string"))
             .when(e.element == "", F.lit("page_range has an empty element"))
@@ -75,20 +78,21 @@ def range_size(intervals: Column) -> Column:
     return F.aggregate(intervals, F.lit(0).cast("bigint"), lambda n, i: n + i.hi - i.lo + 1)
 
 
-def _runs(intervals: Column, total: Column | None = None) -> Column:
-    """The shortest sorted, disjoint runs covering the pages, those below `total` if it is given."""
+def _pages(intervals: Column, total: Column | None = None) -> Column:
+    """The distinct pages of a range in order, those below `total` if it is given; no more than the page limit."""
     if total is not None:
         intervals = F.transform(F.filter(intervals, lambda i: i.lo < total), lambda i: F.struct(
             i.lo.alias("lo"), F.least(i.hi, total.cast("bigint") - 1).alias("hi")))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(intervals, lambda i: F.sequence(i.lo, i.hi)))))
 
-    def add(runs: Column, i: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        apart = last.isNull() | (last.hi + 1 < i.lo)
-        widened = F.struct(last.lo.alias("lo"), F.greatest(last.hi, i.hi).alias("hi"))
-        return (F.when(apart, F.array_append(runs, i))
-                .otherwise(F.array_append(F.slice(runs, F.lit(1), F.size(runs) - 1), widened)))
 
-    return F.aggregate(F.array_sort(intervals), F.expr(f"cast(array() as {INTERVALS})"), add)
+def _runs(intervals: Column, total: Column | None = None) -> Column:
+    """The shortest sorted, disjoint runs covering the pages: each starts where the page before is not listed."""
+    def cut(pages: Column) -> Column:
+        starts = F.filter(pages, lambda p, i: ~F.get(pages, i - 1).eqNullSafe(p - 1))
+        ends = F.filter(pages, lambda p, i: ~F.get(pages, i + 1).eqNullSafe(p + 1))
+        return F.zip_with(starts, ends, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    return let(_pages(intervals, total), cut)
 
 
 def clamp_range(intervals: Column, total: Column) -> Column:
@@ -100,9 +104,9 @@ def clamp_range(intervals: Column, total: Column) -> Column:
 
 def selected_count(intervals: Column, total: Column) -> Column:
     """Distinct pages of the range that the document has."""
-    return F.aggregate(_runs(intervals, total), F.lit(0).cast("bigint"), lambda n, r: n + r.hi - r.lo + 1)
+    return F.when(intervals.isNotNull() & total.isNotNull(), F.size(_pages(intervals, total))).cast("bigint")
 
 
 def page_indices(intervals: Column, total: Column | None = None) -> Column:
     """Distinct page numbers of an accepted range, sorted: at most the page limit, so safe to explode."""
-    return F.flatten(F.transform(_runs(intervals, total), lambda r: F.sequence(r.lo, r.hi)))
+    return _pages(intervals, total)
