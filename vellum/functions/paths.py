@@ -37,8 +37,11 @@ def file_format(name: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    """The key two names share when a case-insensitive disk cannot tell them apart."""
-    return F.lower(name)
+    """The key two names share when a case-insensitive disk cannot tell them apart.
+
+    Through upper case and back, so that letters that share an upper case (as both small sigmas do) meet; `ß` is `ss`.
+    """
+    return F.replace(F.lower(F.upper(F.lower(name))), F.lit("ß"), F.lit("ss"))
 
 
 def normalise(path: Column, base: str = "/") -> Column:
@@ -71,10 +74,11 @@ def confine(path: Column, root: str, what: str) -> Column:
 
 
 def relative_to(path: Column, root) -> Column:
-    """`path` relative to `root`; null without a root or outside it."""
+    """`path` relative to `root`, both without `.` and `..`; null without a root or outside it."""
     if root is None:
         return F.lit(None).cast("string")
-    prefix = F.concat(F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/")), F.lit("/"))
+    path = normalise(path)
+    prefix = F.concat(F.rtrim(normalise(F.lit(root) if isinstance(root, str) else root), F.lit("/")), F.lit("/"))
     return F.when(path.startswith(prefix), F.substr(path, F.length(prefix) + 1))
 
 
@@ -92,6 +96,7 @@ def safe_name(name: Column) -> Column:
 
 def output_folder(path: Column, output_dir, input_root=None) -> Column:
     """`<output_dir>/<relative dir>/<stem>_<ext>`, or `<name>.d` where that could not be read back."""
+    path = normalise(path)
     name = basename(path)
     extension = F.substr(ext(name), F.lit(2))
     folder = (F.when((extension != "") & ~extension.contains("_"),

@@ -25,14 +25,14 @@ _NOT_TEXT = (r"(?is)<!--.*?-->|<![^>]*>|<script\b.*?(?:</script\s*>|\z)|<style\b
 
 def _entity(piece: Column) -> Column:
     """What stood after an `&`: the character it names, or the `&` itself."""
-    name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    name = F.regexp_extract(piece, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
     rest = F.substr(piece, F.length(name) + 2)
-    digits = F.when(name.rlike("^#[0-9]+$"), F.substr(name, F.lit(2)))
-    hexes = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10))
+    digits = F.when(name.rlike("^#[0-9]+$"), F.regexp_replace(F.substr(name, F.lit(2)), "^0+(?=.)", ""))
+    hexes = F.when(name.rlike("^#[xX]"), F.conv(F.regexp_replace(F.substr(name, F.lit(3)), "^0+(?=.)", ""), 16, 10))
     code = F.coalesce(digits, hexes).cast("bigint")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+    names = F.create_map(*[F.lit(x) for n, c in sorted((name2codepoint | {"apos": ord("'")}).items()) for x in (n, chr(c))])
     char = F.when(name.startswith("#"), by_code).otherwise(F.try_element_at(names, name))
     return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 

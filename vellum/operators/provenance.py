@@ -64,18 +64,24 @@ def latest_sidecars(sidecars: DataFrame, by: Column, *tie: Column) -> DataFrame:
             .select("_row.*"))
 
 
+def _entries(name: str) -> Column:
+    """A map as sorted entries, which compare; as text, values with separators in them could look alike."""
+    return F.array_sort(F.map_entries(F.col(name)))
+
+
 def reconvert_diff(wanted: DataFrame, sidecars: DataFrame) -> DataFrame:
     """`wanted(path, sha256, versions, options)` against what is recorded: one status per source.
 
     new, source_changed, version_changed, option_changed, unchanged, or gone. Both sides
-    are first brought to one row per source, so the full join has unique keys.
+    are first brought to one row per source, so the full join has unique keys. Records hold redacted options,
+    so those of `wanted` are redacted before they are compared.
     """
     current = latest_sidecars(sidecars, F.col("source.path"), F.col("source.sha256")).select(
         F.col("source.path").alias("path"), F.col("source.sha256").alias("_sha"),
-        R.map_text(F.col("versions")).alias("_versions"), R.map_text(F.col("options")).alias("_options"),
+        _entries("versions").alias("_versions"), _entries("options").alias("_options"),
         F.col("conversion.output_dir").alias("output_dir"), F.lit(True).alias("_recorded"))
-    now = wanted.select("path", "sha256", R.map_text(F.col("versions")).alias("versions"),
-                        R.map_text(F.col("options")).alias("options"), F.lit(True).alias("_wanted"))
+    now = wanted.select("path", "sha256", _entries("versions").alias("versions"),
+                        F.array_sort(F.map_entries(redact_options(F.col("options")))).alias("options"), F.lit(True).alias("_wanted"))
     status = (F.when(F.col("_wanted").isNull(), F.lit("gone"))
               .when(F.col("_recorded").isNull(), F.lit("new"))
               .when(~F.col("sha256").eqNullSafe(F.col("_sha")), F.lit("source_changed"))
