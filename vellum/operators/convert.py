@@ -5,13 +5,17 @@ with `files` a dict of relative names to bytes. What it loads once, it gets back
 `resources` for every document its Python worker sees.
 """
 
+import contextlib
+import hashlib
 import multiprocessing
 import os
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from vellum import fixed
@@ -29,8 +33,8 @@ _OUT_BYTES = 32 * 1024 * 1024
 _RESOURCES: dict = {}
 
 
-def _resources(key: str, load: Callable[[], object] | None):
-    """Loaded once per Python worker and reused by every task it runs."""
+def _resources(key: tuple, load: Callable[[], object] | None):
+    """Loaded once per Python worker and loader, and reused by every task it runs."""
     if load is None:
         return None
     if key not in _RESOURCES:
@@ -38,26 +42,29 @@ def _resources(key: str, load: Callable[[], object] | None):
     return _RESOURCES[key]
 
 
+class Produced:
+    """A folder a converter fills; what is in it at the end, by relative name, is the result."""
+
+    def __init__(self, top: Path):
+        self.top = top
+
+    def files(self) -> dict[str, bytes]:
+        return {p.relative_to(self.top).as_posix(): p.read_bytes() for p in sorted(self.top.rglob("*")) if p.is_file()}
+
+
 def on_file(convert: Callable) -> Converter:
-    """A converter that wants a file: it gets one in a folder of its own, removed afterwards.
+    """A converter that reads and writes files, `convert(source, folder, options, resources) -> versions`.
 
-    The folder belongs to the task that is running; nothing reads it later.
+    Document and results are scratch of the running task, gone when the document is done.
     """
     def port(data, name, options, resources):
-        with tempfile.TemporaryDirectory(prefix="vellum-convert-") as folder:
-            os.makedirs(os.path.join(folder, "in"))
-            os.makedirs(os.path.join(folder, "out"))
-            source = os.path.join(folder, "in", name)
-            with open(source, "wb") as handle:
-                handle.write(data)
-            versions = convert(source, os.path.join(folder, "out"), options, resources)
-            files = {}
-            for root, _, names in os.walk(os.path.join(folder, "out")):
-                for each in sorted(names):
-                    full = os.path.join(root, each)
-                    with open(full, "rb") as handle:
-                        files[os.path.relpath(full, os.path.join(folder, "out")).replace(os.sep, "/")] = handle.read()
-            return files, versions
+        with tempfile.TemporaryDirectory(prefix="vellum-document-") as scratch:
+            source, results = Path(scratch, "document", name), Path(scratch, "results")
+            for folder in (source.parent, results):
+                folder.mkdir()
+            source.write_bytes(data)
+            versions = convert(str(source), str(results), options, resources)
+            return Produced(results).files(), versions
     return port
 
 
@@ -89,13 +96,17 @@ class _Helper:
 
     @staticmethod
     def _serve(pipe, convert, load):
-        resources = load() if load else None
+        resources, fault = None, None
+        try:
+            resources = load() if load else None
+        except Exception as exc:  # noqa: BLE001 - every document sent here gets this error
+            fault = (None, None, f"{type(exc).__name__}: {exc}")
         while True:
             try:
                 data, name, options = pipe.recv()
             except EOFError:
                 os._exit(0)
-            pipe.send(_attempt(convert, data, name, options, resources))
+            pipe.send(fault or _attempt(convert, data, name, options, resources))
 
     def run(self, data, name, options, limit):
         """(result, alive): past `limit` seconds, or if the process died, it must be replaced."""
@@ -146,6 +157,8 @@ def convert_routed(documents: DataFrame, converters: dict[str, tuple[Converter,
         *(["timeout"] if deadlines else []),
         *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c}" for c in keep]
+    # A worker is reused by other runs: resources belong to the loader as it is, not to a backend's name.
+    loaders = {name: (name, load and hashlib.sha256(cloudpickle.dumps(load)).hexdigest()) for name, (_, load) in converters.items()}
     held = "content" in given
 
     def convert_row(row, helpers: dict) -> tuple:
@@ -153,9 +166,15 @@ def convert_routed(documents: DataFrame, converters: dict[str, tuple[Converter,
             data = bytes(row.content) if held else _read(row.path)
         except Exception as exc:  # noqa: BLE001 - an unreadable document is that document's failure
             return None, None, f"{type(exc).__name__}: {exc}"
+        if row.backend not in converters:
+            return None, None, f"UnknownBackend: {row.backend}"
         convert, load = converters[row.backend]
         if not deadlines:
-            return _attempt(convert, data, row.name, dict(row.options), _resources(row.backend, load))
+            try:
+                resources = _resources(loaders[row.backend], load)
+            except Exception as exc:  # noqa: BLE001 - what cannot be loaded fails its documents, not the run
+                return None, None, f"{type(exc).__name__}: {exc}"
+            return _attempt(convert, data, row.name, dict(row.options), resources)
         if row.backend not in helpers:
             helpers[row.backend] = _Helper(convert, load)
         done, alive = helpers[row.backend].run(data, row.name, dict(row.options), row.timeout)
@@ -168,8 +187,9 @@ def convert_routed(documents: DataFrame, converters: dict[str, tuple[Converter,
         try:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    if not deadlines:       # loading is not part of any document's seconds
-                        _resources(row.backend, converters[row.backend][1])
+                    if not deadlines and row.backend in converters:     # loading is not part of any document's seconds
+                        with contextlib.suppress(Exception):            # the row will say why
+                            _resources(loaders[row.backend], converters[row.backend][1])
                     started, clock = time.time(), time.perf_counter()
                     files, versions, error = convert_row(row, helpers)
                     seconds = round(time.perf_counter() - clock, 3)

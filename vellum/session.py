@@ -1,6 +1,8 @@
 """Session settings, and the shared folder that written intermediate tables go to."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_BYTES = 64 * 1024 * 1024
 
 
+class SharedFolderMissing(RuntimeError):
+    """A cluster's session names no folder that all executors share."""
+
+
 def session(app: str = "vellum", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -45,10 +51,18 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a temporary one only where none is set."""
+    """The folder all executors share, from the session.
+
+    Where none is set, a process that is driver and executor in one (a local master) gets a temporary one, removed
+    when it ends; on a cluster, where each machine would write to a disk of its own, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise SharedFolderMissing(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
     return folder.rstrip("/")
