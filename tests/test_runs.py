@@ -58,6 +58,40 @@ def test_files_get_a_folder_of_their_own(spark, tmp_path):
     assert not any(os.path.exists(p) for p in open(seen).read().split())
 
 
+def test_a_loader_that_fails_fails_its_documents(spark):
+    def broken():
+        raise OSError("no weights")
+    for deadlines in (False, True):
+        docs = documents(spark, ["a.txt"]).withColumn("timeout", F.lit(20))
+        (row,) = U.convert_documents(docs, "s", stub, broken, deadlines=deadlines).collect()
+        assert not row.ok and row.error == "OSError: no weights"
+    routed = documents(spark, ["a.txt"]).withColumn("backend", F.lit("nobody"))
+    (row,) = U.convert_routed(routed, {"s": (stub, None)}).collect()
+    assert not row.ok and "nobody" in row.error
+
+
+def test_resources_belong_to_their_loader(spark):
+    def show(data, name, options, resources):
+        return {"x.md": resources.encode()}, {}
+    for word in ("one", "two"):
+        (row,) = U.convert_documents(documents(spark, ["a.txt"]), "s", show, lambda word=word: word).collect()
+        assert bytes(row.files[0].body) == word.encode()
+
+
+def test_records_are_compared_by_entries_and_redacted(spark):
+    conversion = {"finished": "2", "started": "1", "output_dir": "/o"}
+    def record(path, versions, options):
+        return (path, "h", versions, options)
+    held = [record("same", {"a": "1"}, {"x_token": "[redacted]"}), record("comma", {"a": "1,b=2"}, {}), record("opt", {}, {"y": "1"})]
+    sidecars = spark.createDataFrame([({"path": p, "sha256": h}, conversion, v, o) for p, h, v, o in held],
+                                     "source struct<path:string,sha256:string>, conversion struct<finished:string,started:string,output_dir:string>, "
+                                     "versions map<string,string>, options map<string,string>")
+    wanted = spark.createDataFrame([record("same", {"a": "1"}, {"x_token": "hush"}), record("comma", {"a": "1", "b": "2"}, {}), record("opt", {}, {"y": "2"})],
+                                   "path string, sha256 string, versions map<string,string>, options map<string,string>")
+    got = {r.path: r.status for r in V.reconvert_diff(wanted, sidecars).collect()}
+    assert got == {"same": "unchanged", "comma": "version_changed", "opt": "option_changed"}
+
+
 def test_trees_are_listed_with_their_hidden_names(spark, tmp_path):
     names = ["in/a.html", "in/_p.jpeg", "in/.h.pdf", "in/md/x.md.provenance.json", "in/md/a.jpeg", "in/sub/provenance.json",
              "in/sub/data.json", "in/converted/z.html", "in/a/b/c/deep.pdf"]
@@ -142,9 +176,10 @@ def test_bench_arithmetic(spark):
 
 
 def test_the_worst_code_wins(spark):
-    cases = {(0, 3): 3, (3, 2): 2, (2, 1): 1, (1, 3): 1, (2, 3): 2, (0, 0): 0}
-    codes = spark.createDataFrame([(f"{a}{b}", c) for a, b in cases for c in (a, b)], "run string, code int")
-    assert {r.run: r.code for r in R.run_outcome(codes, "run").collect()} == {f"{a}{b}": w for (a, b), w in cases.items()}
+    worst_first = [1, 2, 3, 0]
+    runs = [(a, b, c) for a in range(4) for b in range(4) for c in range(4)]
+    codes = spark.createDataFrame([(str(run), code) for run in runs for code in run], "run string, code int")
+    assert {r.run: r.code for r in R.run_outcome(codes, "run").collect()} == {str(run): min(run, key=worst_first.index) for run in runs}
 
 
 def test_blocks_keep_the_text(spark):

@@ -42,14 +42,6 @@ def corpus_filter(manifest: DataFrame, root: str, formats: list[str], depth: int
     return kept
 
 
-def format_union(*format_lists: list[str]) -> Column:
-    """The union of several converters' formats, each once, in order of first appearance."""
-    merged = F.array(*[F.lit(f) for f in format_lists[0]])
-    for formats in format_lists[1:]:
-        merged = F.array_union(merged, F.array(*[F.lit(f) for f in formats]))
-    return merged
-
-
 def distinct_inputs(files: DataFrame) -> DataFrame:
     """One row per absolute path, the first by `input_seq`; copies are merged before the shuffle."""
     row = F.struct(*[F.col(c) for c in files.columns])

@@ -51,12 +51,6 @@ def select_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return wanted.join(pages, ["doc", "page"])
 
 
-def range_pages(ranges: DataFrame, totals: DataFrame) -> DataFrame:
-    """`select_pages` where only a document's page total is known."""
-    wanted = ranges.select("doc", F.explode(PR.page_indices(F.col("intervals"))).alias("page"))
-    return wanted.join(totals, "doc").where(F.col("page") < F.col("total")).select("doc", "page")
-
-
 def text_layer(documents: DataFrame, pages: DataFrame, min_chars: int = fixed.TEXT_LAYER_MIN_CHARS) -> DataFrame:
     """Pages each document will convert and the path they take: text, ocr, or unknown (null).
 

@@ -77,14 +77,6 @@ def scan_manifest(spark, sf):
     return sorted_positions(kept, "path", "position")
 
 
-@query("""SELECT (SELECT list_aggregate(list_sort(list_distinct(list_concat(h, l))), 'string_agg', ',')) AS formats, n_files
-FROM (SELECT """ + str(fixed.HEAVY_FORMATS) + " AS h, " + str(fixed.LIGHT_FORMATS) + """ AS l, count(*) AS n_files FROM documents)""")
-def format_union(spark, sf):
-    formats = C.format_union(fixed.HEAVY_FORMATS, fixed.LIGHT_FORMATS)
-    return I.table(spark, sf, "documents", "doc_id").agg(F.count(F.lit(1)).alias("n_files")).select(
-        F.array_join(F.array_sort(formats), ",").alias("formats"), "n_files")
-
-
 _VARIANTS = """
 paths AS (SELECT event_id, CASE event_type
   WHEN 'error' THEN '/data/input/u' || user_id || '/../../../etc/e' || event_id

@@ -8,7 +8,7 @@ from vellum.operators import facts
 from vellum.plans import inputs as I
 from vellum.plans.registry import query
 
-SETTINGS = O.model_config("Ollama ", "http://models:11434/", "gemma3")
+SETTINGS = O.model_config("Ollama ", base_url="http://models:11434/", model="gemma3")
 
 
 @query("WITH " + I.PARSED_SQL + """

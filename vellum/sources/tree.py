@@ -126,8 +126,3 @@ def walk_batch(spark: SparkSession, root: str, output_dir: str) -> DataFrame:
     listed = (spark.read.format("vellum_corpus").option("root", root).option("clutter", "false")
               .option("skip", json.dumps([output_dir])).load())
     return listed.where(corpus.supported(F.col("name"), fixed.BATCH_FORMATS))
-
-
-def sorted_listing(listed: DataFrame) -> DataFrame:
-    """In code-point order of the path."""
-    return listed.orderBy("path")
