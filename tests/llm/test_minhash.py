@@ -16,6 +16,11 @@ def shingles(text, width):
 
 
 def brute(rows, width, percent):
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    return sorted([(d, len(shingles(t, width)), c, d is None or d == c) for d, t, c in brute_rows(rows, width, percent)], key=key)
+
+
+def brute_rows(rows, width, percent):
     sets = [shingles(t, width) if d is not None else set() for d, t in rows]
     parent = list(range(len(rows)))
     def root(i):
@@ -31,11 +36,7 @@ def brute(rows, width, percent):
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[root(i)] = doc if least[root(i)] is None else min(doc, least[root(i)])
-    result = []
-    for i, (doc, text) in enumerate(rows):
-        component = None if doc is None else least[root(i)]
-        result.append((doc, len(shingles(text, width)), component, doc is None or doc == component))
-    return sorted(result, key=lambda r: tuple((x is not None, x or 0) for x in r))
+    return [(doc, text, None if doc is None else least[root(i)]) for i, (doc, text) in enumerate(rows)]
 
 
 def make(seed, family):
@@ -63,8 +64,13 @@ def test_against_all_pairs(spark, monkeypatch, width, percent, part, block):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
     rows = make(width, 40)
     frame = spark.createDataFrame([(d, t, 1, 2, "c", b"") for d, t in rows], DOCS).repartition(3)
-    got = sorted(map(tuple, minhash.near_copies(frame, width, percent).collect()), key=lambda r: tuple((x is not None, x or 0) for x in r))
-    assert got == brute(rows, width, percent)
+    got = sorted(map(tuple, minhash.near_copies(frame, width, percent).drop("text_hash").collect()), key=lambda r: tuple((x is not None, x or 0) for x in r))
+    want = brute(rows, width, percent)
+    assert got == want
+    left = minhash.without_near_copies(frame, width, percent)
+    assert left.columns == frame.columns
+    kept = {(d, t or "") for d, t in rows if d is None or d == next(w[2] for w in brute_rows(rows, width, percent) if w[:2] == (d, t))}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted((d is None, d or 0, t) for d, t in kept)
 
 
 def test_empty_table(spark):

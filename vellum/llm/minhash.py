@@ -105,7 +105,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, n, fingerprint, bands and signature of every row; the last three are null for empty sets."""
+    """doc_id, text_hash, n, fingerprint, bands and signature of every row; the last three are null for empty sets."""
     bands = bands_for(similarity)
 
     def sketch(batches):
@@ -123,10 +123,10 @@ def sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                     for column, value in zip(columns, (len(s), *values)):
                         column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                             names=["doc_id", "n", "fingerprint", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                                             names=["doc_id", "text_hash", "n", "fingerprint", "bands", "signature"])
 
-    return common.mapped(docs, sketch, "doc_id long, n long, fingerprint binary, bands array<long>, signature binary")
+    return common.mapped(docs, sketch, "doc_id long, text_hash long, n long, fingerprint binary, bands array<long>, signature binary")
 
 
 def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -134,12 +134,28 @@ def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((many == one).mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
+class Forest:
+    """Which of some places are linked so far."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def join(self, place: int, others: np.ndarray) -> list[int]:
+        """Links a place to others; gives back one of each group that was apart from it."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        apart = labels != self.label[place]
+        if apart.any():
+            self.label[np.isin(self.label, labels[apart])] = self.label[place]
+        return others[first[apart]].tolist()
+
+
 def around_leaders(nodes: np.ndarray, signatures: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Ties (node, leader) of at least that likeness, and the places of the leaders."""
-    ties, leaders = [], [0]
+    """Ties (node, leader) of at least that likeness, without those that other ties imply, and the places of the leaders."""
+    ties, leaders, forest = [], [0], Forest(len(nodes))
     for at in range(1, len(nodes)):
         near = likeness(signatures[at], signatures[leaders])
-        ties += [(int(nodes[at]), int(nodes[leaders[i]])) for i in np.flatnonzero(near >= least)]
+        close = np.array(leaders)[near >= least]
+        ties += [(int(nodes[at]), int(nodes[i])) for i in forest.join(at, close)] if len(close) else []
         if near.max() < RADIUS:
             leaders.append(at)
     return ties, leaders
@@ -177,21 +193,6 @@ def families(sets: DataFrame, similarity: float) -> DataFrame:
     return components(ties)
 
 
-class Forest:
-    """Which of some places are linked so far."""
-
-    def __init__(self, size: int):
-        self.label = np.arange(size)
-
-    def join(self, place: int, others: np.ndarray) -> list[int]:
-        """Links a place to others; gives back one of each group that was apart from it."""
-        labels, first = np.unique(self.label[others], return_index=True)
-        apart = labels != self.label[place]
-        if apart.any():
-            self.label[np.isin(self.label, labels[apart])] = self.label[place]
-        return others[first[apart]].tolist()
-
-
 def confirmed(nodes: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest of the links between sets: those of a single block, or those between two blocks."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -250,15 +251,15 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
 
 
 def near_copies(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of `docs`.
+    """doc_id, text_hash (xxhash64 of the text, an empty one for null), n_shingles, component_id and kept of every row of `docs`.
 
     Two documents are linked if 100 times the shingles they share are `percent` or more times those of either.
     component_id is the smallest id that links reach; kept says whether it is the row's own. Texts without words, null ones
     included, are linked with nothing. Rows with a null id are linked with nothing and kept, with a null component.
     Rows that are repeated are one document: all of them carry the same values.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = session.written(sketched(rows, words, percent / 100), "sketches")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sketches = session.written(sketched(rows.withColumn("text_hash", F.xxhash64("text")), words, percent / 100), "sketches")
     sets = (sketches.where("n > 0 and doc_id is not null").groupBy("fingerprint")
             .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     sets = session.written(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
@@ -267,7 +268,18 @@ def near_copies(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id
              .select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component")))
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(smallest, "component").select("fingerprint", "component_id")
-    named = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint"))
+    named = sketches.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint"))
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
     return named.join(by_set, "fingerprint", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, but one document of each group of near copies: the one with the smallest id.
+
+    Rows with an equal id and text stay once. Texts without words and rows with a null id are in no group.
+    """
+    gone = near_copies(docs, words, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash")).distinct()
+    marked = docs.withColumns({"_near_doc": F.col(doc_id).cast("long"), "_near_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    left = marked.join(gone, marked["_near_doc"].eqNullSafe(gone["gone_doc"]) & (marked["_near_hash"] == gone["gone_hash"]), "left_anti")
+    return left.dropDuplicates(["_near_doc", "_near_hash"]).drop("_near_doc", "_near_hash")
