@@ -29,6 +29,8 @@ MOST_BYTE_SHARE = 0.5
 SHORT = 400
 # Bands are not narrower than this share of the median, and a group of fewer measured documents gives none.
 LEAST_SPREAD, LEAST_GROUP = 0.01, 30
+# Up to so many groups, each a row of a few numbers, bands are broadcast; more are joined like any table.
+MOST_BANDS = 10_000
 
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
             "byte_tokens long, entropy double")
@@ -126,6 +128,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
+def small(groups: DataFrame) -> DataFrame:
+    """`groups` as a written table, to be broadcast if it is counted to have at most MOST_BANDS rows."""
+    held = session.written(groups, "bands")
+    return F.broadcast(held) if held.count() <= MOST_BANDS else held
+
+
 def judged(measures: DataFrame, language: str) -> DataFrame:
     """`measures`, a written table, with base_failed, chars_per_token, words_per_token, byte_share and kept.
 
@@ -144,10 +152,10 @@ def judged(measures: DataFrame, language: str) -> DataFrame:
         # Figures are rounded, so that an exact median needs as many counters as there are different values.
         middle = sound.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *(F.percentile(f, F.lit(0.5)).alias(f"_m_{f}") for f in figures))
         away = {f: F.round((F.col(f) - F.col(f"_m_{f}")) / F.col("_wide"), 3) for f in figures}
-        spread = (sound.join(middle, group).groupBy(group)
+        middle = small(middle.where(F.col("_n") >= LEAST_GROUP).drop("_n"))
+        spread = (sound.join(middle, group).groupBy(group, *(f"_m_{f}" for f in figures))
                   .agg(*(F.percentile(F.abs(away[f]), F.lit(0.5)).alias(f"_s_{f}") for f in figures)))
-        bands = middle.where(F.col("_n") >= LEAST_GROUP).drop("_n").join(spread, group)
-        rows = rows.join(bands, group, "left")
+        rows = rows.join(small(spread), group, "left")  # the texts may be carried along
         for f in figures:
             unit, (low, high) = F.greatest(F.col(f"_s_{f}") * 1.4826, F.col(f"_m_{f}") * LEAST_SPREAD), BANDS[f]
             within &= F.coalesce(away[f].between(-unit * low, unit * high), F.lit(True))
@@ -160,10 +168,14 @@ def verdicts(docs: DataFrame, model: str, carry: list[str], language: str = "lan
     Empty and null texts have no words, so they fail the base rules. An empty table gives an empty result.
     """
     names = [*carry, *([language] if language not in carry else [])]
-    made = measured(docs, model, names, text)
-    held = session.written(made, "fertility")
-    at = f"c{names.index(language)}"
-    judged_rows = judged(held, at)
-    return judged_rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
+    held = session.written(measured(docs, model, names, text), "fertility")
+    return judged(held, f"c{names.index(language)}").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
                               *(m.split()[0] for m in MEASURES.split(", ")), "chars_per_token", "words_per_token", "byte_share",
                               "base_failed", "kept")
+
+
+def within_bands(docs: DataFrame, model: str, language: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `verdicts` keeps."""
+    held = session.written(measured(docs, model, docs.columns, text), "fertility")
+    kept = judged(held, f"c{docs.columns.index(language)}").where("kept")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -315,12 +315,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def detected(docs: DataFrame, keep: list[str], text: str = "text", field: Field | None = None) -> DataFrame:
-    """The columns `keep` of every row with n_email, n_ip, n_card, n_phone and base_sha256 (of the rules' spans), spans (all of
-    them, as kind:start:end in code points, joined by commas) and masked (the text with every span as <KIND>).
-
-    A null text is empty, has no spans, and stays null in masked. Repeated rows each give their row.
-    """
+def _read(docs: DataFrame, keep: list[str], text: str, field: Field | None) -> DataFrame:
+    """The columns `keep` as c0, c1, ... with what `detected` tells."""
     sent = docs.sparkSession.sparkContext.broadcast((field or trained(docs, text)).weights)  # bounded by the training sample
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [f"c{i}" for i in range(len(keep))]
@@ -341,5 +337,22 @@ def detected(docs: DataFrame, keep: list[str], text: str = "text", field: Field
 
     given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col(f"`{text}`").alias("t"))
     schema = [*(f"{n} {kinds[c]}" for c, n in zip(keep, names)), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, masked string"]
-    found = common.mapped(given, find, ", ".join(schema))
-    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked")
+    return common.mapped(given, find, ", ".join(schema))
+
+
+def detected(docs: DataFrame, keep: list[str], text: str = "text", field: Field | None = None) -> DataFrame:
+    """The columns `keep` of every row with n_email, n_ip, n_card, n_phone and base_sha256 (of the rules' spans), spans (all of
+    them, as kind:start:end in code points, joined by commas) and masked (the text with every span as <KIND>).
+
+    A null text is empty, has no spans, and stays null in masked. Repeated rows each give their row.
+    """
+    return _read(docs, keep, text, field).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked")
+
+
+def without_personal_data(docs: DataFrame, text: str = "text", length: str = "n_chars", field: Field | None = None) -> DataFrame:
+    """The rows and columns of `docs` with every span as <KIND>; a column `length`, if there is one, counts the new code points."""
+    found = _read(docs, docs.columns, text, field)
+    new = {text: F.col("masked")}
+    if length in docs.columns:
+        new[length] = F.char_length("masked").cast(docs.schema[length].dataType)
+    return found.select(*(new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
