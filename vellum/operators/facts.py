@@ -44,11 +44,11 @@ def first_pages(pages: DataFrame, k: int = fixed.SAMPLE_PAGES) -> DataFrame:
 def select_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """The pages of each document its range names and the document has.
 
-    `ranges(doc, intervals)` holds accepted ranges, which the page limit keeps small enough
-    to expand; the join is then an equality on (doc, page), unique on both sides.
+    `ranges(doc, intervals)` has one row per document, which meets the document's pages as it is: no page number
+    is made that the document may not have, and a page named twice is one page.
     """
-    wanted = ranges.select("doc", F.explode(PR.page_indices(F.col("intervals"))).alias("page"))
-    return wanted.join(pages, ["doc", "page"])
+    inside = F.exists("intervals", lambda i: F.col("page").between(i.lo, i.hi))
+    return pages.join(ranges.select("doc", "intervals"), "doc").where(inside).drop("intervals")
 
 
 def text_layer(documents: DataFrame, pages: DataFrame, min_chars: int = fixed.TEXT_LAYER_MIN_CHARS) -> DataFrame:

@@ -59,14 +59,14 @@ def run(documents: DataFrame, planned: DataFrame, converters: dict[str, tuple[Ca
     name = P.basename(F.col("path"))
     refused = session.written(planned.where(F.col("refused").isNotNull()).select("path"), "refused")
     mine = scope(documents).join(refused, "path", "left_anti").withColumn("backend", C.route(name))
-    converted = session.written(U.convert_routed(mine, converters), "converted")
+    # What the records say of a document comes back beside its result, so that no body is read a second time.
+    converted = session.written(U.convert_routed(mine, converters, keep=("sha256", "bytes", "modified")), "converted")
     outcome = planned.join(converted.select("path", "ok", "error"), "path", "left").select(
         "path", "backend", "output",
         F.when(F.col("ok"), F.lit("converted")).otherwise(F.lit("failed")).alias("status"),
         F.coalesce("refused", "error").alias("reason"))
-    facts_of = documents.select("path", "sha256", "bytes", "modified").join(planned.select("path", "output"), "path")
     done = converted.where("ok").withColumn("outputs", V.output_names(F.col("files"))).drop("files")
-    done = done.join(facts_of, "path").select(
+    done = done.join(planned.select("path", "output"), "path").select(
         "path", "sha256", "bytes", "modified", "backend", "started", "finished",
         F.lit("markdown").alias("output_format"), F.array("backend", "path").alias("command"),
         F.col("output").alias("output_dir"), "outputs", "versions",
