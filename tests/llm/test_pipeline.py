@@ -29,9 +29,10 @@ def corpus(spark, tmp_path_factory):
         words = texts[i].split()
         words[20:22] = ["other", "words"]
         texts.append(" ".join(words))
-    texts += [texts[5], texts[5] + " end", texts[11] + " " + items[0], texts[12] + " " + items[1].replace(" ", " . ", 2), items[2] + " " + texts[13],
-              texts[14] + " write to jo@mail.org or +1 (017) 555-7713 from 10.1.2.3 now", texts[15] + " jo.doe(at)mail.org",
-              "!! ".join(texts[16].upper().split()) + "!!", "###".join(texts[17].split()), "", None, "too short", "again and again " * 60, texts[18] * 30]
+    fresh = lambda: " ".join(text(int(rng.integers(90, 250))))
+    texts += [texts[5], texts[5] + " end", fresh() + " " + items[0], fresh() + " " + items[1].replace(" ", " . ", 2), items[2] + " " + fresh(),
+              " ".join(text(700)) + " write to jo@mail.org or +1 (017) 555-7713 from 10.1.2.3 now", fresh() + " jo.doe(at)mail.org",
+              "!! ".join(fresh().upper().split()) + "!!", "###".join(fresh().split()), "", None, "too short", "again and again " * 60, fresh() * 30]
     ids = rng.permutation(500)[:len(texts)].tolist()
     rows = [(i, t, "en" if i % 3 else None, "s", len(t or "")) for i, t in zip(ids, texts)]
     rows += [rows[2], (None, texts[19], "en", None, None)]
@@ -90,7 +91,7 @@ def test_stages(spark, corpus):
     docs = corpus_pipeline.decontamination(spark, docs, folder)
     bad = {d for d, _ in test_spaced_seeds.brute([r[:2] for r in rows], list(enumerate(items)))}
     rows = [r for r in rows if r[0] not in bad]
-    assert len(bad) >= 2 and sorted(map(tuple, docs.collect()), key=key) == sorted(rows, key=key)
+    assert len(bad) == 3 and sorted(map(tuple, docs.collect()), key=key) == sorted(rows, key=key)
 
     docs = corpus_pipeline.personal_data_masking(spark, docs, folder)
     masked = {r["doc_id"]: r for r in docs.collect()}
@@ -100,7 +101,8 @@ def test_stages(spark, corpus):
         assert masked[r[0]]["n_chars"] == len(text) and personal_data.rules(text) == []
         assert text == r[1] or any(s in r[1] for s in ("jo@mail.org", "jo.doe(at)mail.org"))
     changed = [m["text"] for m in masked.values() if "<" in m["text"]]
-    assert any(t.endswith("write to <EMAIL> or <PHONE> from <IP> now") for t in changed) and any(t.endswith(" <EMAIL>") for t in changed)
+    tails = [t[-45:] for t in changed]
+    assert any(t.endswith("write to <EMAIL> or <PHONE> from <IP> now") for t in tails) and any(t.endswith(" <EMAIL>") for t in tails), tails
 
     packed = corpus_pipeline.best_fit_packing(spark, docs, folder).collect()
     encode, lengths = test_records_and_packing.plain("word_bpe_49k.json"), []

@@ -7,8 +7,8 @@ groups, check digits, neighbours), and chooses kinds and borders of all segments
 Outside of islands no segment can score, so islands are scored on their own without changing the result. Spans of the
 rules stay; the model's are added where they do not overlap one.
 
-The model is trained on the driver from a bounded, documented sample: islands of at most SAMPLE documents, chosen by hash, with
-the rules' spans as labels, the same islands with those spans written in other ways, and made-up sentences. Training maximises the
+The model is trained on the driver from a bounded, documented sample: islands with a rule's span of at most SAMPLE documents,
+chosen by hash, with the rules' spans as labels, the same islands with those spans written in other ways, and made-up sentences. Training maximises the
 conditional likelihood with forward and backward sums over the same segments.
 """
 
@@ -270,7 +270,7 @@ def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
                 for start, end in islands(value)[:4]:  # a few of each, so that one long document is not the sample
                     low, high = max(0, start - 30), min(len(value), end + 5)
                     inside = [(s - low, k, e - low) for s, k, e in spans if low <= s and e <= high]
-                    if high - low <= 400:
+                    if inside and high - low <= 400:  # one without a rule's span may hold data that the rules miss
                         rows.append((value[low:high], [v for span in inside for v in span]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.list_(pa.int32())))], names=["island", "spans"])
