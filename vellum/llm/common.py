@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum import session
@@ -53,6 +54,26 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
+def first_of_segment(segment: np.ndarray, segments: int) -> np.ndarray:
+    """The least key of a segment."""
+    return ((segment.astype(np.uint64) << np.uint64(32)) + np.uint64(segments - 1)) // np.uint64(segments) << np.uint64(32)
+
+
+def short_keys(keys: np.ndarray, segments: int) -> np.ndarray:
+    """`keys` with only their segment and lower half left, so that the half is enough within a segment."""
+    return first_of_segment(segment_of(keys, segments), segments) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed, for tables between two steps."""
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 3)
+
+
+def unpacked(data: bytes, kind: str | None = None) -> np.ndarray | bytes:
+    raw = zstandard.decompress(data)
+    return np.frombuffer(raw, kind) if kind else raw
+
+
 class SlicedFilter:
     """A Bloom filter made of one slice of bits per segment of the key space, so that every slice is built by one group."""
 
@@ -97,20 +118,19 @@ def joined_slices(rows: DataFrame, segments: int, slice_bytes: int) -> np.ndarra
     return bits
 
 
-def sliced_filter(stored: DataFrame, segments: int, bits_per_key: int, probes: int, most_bytes: int) -> SlicedFilter:
-    """The filter over the packed keys of `stored`: a written table (segment, stored, keys), `stored` keys in each row.
+def sliced_filter(stored: DataFrame, most: int, segments: int, bits_per_key: int, probes: int, most_bytes: int) -> SlicedFilter:
+    """The filter over the packed keys of `stored`, a row (segment, keys) for each segment, `most` keys in the fullest.
 
-    Sized for the fullest segment, and never above `most_bytes` in all: with more keys it answers yes more often.
+    Sized for that one, and never above `most_bytes` in all: with more keys it answers yes more often.
     """
-    most = stored.groupBy("segment").sum("stored").agg({"sum(stored)": "max"}).first()[0] or 0
     slice_bytes = max(64, min(-(-most * bits_per_key // 8), most_bytes // segments))
 
-    def slices(key, table):
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
-                         "bits": pa.array([SlicedFilter.slice_of(keys, slice_bytes, probes)], pa.binary())})
+    def slices(batches):
+        for batch in batches:
+            bits = [SlicedFilter.slice_of(np.frombuffer(k, np.uint64), slice_bytes, probes) for k in batch.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], names=["segment", "bits"])
 
-    rows = stored.select("segment", "keys").groupBy("segment").applyInArrow(slices, "segment int, bits binary")
+    rows = mapped(stored.select("segment", "keys"), slices, "segment int, bits binary")
     return SlicedFilter(segments, slice_bytes, probes, joined_slices(rows, segments, slice_bytes))
 
 

@@ -89,16 +89,16 @@ def seed_filter(known: DataFrame, most_bytes: int) -> common.SlicedFilter:
     hashes = known.select(F.explode("hashes").alias("hash")).distinct()
     segments = max(1, -(-known.agg(F.sum(F.size("hashes"))).first()[0] // KEYS_PER_SEGMENT) if known.head(1) else 1)
 
-    def pack(batches):
-        for batch in batches:
-            keys = np.sort(batch.column("hash").to_numpy().view(np.uint64))
-            at = np.searchsorted(common.segment_of(keys, segments).astype(np.int64), np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(at))
-            packed = [keys[at[s]:at[s + 1]].tobytes() for s in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.diff(at)[some], pa.int64()), pa.array(packed, pa.binary())], names=["segment", "stored", "keys"])
-
-    stored = session.written(common.mapped(hashes, pack, "segment int, stored long, keys binary"), "seeds")
-    return common.sliced_filter(stored, segments, BITS_PER_KEY, PROBES, most_bytes)
+    segment_of = ((F.shiftrightunsigned("hash", 32) * segments) / F.lit(1 << 32)).cast("int")
+
+    def pack(key, table):
+        keys = table.column("hash").to_numpy().view(np.uint64)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "stored": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())})
+
+    rows = hashes.select(segment_of.alias("segment"), "hash").groupBy("segment").applyInArrow(pack, "segment int, stored long, keys binary")
+    stored = session.written(rows, "seeds")
+    most = stored.agg(F.max("stored")).first()[0] or 0
+    return common.sliced_filter(stored, most, segments, BITS_PER_KEY, PROBES, most_bytes)
 
 
 def suspects(docs: DataFrame, held: common.SlicedFilter) -> DataFrame:

@@ -68,7 +68,7 @@ def runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts = np.flatnonzero(inside & np.concatenate(([True], change | ~inside[:-1])))
     ends = np.flatnonzero(inside & np.concatenate((change | ~inside[1:], [True]))) + 1
     which = np.searchsorted(begins, starts, "right") - 1
-    return which, starts - begins[which], ends - starts, keys[starts]
+    return which, starts - begins[which], ends - starts, common.mix(keys[starts])  # least hashes are small: spread them
 
 
 def blocks(batches):
@@ -89,12 +89,12 @@ def blocks(batches):
 
 
 def key_blocks(docs: DataFrame, segments: int) -> DataFrame:
-    """The different keys of slices of text, per segment; the lowest bit says whether two documents of the slice have the key."""
+    """The lower halves of the different keys of slices of text, per segment; the lowest bit says whether two documents have one."""
     def collect(batches):
         keys, owners, size = [], [], 0
 
         def flush():
-            all_keys, docs_of = np.concatenate(keys) & ~LOW_BIT, np.concatenate(owners)
+            all_keys, docs_of = common.short_keys(np.concatenate(keys) & ~LOW_BIT, segments), np.concatenate(owners)
             keys.clear(), owners.clear()
             order = np.argsort(all_keys, kind="stable")
             all_keys, docs_of = all_keys[order], docs_of[order]
@@ -103,7 +103,7 @@ def key_blocks(docs: DataFrame, segments: int) -> DataFrame:
             different = all_keys[first] | two.astype(np.uint64)
             at = np.searchsorted(common.segment_of(different, segments).astype(np.int64), np.arange(segments + 1))
             some = np.flatnonzero(np.diff(at))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([different[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())],
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([different[at[s]:at[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())],
                                               names=["segment", "keys"])
 
         for pieces in blocks(batches):
@@ -123,15 +123,16 @@ def key_blocks(docs: DataFrame, segments: int) -> DataFrame:
 def shared_keys(found: DataFrame, segments: int) -> common.SlicedFilter:
     """A filter over the keys that two documents have."""
     def shared(key, table):
-        keys = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64))
-        first = np.flatnonzero(np.concatenate(([True], (keys[1:] ^ keys[:-1]) > LOW_BIT)))
-        several = (np.diff(first, append=len(keys)) > 1) | (np.bitwise_or.reduceat(keys, first) & LOW_BIT).astype(np.bool_)
-        keys = (keys[first] & ~LOW_BIT)[several]
+        halves = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32))
+        first = np.flatnonzero(np.concatenate(([True], (halves[1:] ^ halves[:-1]) > 1)))
+        several = (np.diff(first, append=len(halves)) > 1) | (np.bitwise_or.reduceat(halves, first) & 1).astype(np.bool_)
+        keys = common.first_of_segment(np.array([key[0].as_py()]), segments) | (halves[first][several] & ~np.uint32(1)).astype(np.uint64)
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "stored": pa.array([len(keys)], pa.int64()),
                          "keys": pa.array([keys.tobytes()], pa.binary())})
 
     stored = session.written(found.groupBy("segment").applyInArrow(shared, "segment int, stored long, keys binary"), "shared-keys")
-    return common.sliced_filter(stored, segments, BITS_PER_KEY, PROBES, MOST_BYTES)
+    most = stored.agg(F.max("stored")).first()[0] or 0
+    return common.sliced_filter(stored, most, segments, BITS_PER_KEY, PROBES, MOST_BYTES)
 
 
 CANDIDATES = ("flush string, bucket int, strings binary, lengths binary, least binary, greatest binary, "
@@ -164,15 +165,15 @@ def candidates(docs: DataFrame, filter_: common.SlicedFilter, buckets: int) -> D
             values, at = np.unique(bucket[order], return_index=True)
             ends = [*at[1:], len(order)]
             name = f"{part}-{flushes}"
-            rows = [(name, int(b), b"".join(strings[i] for i in order[s:e]), lengths[s:e].tobytes(), least[s:e].tobytes(), greatest[s:e].tobytes(),
+            rows = [(name, int(b), common.packed(b"".join(strings[i] for i in order[s:e])), *(common.packed(x[s:e]) for x in (lengths, least, greatest)),
                      None, None, None, None) for b, s, e in zip(values, at, ends)]
-            rows.append((name, -1, None, None, None, None, docs_of.tobytes(), hashes.tobytes(), starts.tobytes(), own.tobytes()))
+            rows.append((name, -1, None, None, None, None, *map(common.packed, (docs_of, hashes, starts, own))))
             kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
         for pieces in blocks(batches):
             which, start, count, key = runs([p[3] for p in pieces])
-            some = np.flatnonzero(shared.holds(key & ~LOW_BIT))
+            some = np.flatnonzero(shared.holds(common.short_keys(key & ~LOW_BIT, segments)))
             for w, s, n, k in zip(which[some].tolist(), start[some].tolist(), count[some].tolist(), key[some].tolist()):
                 doc, text_hash, at, data = pieces[w]
                 string = data[s:s + n + LENGTH - 1]
@@ -213,10 +214,10 @@ def answers(found: DataFrame) -> DataFrame:
     """For the strings of each flush and bucket, runs of windows (from, to, smallest document) that an earlier document has."""
     def sort(key, table):
         numbers, least, own = {}, [], []
-        for packed, lengths, docs_of in zip(*(table.column(c).to_pylist() for c in ("strings", "lengths", "least"))):
-            at, mine = 0, []
-            for n, doc in zip(np.frombuffer(lengths, np.uint32).tolist(), np.frombuffer(docs_of, np.int64).tolist()):
-                string = packed[at:at + n]
+        for joined, lengths, docs_of in zip(*(table.column(c).to_pylist() for c in ("strings", "lengths", "least"))):
+            at, mine, joined = 0, [], common.unpacked(joined)
+            for n, doc in zip(common.unpacked(lengths, "u4").tolist(), common.unpacked(docs_of, "i8").tolist()):
+                string = joined[at:at + n]
                 at += n
                 number = numbers.setdefault(string, len(numbers))
                 if number == len(least):
@@ -231,9 +232,9 @@ def answers(found: DataFrame) -> DataFrame:
             changes.append(list(zip(starts.tolist(), [*starts[1:].tolist(), len(windows)], windows[starts].tolist())))
         rows = []
         for flush, mine, greatest in zip(table.column("flush").to_pylist(), own, table.column("greatest").to_pylist()):
-            parts = [[c for c in changes[n] if c[2] < most] for n, most in zip(mine, np.frombuffer(greatest, np.int64).tolist())]
-            rows.append((flush, key[0].as_py(), np.array([len(p) for p in parts], np.int64).tobytes(),
-                         np.array([c for p in parts for c in p], np.int64).reshape(-1, 3).tobytes()))
+            parts = [[c for c in changes[n] if c[2] < most] for n, most in zip(mine, common.unpacked(greatest, "i8").tolist())]
+            rows.append((flush, key[0].as_py(), common.packed(np.array([len(p) for p in parts], np.int64)),
+                         common.packed(np.array([c for p in parts for c in p], np.int64).reshape(-1, 3))))
         kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["flush", "bucket", "counts", "parts"])
 
@@ -253,17 +254,16 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def removed_spans(found: DataFrame) -> DataFrame:
     """Removed spans of documents: doc_id, text_hash, spans (pairs of 64-bit integers)."""
-    answered = session.written(answers(found), "repeat-answers")
-    per_flush = answered.groupBy("flush").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "parts"))).alias("answers"))
+    per_flush = answers(found).groupBy("flush").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "parts"))).alias("answers"))
     places = found.where("bucket = -1").select("flush", "docs", "hashes", "starts", "numbers")
 
     def locate(batches):
         for batch in batches:
             rows = []
-            for packed, *arrays in zip(*(batch.column(c).to_pylist() for c in ("answers", "docs", "hashes", "starts", "numbers"))):
-                docs_of, hashes, starts, numbers = (np.frombuffer(a, np.int64) for a in arrays)
-                counts = np.frombuffer(b"".join(a["counts"] for a in packed), np.int64)
-                parts = np.frombuffer(b"".join(a["parts"] for a in packed), np.int64).reshape(-1, 3)
+            for answered, *arrays in zip(*(batch.column(c).to_pylist() for c in ("answers", "docs", "hashes", "starts", "numbers"))):
+                docs_of, hashes, starts, numbers = (common.unpacked(a, "i8") for a in arrays)
+                counts = np.concatenate([common.unpacked(a["counts"], "i8") for a in answered])
+                parts = np.concatenate([common.unpacked(a["parts"], "i8") for a in answered]).reshape(-1, 3)
                 begins, own = np.cumsum(counts) - counts, counts[numbers]
                 at = np.repeat(begins[numbers] - (np.cumsum(own) - own), own) + np.arange(own.sum())
                 place = np.repeat(np.arange(len(numbers)), own)
