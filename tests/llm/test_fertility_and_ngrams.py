@@ -105,7 +105,8 @@ def test_scores_against_plain_counting(spark):
         return (2 ** q + 2 ** (q + 1) - 1) / 2 if n else 0
     def probability(v, w):
         before = held(starts if v == ngram_bloom.START else single[v])
-        return (min(held(pair[v, w]), before) + ngram_bloom.PRIOR * (held(single[w]) + 1) / (total + different + 1)) / (before + ngram_bloom.PRIOR)
+        mix = ngram_bloom.MIX * before / (before + ngram_bloom.PRIOR)
+        return mix * min(held(pair[v, w]), before) / max(before, 1) + (1 - mix) * (held(single[w]) + 1) / (total + different + 1)
     want = []
     for doc, text, *_ in rows:
         t = token(text)
@@ -123,7 +124,7 @@ def test_scores_against_plain_counting(spark):
 
 def test_filter_gives_counts_back():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 2 ** 63, 20_000).astype(np.uint64) * np.uint64(2))
+    keys = ngram_bloom.common.short_keys(np.unique(rng.integers(0, 2 ** 63, 20_000).astype(np.uint64) * np.uint64(2)), 4)
     counts = rng.zipf(1.6, len(keys)).clip(1, 10_000)
     levels = ngram_bloom.levels_of(counts)
     stored = np.concatenate([ngram_bloom.level_keys(keys[levels >= at], at) for at in range(1, int(levels.max()) + 1)])
@@ -135,3 +136,8 @@ def test_filter_gives_counts_back():
     assert (got >= want).all() and (got == want).mean() > 0.97
     absent = np.unique(rng.integers(0, 2 ** 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     assert (model.counts(absent) > 0).mean() < 0.05
+
+
+def test_rare_pairs_stay_out_of_a_small_filter():
+    held = np.array([0, 1000, 100, 10, 1])
+    assert [ngram_bloom.lowest_level(held, room) for room in (1234, 1233, 234, 34, 33, 3, 0)] == [0, 2, 2, 3, 4, 5, 5]

@@ -6,25 +6,28 @@ count back as the mean of its range. A false count needs a false positive at eve
 its size is bounded by falling odds. Levels 3 and up share the filter with the others: few n-grams have them.
 
 Tokens are words between ASCII white space with A-Z in lower case, then one end per document. Words and pairs (word,
-follower; a start stands before the first) are counted over all training documents. The probability of a token is
+follower; a start stands before the first) are counted over all training documents. The probability of a token mixes both:
 
-    P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR),    P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | v) = m c(v w) / c(v) + (1 - m) P(w),    m = MIX c(v) / (c(v) + PRIOR),    P(w) = (c(w) + 1) / (N + V + 1)
 
-with every count read from the filter, and N tokens and V different ones counted exactly. c(v w) counts as at most c(v).
+with the counts c read from the filter, and N tokens and V different ones counted exactly. c(v w) counts as at most c(v).
 
-How it is spread: tasks count the n-grams of their slices of text as sorted 64-bit keys and send them, packed, to one of many
+How it is spread: tasks count the n-grams of their slices of text as sorted keys and send them, packed, to one of many
 segments of the key space; a segment's group adds them up and makes its own slice of the filter. The number of segments
 grows with the tokens, so a group stays small, and an n-gram of a third of all tokens arrives as one count per slice
-of text. The filter is sized for the n-grams there are, up to `most_bytes`, which bounds what is broadcast; beyond that the
-slices become denser and counts less exact, but every n-gram stays in.
+of text.
+
+What is broadcast is bounded: the filter has at most `most_bytes`. Of all pairs counted, those stay out whose level is below the
+lowest one with which BITS_PER_KEY bits are left for each key; while all pairs fit, as they do in small corpora, none does.
+A pair that is not held is scored by its word alone, like one never seen. Words are held before pairs.
 
 The base score needs exact counts. The HEAD most frequent words, a bounded number, are broadcast; the others in each
 document are joined to the table of counts.
 """
 
-import functools
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,14 @@ from vellum.llm.words import word_lists
 
 END, START = b"\n", b"\t"  # no word holds them
 HEAD = 200_000
-PRIOR = 500.0
-MOST_BYTES = 64 << 20
+MIX, PRIOR = 0.7, 50.0
+MOST_BYTES = 32 << 20
 BITS_PER_KEY, PROBES = 10, 4
 KEYS_PER_SEGMENT = 1 << 20
 FLUSH = 3_000_000  # n-grams a task holds before it sends their counts
+ODD = np.uint64(1)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0xFFFFFFFF)
 LEVEL = 0xD1B54A32D192ED03
 
 
@@ -52,14 +57,18 @@ def word_key(word: bytes) -> int:
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Keys of word pairs from the keys of their words."""
-    return common.mix(left * PAIR + (right ^ (right >> np.uint64(29))))
+    """Keys of word pairs, all odd, from the keys of their words."""
+    return common.mix(left * PAIR + (right ^ (right >> np.uint64(29)))) | ODD
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of single words, all even, from the hashes of words."""
+    return words & ~ODD
 
 
 def level_keys(keys: np.ndarray, level: int) -> np.ndarray:
     """Keys under which a level of these n-grams is stored; they stay in the segment of the n-gram."""
-    low = np.uint64(0xFFFFFFFF)
-    return (keys & ~low) | (common.mix(keys + np.uint64(LEVEL * level & 0xFFFFFFFFFFFFFFFF)) & low)
+    return (keys & ~LOW) | (common.mix(keys + np.uint64(LEVEL * level & 0xFFFFFFFFFFFFFFFF)) & LOW)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -81,10 +90,14 @@ class Words:
     def keys(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.keep:
             self.known.clear()
-        known, get = self.known, self.known.get
-        for word in set(words).difference(known):
-            known[word] = word_key(word)
-        return np.fromiter(map(get, words), np.uint64, len(words))
+        known = self.known
+        keys = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
+        for at in np.flatnonzero(keys == 0).tolist():  # words not seen lately
+            word = words[at]
+            if word not in known:
+                known[word] = word_key(word)
+            keys[at] = known[word]
+        return keys
 
 
 def tokens(text: str):
@@ -121,10 +134,12 @@ def ngram_blocks(training: DataFrame, segments: int) -> DataFrame:
         start, end = np.array([word_key(START)], np.uint64), np.array([word_key(END)], np.uint64)
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            at = np.searchsorted(common.segment_of(keys, segments), np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(at.astype(np.int64)))
-            columns = [[x[at[s]:at[s + 1]].tobytes() for s in some] for x in (keys, counts.astype(np.uint32))]
+            keys, counts = np.unique(common.short_keys(np.concatenate(held), segments), return_counts=True)
+            at = np.searchsorted(common.segment_of(keys, segments).astype(np.int64), np.arange(segments + 1))
+            some = np.flatnonzero(np.diff(at))
+            halves, counts = (keys & LOW).astype(np.uint32), counts.astype(np.uint32)  # steps between sorted numbers pack well
+            columns = [[common.packed(np.diff(halves[at[s]:at[s + 1]], prepend=np.uint32(0))) for s in some],
+                       [common.packed(counts[at[s]:at[s + 1]]) for s in some]]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
                                               names=["segment", "keys", "counts"])
@@ -132,9 +147,9 @@ def ngram_blocks(training: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             for text in common.strings(batch):
                 last = start
-                held.append(start)  # the start stands before a first word as often as there are documents
+                held.append(word_keys(start))  # the start stands before a first word as often as there are documents
                 for some in (*map(words.keys, tokens(text)), end):
-                    held += [some, pair_keys(np.concatenate((last, some[:-1])), some)] if len(some) else []
+                    held += [word_keys(some), pair_keys(np.concatenate((last, some[:-1])), some)] if len(some) else []
                     last = some[-1:] if len(some) else last
                     size += 2 * len(some)
                     if size > FLUSH:
@@ -147,27 +162,59 @@ def ngram_blocks(training: DataFrame, segments: int) -> DataFrame:
     return common.mapped(training.select("text"), block, "segment int, keys binary, counts binary")
 
 
-def merged_counts(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
+def merged_counts(halves: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of packed blocks, as lower halves, and the sums of their counts."""
+    halves = np.concatenate([np.cumsum(common.unpacked(h, "u4"), dtype=np.uint32) for h in halves])
+    counts = np.concatenate([common.unpacked(c, "u4") for c in counts])
+    order = np.argsort(halves, kind="stable")
+    halves = halves[order]
+    first = np.flatnonzero(np.concatenate(([True], halves[1:] != halves[:-1])))
+    return halves[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def lowest_level(held: np.ndarray, room: float) -> int:
+    """The lowest level such that n-grams from it on, held[level] of each, have no more keys than `room`."""
+    keys = np.cumsum((held * np.arange(len(held)))[::-1])[::-1]
+    return int(np.flatnonzero(np.append(keys, 0) <= room)[0])
 
 
 def build_filter(training: DataFrame, tokens_counted: int, most_bytes: int = MOST_BYTES) -> SlicedFilter:
-    """The filter over all words and pairs of `training`."""
+    """The filter over the words and pairs of `training`."""
     segments = max(1, math.ceil(2 * tokens_counted / KEYS_PER_SEGMENT))
 
-    def level(key, table):
-        keys, counts = merged_counts(table.column("keys").to_pylist(), table.column("counts").to_pylist())
+    def merge(key, table):
+        halves, counts = merged_counts(table.column("keys").to_pylist(), table.column("counts").to_pylist())
         levels = levels_of(counts)
-        stored = np.concatenate([level_keys(keys[levels >= at], at) for at in range(1, int(levels.max()) + 1)])
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "stored": [len(stored)], "keys": pa.array([stored.tobytes()], pa.binary())})
-
-    blocks = ngram_blocks(training, segments)
-    stored = session.written(blocks.groupBy("segment").applyInArrow(level, "segment int, stored long, keys binary"), "ngrams")
-    return common.sliced_filter(stored, segments, BITS_PER_KEY, PROBES, most_bytes)
+        sizes = [np.bincount(levels[halves & 1 == kind], minlength=64).tolist() for kind in (0, 1)]
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "words": pa.array(sizes[:1], pa.list_(pa.int64())),
+                         "pairs": pa.array(sizes[1:], pa.list_(pa.int64())), "keys": pa.array([common.packed(halves)], pa.binary()),
+                         "levels": pa.array([common.packed(levels.astype(np.uint8))], pa.binary())})
+
+    merged = session.written(ngram_blocks(training, segments).groupBy("segment").applyInArrow(
+        merge, "segment int, words array<long>, pairs array<long>, keys binary, levels binary"), "ngrams")
+    sizes = merged.agg(*(F.sum(F.col(c)[at]).alias(f"{c}{at}") for c in ("words", "pairs") for at in range(64))).first()
+    words, pairs = (np.array([sizes[f"{c}{at}"] or 0 for at in range(64)], np.int64) for c in ("words", "pairs"))
+    room = most_bytes * 8 / BITS_PER_KEY
+    least_words = lowest_level(words, room)
+    least_pairs = lowest_level(pairs, room - (words * np.arange(64))[least_words:].sum())
+
+    def stored(batches):
+        for batch in batches:
+            rows = []
+            for segment, keys, levels in zip(*(batch.column(c).to_pylist() for c in ("segment", "keys", "levels"))):
+                halves, levels = common.unpacked(keys, "u4"), common.unpacked(levels, "u1")
+                good = levels >= np.where(halves & 1 == 1, least_pairs, least_words)
+                keys = common.first_of_segment(np.array([segment]), segments) | halves[good].astype(np.uint64)
+                levels = levels[good]
+                parts = [level_keys(keys[levels >= at], at) for at in range(1, int(levels.max(initial=0)) + 1)]
+                rows.append((segment, b"".join(p.tobytes() for p in parts)))
+            columns = list(zip(*rows)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary()))], names=["segment", "keys"])
+
+    size = sum((F.col(c)[at] * at for c, least in (("words", least_words), ("pairs", least_pairs)) for at in range(least, 64)), F.lit(0))
+    most = merged.agg(F.max(size)).first()[0] or 0
+    keys = common.mapped(merged.select("segment", "keys", "levels"), stored, "segment int, keys binary")
+    return common.sliced_filter(keys, most, segments, BITS_PER_KEY, PROBES, most_bytes)
 
 
 class Model:
@@ -180,6 +227,7 @@ class Model:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of n-grams as the filter gives them back."""
+        keys = common.short_keys(keys, self.held.segments)
         levels = np.zeros(len(keys), np.int64)
         at, level = np.arange(len(keys)), 1
         while len(at) and level < 64:
@@ -200,14 +248,15 @@ class Model:
 
     def score(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probabilities of texts whose tokens' keys stand one after another, each from `starts` on behind a start."""
-        counts = self.word_counts(keys)
+        counts = self.word_counts(word_keys(keys))
         follows = np.ones(len(keys), np.bool_)
         follows[starts] = False  # a start is given, not scored
         right = np.flatnonzero(follows)
-        pairs = np.minimum(self.counts(pair_keys(keys[right - 1], keys[right])), counts[right - 1])
-        prior = PRIOR * (counts[right] + 1) / (self.total + self.different + 1)
+        before = counts[right - 1]
+        pairs = np.minimum(self.counts(pair_keys(keys[right - 1], keys[right])), before)
+        mix = MIX * before / (before + PRIOR)
         logs = np.zeros(len(keys))
-        logs[right] = np.log10((pairs + prior) / (counts[right - 1] + PRIOR))
+        logs[right] = np.log10(mix * pairs / np.maximum(before, 1) + (1 - mix) * (counts[right] + 1) / (self.total + self.different + 1))
         return np.add.reduceat(logs, starts)
 
 
@@ -225,39 +274,43 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
     model = build_filter(training, total, most_bytes)
     frequent = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
     head = spark.sparkContext.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist())))  # at most HEAD words
-    bits = spark.sparkContext.broadcast((model.segments, model.slice_bytes, model.probes, model.bits.tobytes()))  # at most most_bytes
+    bits = spark.sparkContext.broadcast((model.segments, model.slice_bytes, model.probes, model.bits))  # at most most_bytes
+    del model
     # One row per document and, for words outside the head, one per (document, word).
     schema = "doc_id long, held_out boolean, nth long, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,n:long>>"
 
     def score(batches):
         segments, slice_bytes, probes, held = bits.value
-        scorer = Model(SlicedFilter(segments, slice_bytes, probes, np.frombuffer(held, np.uint8)), total, different)
-        frequent, log10 = head.value, functools.cache(math.log10)
-        ends = [np.array([word_key(w)], np.uint64) for w in (START, END)]
+        scorer = Model(SlicedFilter(segments, slice_bytes, probes, held), total, different)
+        place = {word: at for at, word in enumerate(head.value)}
+        head_keys = np.fromiter(map(word_key, place), np.uint64, len(place))
+        head_logs = np.log10(np.fromiter(head.value.values(), np.float64, len(place)) + 1)
+        start = word_key(START)
         for batch in batches:
             made, texts = [], common.strings(batch)
             for some in common.slices(texts):
-                all_keys, starts, figures, size = [], [], [], 0
+                words, starts = [], []
                 for text in texts[some.start:some.stop]:
-                    counts, keys = Counter((END,)), [ends[0]]
-                    for words in tokens(text):
-                        counts.update(words)
-                        keys.append(scorer.words.keys(words))
-                    keys.append(ends[1])
-                    known, logs, rare = 0, 0.0, []
-                    for word, n in counts.items():
-                        c = frequent.get(word)
-                        if c is None:
-                            rare.append({"word": word, "n": n})
-                        else:
-                            known += n
-                            logs += n * log10(c + 1)
-                    starts.append(size)
-                    size += sum(map(len, keys))
-                    figures.append((size - starts[-1] - 1, known, logs, rare))
-                    all_keys += keys
-                for figure, value in zip(figures, scorer.score(np.concatenate(all_keys), np.array(starts)).tolist()):
-                    made.append((*figure[:3], value, figure[3]))
+                    starts.append(len(words))
+                    words.append(START)
+                    for part in tokens(text):
+                        words += part
+                    words.append(END)
+                starts = np.array(starts)
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                known, rare = at >= 0, at < 0
+                rare[starts] = False
+                keys, logs = np.full(len(words), start, np.uint64), np.zeros(len(words))
+                keys[known], logs[known] = head_keys[at[known]], head_logs[at[known]]
+                places = np.flatnonzero(rare)
+                rare_words = [words[i] for i in places.tolist()]
+                keys[places] = scorer.words.keys(rare_words)
+                outside = [Counter() for _ in starts]
+                for doc, word in zip((np.searchsorted(starts, places, "right") - 1).tolist(), rare_words):
+                    outside[doc][word] += 1
+                columns = (np.diff(starts, append=len(words)) - 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts),
+                           scorer.score(keys, starts))
+                made += zip(*(c.tolist() for c in columns), ([{"word": w, "n": n} for w, n in o.items()] for o in outside))
             columns = list(zip(*made)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
