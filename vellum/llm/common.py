@@ -11,11 +11,13 @@ from vellum import session
 
 # Characters of text worked on at a time, so that lists and arrays made from them stay small.
 SLICE_CHARS = 2_000_000
+# Bytes of rows that go to a Python worker at a time; a longer row goes alone.
+BATCH_BYTES = 8 << 20
 
 
 def mapped(frame: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`frame.mapInArrow` with this package on the workers and batches cut by bytes."""
-    session.ship(session.limit_batches(frame.sparkSession))
+    """`frame.mapInArrow` with this package on the workers and batches cut by bytes, so that a worker holds little at a time."""
+    session.ship(frame.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(task, schema)
 
 

@@ -34,7 +34,7 @@ BLOCK = 2 << 20  # bytes of texts worked on at a time
 FLUSH_KEYS, FLUSH_BYTES = 2_000_000, 12 << 20
 RUN = 18  # bytes of text for one key, about
 KEYS_PER_SEGMENT = 1 << 19
-BUCKET_TEXT = 8 << 20  # bytes of corpus for each bucket
+BUCKET_TEXT = 4 << 20  # bytes of corpus for each bucket
 MOST_BYTES, BITS_PER_KEY, PROBES = 64 << 20, 12, 5
 LOW_BIT = np.uint64(1)
 
