@@ -141,3 +141,10 @@ def test_filter_gives_counts_back():
 def test_rare_pairs_stay_out_of_a_small_filter():
     held = np.array([0, 1000, 100, 10, 1])
     assert [ngram_bloom.lowest_level(held, room) for room in (1234, 1233, 234, 34, 33, 3, 0)] == [0, 2, 2, 3, 4, 5, 5]
+
+
+def test_most_frequent_words_are_whole_classes(spark):
+    counts = [(f"w{i}".encode(), n) for i, n in enumerate([1000, 990, 40, 40, 40, 2, 2, 1, 1, 1])]
+    vocabulary = spark.createDataFrame(counts, "word binary, n long")
+    for most, held in ((100, 10), (9, 7), (7, 7), (6, 5), (4, 2), (2, 2), (1, 0), (0, 0)):
+        assert sorted(ngram_bloom.most_frequent(vocabulary, most).column("n").to_pylist(), reverse=True) == [n for _, n in counts][:held]

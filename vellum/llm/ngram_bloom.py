@@ -127,6 +127,22 @@ def word_counts(training: DataFrame) -> DataFrame:
     return common.mapped(training.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(vocabulary: DataFrame, most: int) -> pa.Table:
+    """The words from the lowest class of counts on with which there are at most `most`; a class is an eighth of a doubling.
+
+    Classes are counted first, so that no task sends more words than are wanted in all.
+    """
+    classed = vocabulary.withColumn("class", F.floor(F.log2("n") * 8))
+    sizes = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}  # at most 8 * 64 rows
+    least, held = None, 0
+    for class_ in sorted(sizes, reverse=True):
+        held += sizes[class_]
+        if held > most:
+            break
+        least = class_
+    return (classed.where(F.col("class") >= least) if least is not None else classed.limit(0)).select("word", "n").toArrow()
+
+
 def ngram_blocks(training: DataFrame, segments: int) -> DataFrame:
     """Counts of words and pairs of slices of text, as packed arrays per segment: segment, keys, counts."""
     def block(batches):
@@ -272,8 +288,9 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
     vocabulary = session.written(word_counts(training), "words")
     total, different = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     model = build_filter(training, total, most_bytes)
-    frequent = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    head = spark.sparkContext.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist())))  # at most HEAD words
+    frequent = most_frequent(vocabulary, HEAD)
+    head = spark.sparkContext.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())))  # at most HEAD words
+    del frequent
     bits = spark.sparkContext.broadcast((model.segments, model.slice_bytes, model.probes, model.bits))  # at most most_bytes
     del model
     # One row per document and, for words outside the head, one per (document, word).
