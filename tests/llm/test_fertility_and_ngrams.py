@@ -148,3 +148,17 @@ def test_most_frequent_words_are_whole_classes(spark):
     vocabulary = spark.createDataFrame(counts, "word binary, n long")
     for most, held in ((100, 10), (9, 7), (7, 7), (6, 5), (4, 2), (2, 2), (1, 0), (0, 0)):
         assert sorted(ngram_bloom.most_frequent(vocabulary, most).column("n").to_pylist(), reverse=True) == [n for _, n in counts][:held]
+
+
+def test_no_pair_stays_out(spark, monkeypatch):
+    """Many more n-grams than once had room, dealt over many segments: pairs seen once still count."""
+    monkeypatch.setattr(ngram_bloom, "BITS_PER_KEY", 1_000_000)  # a filter of 32 MB had room for 268 keys
+    monkeypatch.setattr(ngram_bloom, "KEYS_PER_SEGMENT", 100)
+    seen = [f"w{i}" for i in range(500)]
+    texts = [" ".join(seen), " ".join(seen), " ".join(reversed(seen))]  # the first is learned from
+    docs = spark.createDataFrame([(i, t, i > 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["score"] for r in ngram_bloom.scores(docs, "held_out").collect()}
+    mix, single = ngram_bloom.MIX / (1 + ngram_bloom.PRIOR), 2 / (501 + 501 + 1)
+    alone = 501 * math.log10((1 - mix) * single)
+    assert got[0] == got[1] == pytest.approx(501 * math.log10(mix + (1 - mix) * single), rel=0.02)
+    assert got[2] == pytest.approx(alone, rel=0.02)

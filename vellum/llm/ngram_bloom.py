@@ -12,14 +12,12 @@ follower; a start stands before the first) are counted over all training documen
 
 with the counts c read from the filter, and N tokens and V different ones counted exactly. c(v w) counts as at most c(v).
 
-How it is spread: tasks count the n-grams of their slices of text as sorted keys and send them, packed, to one of many
-segments of the key space; a segment's group adds them up and makes its own slice of the filter. The number of segments
-grows with the tokens, so a group stays small, and an n-gram of a third of all tokens arrives as one count per slice
-of text.
-
-What is broadcast is bounded: the filter has at most `most_bytes`. Of all pairs counted, those stay out whose level is below the
-lowest one with which BITS_PER_KEY bits are left for each key; while all pairs fit, as they do in small corpora, none does.
-A pair that is not held is scored by its word alone, like one never seen. Words are held before pairs.
+How it is spread: tasks take their texts in blocks of whole documents. The different n-grams of a block go, as sorted keys with
+their counts in training documents, packed, to the segments of the key space. A segment's group adds the counts up,
+builds its slice of the filter from all of them and reads it once for each different n-gram that any block asks for. The levels go back
+to the blocks, which sum the logs of their documents. The number of segments grows with the text, so a group stays small, and an
+n-gram of a third of all tokens is one entry per block. No task holds the whole filter, nothing of it is broadcast, and no word or
+pair is left out of it.
 
 The base score needs exact counts. The HEAD most frequent words, a bounded number, are broadcast; the others in each
 document are joined to the table of counts.
@@ -32,6 +30,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vellum import session
@@ -42,10 +41,10 @@ from vellum.llm.words import word_lists
 END, START = b"\n", b"\t"  # no word holds them
 HEAD = 200_000
 MIX, PRIOR = 0.7, 50.0
-MOST_BYTES = 32 << 20
 BITS_PER_KEY, PROBES = 10, 4
 KEYS_PER_SEGMENT = 1 << 20
-FLUSH = 3_000_000  # n-grams a task holds before it sends their counts
+TOKEN_BYTES = 6  # bytes of text for one token, about
+FLUSH = 3_000_000  # n-grams of a block, about
 ODD = np.uint64(1)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
@@ -143,49 +142,26 @@ def most_frequent(vocabulary: DataFrame, most: int) -> pa.Table:
     return (classed.where(F.col("class") >= least) if least is not None else classed.limit(0)).select("word", "n").toArrow()
 
 
-def ngram_blocks(training: DataFrame, segments: int) -> DataFrame:
-    """Counts of words and pairs of slices of text, as packed arrays per segment: segment, keys, counts."""
-    def block(batches):
-        words, held, size = Words(), [], 0
-        start, end = np.array([word_key(START)], np.uint64), np.array([word_key(END)], np.uint64)
+def ngrams(keys: np.ndarray, starts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of texts whose tokens' keys stand one after another, each from `starts` on behind a start, as
+    sorted short keys; and the number among them of every word, and of the pair it ends (of a start: of the start itself)."""
+    pairs = pair_keys(keys[:-1], keys[1:])
+    words = word_keys(keys)
+    ends = np.concatenate((words[:1], pairs))
+    ends[starts] = words[starts]
+    different, number = np.unique(common.short_keys(np.concatenate((words, ends)), segments), return_inverse=True)
+    return different, number[:len(keys)], number[len(keys):]
 
-        def flush():
-            keys, counts = np.unique(common.short_keys(np.concatenate(held), segments), return_counts=True)
-            at = np.searchsorted(common.segment_of(keys, segments).astype(np.int64), np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(at))
-            halves, counts = (keys & LOW).astype(np.uint32), counts.astype(np.uint32)  # steps between sorted numbers pack well
-            columns = [[common.packed(np.diff(halves[at[s]:at[s + 1]], prepend=np.uint32(0))) for s in some],
-                       [common.packed(counts[at[s]:at[s + 1]]) for s in some]]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
-                                              names=["segment", "keys", "counts"])
 
-        for batch in batches:
-            for text in common.strings(batch):
-                last = start
-                held.append(word_keys(start))  # the start stands before a first word as often as there are documents
-                for some in (*map(words.keys, tokens(text)), end):
-                    held += [word_keys(some), pair_keys(np.concatenate((last, some[:-1])), some)] if len(some) else []
-                    last = some[-1:] if len(some) else last
-                    size += 2 * len(some)
-                    if size > FLUSH:
-                        yield flush()
-                        size = 0
-                size += 1
-        if held:
-            yield flush()
-
-    return common.mapped(training.select("text"), block, "segment int, keys binary, counts binary")
-
-
-def merged_counts(halves: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys of packed blocks, as lower halves, and the sums of their counts."""
-    halves = np.concatenate([np.cumsum(common.unpacked(h, "u4"), dtype=np.uint32) for h in halves])
+def merged_counts(halves: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different keys of packed blocks, as lower halves, the sums of their counts, and the number of each block's keys among them."""
+    halves = [np.cumsum(common.unpacked(h, "u4"), dtype=np.uint32) for h in halves]
     counts = np.concatenate([common.unpacked(c, "u4") for c in counts])
-    order = np.argsort(halves, kind="stable")
-    halves = halves[order]
-    first = np.flatnonzero(np.concatenate(([True], halves[1:] != halves[:-1])))
-    return halves[first], np.add.reduceat(counts[order].astype(np.int64), first)
+    ends = np.cumsum([len(h) for h in halves])
+    halves, number = np.unique(np.concatenate(halves), return_inverse=True)
+    sums = np.zeros(len(halves), np.int64)
+    np.add.at(sums, number, counts)
+    return halves, sums, np.split(number, ends[:-1])
 
 
 def lowest_level(held: np.ndarray, room: float) -> int:
@@ -194,55 +170,35 @@ def lowest_level(held: np.ndarray, room: float) -> int:
     return int(np.flatnonzero(np.append(keys, 0) <= room)[0])
 
 
-def build_filter(training: DataFrame, tokens_counted: int, most_bytes: int = MOST_BYTES) -> SlicedFilter:
-    """The filter over the words and pairs of `training`."""
-    segments = max(1, math.ceil(2 * tokens_counted / KEYS_PER_SEGMENT))
+def slice_filter(halves: np.ndarray, counts: np.ndarray) -> SlicedFilter:
+    """The slice of a segment: every n-gram with a count is stored under all its levels."""
+    halves, levels = halves[counts > 0].astype(np.uint64), levels_of(counts[counts > 0])
+    stored = [level_keys(halves[levels >= at], at) for at in range(1, int(levels.max(initial=0)) + 1)]
+    stored = np.concatenate(stored) if stored else halves
+    slice_bytes = max(64, -(-len(stored) * BITS_PER_KEY // 8))
+    return SlicedFilter(1, slice_bytes, PROBES, np.frombuffer(SlicedFilter.slice_of(stored, slice_bytes, PROBES), np.uint8))
 
-    def merge(key, table):
-        halves, counts = merged_counts(table.column("keys").to_pylist(), table.column("counts").to_pylist())
-        levels = levels_of(counts)
-        sizes = [np.bincount(levels[halves & 1 == kind], minlength=64).tolist() for kind in (0, 1)]
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "words": pa.array(sizes[:1], pa.list_(pa.int64())),
-                         "pairs": pa.array(sizes[1:], pa.list_(pa.int64())), "keys": pa.array([common.packed(halves)], pa.binary()),
-                         "levels": pa.array([common.packed(levels.astype(np.uint8))], pa.binary())})
 
-    merged = session.written(ngram_blocks(training, segments).groupBy("segment").applyInArrow(
-        merge, "segment int, words array<long>, pairs array<long>, keys binary, levels binary"), "ngrams")
-    sizes = merged.agg(*(F.sum(F.col(c)[at]).alias(f"{c}{at}") for c in ("words", "pairs") for at in range(64))).first()
-    words, pairs = (np.array([sizes[f"{c}{at}"] or 0 for at in range(64)], np.int64) for c in ("words", "pairs"))
-    room = most_bytes * 8 / BITS_PER_KEY
-    least_words = lowest_level(words, room)
-    least_pairs = lowest_level(pairs, room - (words * np.arange(64))[least_words:].sum())
+def answers(found: DataFrame) -> DataFrame:
+    """For every block and segment, the levels of the block's n-grams, read from the segment's slice: nth, segment, levels."""
+    def read(key, table):
+        halves, counts, numbers = merged_counts(table.column("keys").to_pylist(), table.column("counts").to_pylist())
+        levels = Model(slice_filter(halves, counts), 0, 0).levels(halves.astype(np.uint64)).astype(np.uint8)
+        return pa.table({"nth": table.column("nth"), "segment": table.column("segment"),
+                         "levels": pa.array([common.packed(levels[n]) for n in numbers], pa.binary())})
 
-    def stored(batches):
-        for batch in batches:
-            rows = []
-            for segment, keys, levels in zip(*(batch.column(c).to_pylist() for c in ("segment", "keys", "levels"))):
-                halves, levels = common.unpacked(keys, "u4"), common.unpacked(levels, "u1")
-                good = levels >= np.where(halves & 1 == 1, least_pairs, least_words)
-                keys = common.first_of_segment(np.array([segment]), segments) | halves[good].astype(np.uint64)
-                levels = levels[good]
-                parts = [level_keys(keys[levels >= at], at) for at in range(1, int(levels.max(initial=0)) + 1)]
-                rows.append((segment, b"".join(p.tobytes() for p in parts)))
-            columns = list(zip(*rows)) or [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary()))], names=["segment", "keys"])
-
-    size = sum((F.col(c)[at] * at for c, least in (("words", least_words), ("pairs", least_pairs)) for at in range(least, 64)), F.lit(0))
-    most = merged.agg(F.max(size)).first()[0] or 0
-    keys = common.mapped(merged.select("segment", "keys", "levels"), stored, "segment int, keys binary")
-    return common.sliced_filter(keys, most, segments, BITS_PER_KEY, PROBES, most_bytes)
+    return (found.where("segment >= 0").select("nth", "segment", "keys", "counts")
+            .groupBy("segment").applyInArrow(read, "nth long, segment int, levels binary"))
 
 
 class Model:
-    """Reads counts from a filter and scores texts."""
+    """Reads counts from a filter, and scores texts whose counts were read."""
 
-    def __init__(self, held: SlicedFilter, total: int, different: int):
+    def __init__(self, held: SlicedFilter | None, total: int, different: int):
         self.held, self.total, self.different = held, total, different
-        self.words = Words()
-        self.single: dict[int, float] = {}
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of n-grams as the filter gives them back."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of n-grams found in the filter."""
         keys = common.short_keys(keys, self.held.segments)
         levels = np.zeros(len(keys), np.int64)
         at, level = np.arange(len(keys)), 1
@@ -250,33 +206,77 @@ class Model:
             at = at[self.held.holds(level_keys(keys[at], level))]
             levels[at] = level
             level += 1
-        return count_of(levels)
-
-    def word_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of single words; those seen lately are remembered."""
-        if len(self.single) > 500_000:
-            self.single.clear()
-        different, which = np.unique(keys, return_inverse=True)
-        new = [k for k in different.tolist() if k not in self.single]
-        if new:
-            self.single.update(zip(new, self.counts(np.array(new, np.uint64)).tolist()))
-        return np.fromiter(map(self.single.__getitem__, different.tolist()), np.float64, len(different))[which]
-
-    def score(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of texts whose tokens' keys stand one after another, each from `starts` on behind a start."""
-        counts = self.word_counts(word_keys(keys))
-        follows = np.ones(len(keys), np.bool_)
+        return levels
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of n-grams as the filter gives them back."""
+        return count_of(self.levels(keys))
+
+    def score(self, counts: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts, from the counts of their words and of the pairs these end, each from `starts` on behind a start."""
+        follows = np.ones(len(counts), np.bool_)
         follows[starts] = False  # a start is given, not scored
         right = np.flatnonzero(follows)
         before = counts[right - 1]
-        pairs = np.minimum(self.counts(pair_keys(keys[right - 1], keys[right])), before)
+        pairs = np.minimum(pairs[right], before)
         mix = MIX * before / (before + PRIOR)
-        logs = np.zeros(len(keys))
+        logs = np.zeros(len(counts))
         logs[right] = np.log10(mix * pairs / np.maximum(before, 1) + (1 - mix) * (counts[right] + 1) / (self.total + self.different + 1))
         return np.add.reduceat(logs, starts)
 
 
-def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+ROW = pa.schema([("nth", pa.int64()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                 ("known", pa.int64()), ("logs", pa.float64()), ("rare", RARE), ("keys", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary())])
+ROWS = ("nth long, segment int, doc_id long, held_out boolean, n_tokens long, known long, logs double, "
+        "rare array<struct<word:binary,n:long>>, keys binary, counts binary, starts binary")
+BLOCK, DOCUMENT = -1, -2  # in place of a segment
+
+
+def row_batch(size: int, columns: dict) -> pa.RecordBatch:
+    """Rows of ROW with nulls in the other columns."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in ROW], schema=ROW)
+
+
+def block_rows(nth: int, keys: list[np.ndarray], starts: list[int], training: list[bool], segments: int) -> pa.RecordBatch:
+    """A block whose first document is `nth`: a row per segment with its n-grams and their counts in training documents,
+    and one with the different tokens' keys, which of them stands where, and where documents start."""
+    keys, starts = np.concatenate(keys), np.array(starts, np.int64)
+    learned = np.repeat(np.array(training), np.diff(starts, append=len(keys)))
+    different, words, ends = ngrams(keys, starts, segments)
+    follows = learned.copy()
+    follows[starts] = False  # what ends in a start is no pair
+    counts = (np.bincount(words[learned], minlength=len(different)) + np.bincount(ends[follows], minlength=len(different))).astype(np.uint32)
+    at = np.searchsorted(common.segment_of(different, segments).astype(np.int64), np.arange(segments + 1))
+    some = np.flatnonzero(np.diff(at))
+    halves = (different & LOW).astype(np.uint32)  # steps between sorted numbers pack well
+    tokens_held, token = np.unique(keys, return_inverse=True)
+    return row_batch(len(some) + 1, {
+        "nth": [nth] * (len(some) + 1), "segment": [*some.tolist(), BLOCK],
+        "keys": [*(common.packed(np.diff(halves[at[s]:at[s + 1]], prepend=np.uint32(0))) for s in some), common.packed(tokens_held)],
+        "counts": [*(common.packed(counts[at[s]:at[s + 1]]) for s in some), common.packed(token.astype(np.uint32))],
+        "starts": [*[None] * len(some), common.packed(starts)]})
+
+
+def block_scores(found: DataFrame, total: int, different: int, segments: int) -> DataFrame:
+    """The score of every document of the blocks: nth, score."""
+    per_block = answers(found).groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("answers"))
+    blocks = found.where(F.col("segment") == BLOCK).select("nth", "keys", "counts", "starts")
+
+    def score(batches):
+        model = Model(None, total, different)
+        for batch in batches:
+            for nth, keys, token, starts, answered in zip(*(batch.column(c).to_pylist() for c in ("nth", "keys", "counts", "starts", "answers"))):
+                keys, starts = common.unpacked(keys, "u8")[common.unpacked(token, "u4")], common.unpacked(starts, "i8")
+                _, words, ends = ngrams(keys, starts, segments)
+                counts = count_of(np.concatenate([common.unpacked(a["levels"], "u1") for a in answered]))
+                made = model.score(counts[words], counts[ends], starts)
+                yield pa.RecordBatch.from_arrays([pa.array(nth + np.arange(len(made))), pa.array(made)], names=["nth", "score"])
+
+    return common.mapped(blocks.join(per_block, "nth"), score, "nth long, score double")
+
+
+def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs`.
 
     Rows whose `held_out` is false are learned from; a null counts as true. A null text is empty: its only token
@@ -287,24 +287,23 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
     training = rows.where(~F.col("held_out"))
     vocabulary = session.written(word_counts(training), "words")
     total, different = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = build_filter(training, total, most_bytes)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(1, math.ceil(2 * size / TOKEN_BYTES / KEYS_PER_SEGMENT))
     frequent = most_frequent(vocabulary, HEAD)
     head = spark.sparkContext.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())))  # at most HEAD words
     del frequent
-    bits = spark.sparkContext.broadcast((model.segments, model.slice_bytes, model.probes, model.bits))  # at most most_bytes
-    del model
-    # One row per document and, for words outside the head, one per (document, word).
-    schema = "doc_id long, held_out boolean, nth long, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,n:long>>"
 
-    def score(batches):
-        segments, slice_bytes, probes, held = bits.value
-        scorer = Model(SlicedFilter(segments, slice_bytes, probes, held), total, different)
+    # One row per document, one per block of documents, and one per (block, segment).
+    def count(batches):
+        known_words = Words()
         place = {word: at for at, word in enumerate(head.value)}
         head_keys = np.fromiter(map(word_key, place), np.uint64, len(place))
         head_logs = np.log10(np.fromiter(head.value.values(), np.float64, len(place)) + 1)
         start = word_key(START)
+        nth = block = TaskContext.get().partitionId() << 33
+        held, begins, learned, size = [], [], [], 0
         for batch in batches:
-            made, texts = [], common.strings(batch)
+            texts, ids, kept_out = common.strings(batch), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for some in common.slices(texts):
                 words, starts = [], []
                 for text in texts[some.start:some.stop]:
@@ -321,27 +320,34 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
                 keys[known], logs[known] = head_keys[at[known]], head_logs[at[known]]
                 places = np.flatnonzero(rare)
                 rare_words = [words[i] for i in places.tolist()]
-                keys[places] = scorer.words.keys(rare_words)
+                keys[places] = known_words.keys(rare_words)
                 outside = [Counter() for _ in starts]
                 for doc, word in zip((np.searchsorted(starts, places, "right") - 1).tolist(), rare_words):
                     outside[doc][word] += 1
-                columns = (np.diff(starts, append=len(words)) - 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts),
-                           scorer.score(keys, starts))
-                made += zip(*(c.tolist() for c in columns), ([{"word": w, "n": n} for w, n in o.items()] for o in outside))
-            columns = list(zip(*made)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([0] * len(made), pa.int64()),
-                 *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "held_out", "nth", "n_tokens", "known", "logs", "score", "rare"])
-
-    scored = common.mapped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), score, schema)
-    held = session.written(scored.withColumn("nth", F.monotonically_increasing_id()), "scores")
+                yield row_batch(len(starts), {
+                    "nth": nth + np.arange(len(starts)), "segment": [DOCUMENT] * len(starts), "doc_id": ids[some.start:some.stop],
+                    "held_out": kept_out[some.start:some.stop], "n_tokens": np.diff(starts, append=len(words)) - 1,
+                    "known": np.add.reduceat(known.astype(np.int64), starts), "logs": np.add.reduceat(logs, starts),
+                    "rare": [[{"word": w, "n": n} for w, n in o.items()] for o in outside]})
+                nth += len(starts)
+                held.append(keys)
+                begins += (starts + size).tolist()
+                learned += [not h for h in kept_out[some.start:some.stop]]
+                size += len(keys)
+                if 2 * size > FLUSH:
+                    yield block_rows(block, held, begins, learned, segments)
+                    block, held, begins, learned, size = nth, [], [], [], 0
+        if size:
+            yield block_rows(block, held, begins, learned, segments)
+
+    found = session.written(common.mapped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), count, ROWS), "ngrams")
+    scored = block_scores(found, total, different, segments)
+    held = found.where(F.col("segment") == DOCUMENT).select("nth", "doc_id", "held_out", "n_tokens", "known", "logs", "rare")
     rare = held.select("nth", F.explode("rare").alias("r")).select("nth", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    found = (rare.join(vocabulary, "word").groupBy("nth")
-             .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")))
+    others = (rare.join(vocabulary, "word").groupBy("nth")
+              .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")))
     known = F.col("known") + F.coalesce(F.col("more"), F.lit(0))
     logs = F.col("logs") + F.coalesce(F.col("more_logs"), F.lit(0.0))
-    return held.drop("rare").join(found, "nth", "left").select(
+    return held.drop("rare").join(others, "nth", "left").join(scored, "nth").select(
         "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"), "score")
