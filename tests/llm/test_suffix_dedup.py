@@ -102,3 +102,27 @@ def test_merged_spans():
     spans = np.array([[5, 9], [0, 3], [9, 12], [6, 8], [20, 21]])
     assert suffix_dedup.merged(spans).tolist() == [[0, 3], [5, 12], [20, 21]]
     assert suffix_dedup.merged(np.zeros((0, 2), np.int64)).tolist() == []
+
+
+def test_a_phrase_in_many_surroundings_is_no_large_group(spark, monkeypatch):
+    """One key with many different strings: its windows are dealt anew, with the results of every window."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_MOST", 4000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700, raising=False)
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh é\0"), n))
+    passages = [letters(60) + "the same phrase!" + letters(60) for _ in range(30)]
+    texts = [letters(40) + passages[int(rng.integers(30))] + letters(40) + "the same phrase!" + letters(40) for _ in range(120)]
+    rows = [(int(i), t, "s", 1, "k") for i, t in zip(rng.permutation(len(texts)), texts)] + make(4)
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    docs = spark.createDataFrame(rows, DOCS).where("doc_id is not null and octet_length(text) >= 50").repartition(3)
+    shared = suffix_dedup.shared_keys(suffix_dedup.key_blocks(docs.selectExpr("doc_id", "text", "xxhash64(text) as text_hash"), 1), 1)
+    found = suffix_dedup.candidates(docs.selectExpr("doc_id", "text", "xxhash64(text) as text_hash"), shared, 1)
+    parts = suffix_dedup.overfull(found)
+    dealt = suffix_dedup.dealt_windows(found.where("bucket = 0").selectExpr("*", f"{parts[0]} as n_parts")).collect()
+    sizes = {}
+    for r in dealt:
+        sizes[r["part"]] = sizes.get(r["part"], 0) + len(suffix_dedup.common.unpacked(r["strings"]))
+    assert len(sizes) == parts[0] > 10 and max(sizes.values()) < 2 * 4000

@@ -11,6 +11,9 @@ array over a whole corpus would not fit a task, so equal strings are first broug
    with the corpus. A passage in a third of all documents is one string per task.
 3. Each bucket sorts the suffixes of its different strings in two stages (suffix_sort) and compares adjacent ones. Windows
    with a common prefix of LENGTH bytes are equal, and the smallest document of each group is known.
+   A 16-byte phrase in ever new surroundings is one key with any number of different strings. The windows of a bucket with more
+   than BUCKET_MOST bytes of strings are dealt anew, each on its own, by a hash of all its LENGTH bytes: equal ones still meet,
+   and none is in a group more than once for each CHUNK of strings, so the groups have BUCKET_MOST bytes of windows, about.
 4. The answers go back to the tasks' strings, become removed spans of documents, and are joined to the texts.
 
 Rows with a null id neither lose bytes nor take any. Rows with one id are one document to each other. Null texts are empty.
@@ -35,6 +38,7 @@ FLUSH_KEYS, FLUSH_BYTES = 2_000_000, 12 << 20
 RUN = 18  # bytes of text for one key, about
 KEYS_PER_SEGMENT = 1 << 19
 BUCKET_TEXT = 4 << 20  # bytes of corpus for each bucket
+BUCKET_MOST, CHUNK = 16 << 20, 1 << 20  # bytes of strings in a bucket, and of strings whose windows are made at a time
 MOST_BYTES, BITS_PER_KEY, PROBES = 64 << 20, 12, 5
 LOW_BIT = np.uint64(1)
 
@@ -135,7 +139,7 @@ def shared_keys(found: DataFrame, segments: int) -> common.SlicedFilter:
     return common.sliced_filter(stored, most, segments, BITS_PER_KEY, PROBES, MOST_BYTES)
 
 
-CANDIDATES = ("flush string, bucket int, strings binary, lengths binary, least binary, greatest binary, "
+CANDIDATES = ("flush string, bucket int, size long, windows long, strings binary, lengths binary, least binary, greatest binary, "
               "docs binary, hashes binary, starts binary, numbers binary")
 
 
@@ -163,12 +167,14 @@ def candidates(docs: DataFrame, filter_: common.SlicedFilter, buckets: int) -> D
             np.maximum.at(greatest, own, docs_of)
             lengths = np.fromiter((len(strings[i]) for i in order), np.uint32, len(order))
             values, at = np.unique(bucket[order], return_index=True)
-            ends = [*at[1:], len(order)]
+            ends = [*at.tolist(), len(order)]
+            at = at.tolist()
             name = f"{part}-{flushes}"
-            rows = [(name, int(b), common.packed(b"".join(strings[i] for i in order[s:e])), *(common.packed(x[s:e]) for x in (lengths, least, greatest)),
-                     None, None, None, None) for b, s, e in zip(values, at, ends)]
-            rows.append((name, -1, None, None, None, None, *map(common.packed, (docs_of, hashes, starts, own))))
-            kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
+            sizes = [int(lengths[s:e].sum()) for s, e in zip(at, ends[1:])]
+            rows = [(name, int(b), n, n - (e - s) * (LENGTH - 1), common.packed(b"".join(strings[i] for i in order[s:e])), *(common.packed(x[s:e]) for x in (lengths, least, greatest)),
+                     None, None, None, None) for b, n, s, e in zip(values, sizes, at, ends[1:])]
+            rows.append((name, -1, *[None] * 6, *map(common.packed, (docs_of, hashes, starts, own))))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
         for pieces in blocks(batches):
@@ -210,15 +216,128 @@ def least_documents(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]
     return [result[b:b + n - LENGTH + 1] for b, n in zip(begins.tolist(), lengths.tolist())]
 
 
+def runs_of(windows: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (from, to, smallest document) of the windows of a string with one smallest document."""
+    starts = np.concatenate(([0], np.flatnonzero(windows[1:] != windows[:-1]) + 1))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(windows)], windows[starts].tolist()))
+
+
+ANSWERS = "flush string, bucket int, counts binary, parts binary"
+
+
+def answer(flush: str, bucket: int, strings: list[list[tuple[int, int, int]]], greatest: bytes) -> tuple:
+    """A row of ANSWERS: of the runs of each string, those with a document before the string's last."""
+    parts = [[c for c in changes if c[2] < most] for changes, most in zip(strings, common.unpacked(greatest, "i8").tolist())]
+    return (flush, bucket, common.packed(np.array([len(p) for p in parts], np.int64)),
+            common.packed(np.array([c for p in parts for c in p], np.int64).reshape(-1, 3)))
+
+
+def cut_up(joined: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def windows_of(strings: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different windows of strings in the order of the part each is dealt to, these parts, and for all
+    windows, string by string, the string and the number among the different ones."""
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    counts = lengths - LENGTH + 1
+    owner = np.repeat(np.arange(len(strings)), counts)
+    places = np.arange(len(owner)) + owner * (LENGTH - 1)  # a string has LENGTH - 1 places that start no window
+    windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[places].view(f"S{LENGTH}").ravel()
+    different, first, number = np.unique(windows, return_index=True, return_inverse=True)
+    words, hashes = suffix_sort.words_at(text, LENGTH), np.zeros(len(first), np.uint64)
+    for at in sorted({*range(0, LENGTH - suffix_sort.WORD + 1, suffix_sort.WORD), LENGTH - suffix_sort.WORD}):
+        hashes = common.mix(hashes * np.uint64(PRIME) + words[places[first] + at])
+    part = common.segment_of(hashes, parts).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return different[order], part[order], owner, place[number]
+
+
+def overfull(found: DataFrame) -> dict[int, int]:
+    """Buckets with more than BUCKET_MOST bytes of strings, and in how many parts their windows go."""
+    sizes = found.where("bucket >= 0").groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("windows").alias("windows"))
+    # each holds more than BUCKET_MOST bytes, so they are few
+    return {r["bucket"]: math.ceil(r["windows"] * LENGTH / BUCKET_MOST) for r in sizes.where(F.col("size") > BUCKET_MOST).collect()}
+
+
+def dealt_windows(rows: DataFrame) -> DataFrame:
+    """The different windows of every CHUNK of the strings of `rows` (with `n_parts`), by the part each is dealt to."""
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                strings = cut_up(common.unpacked(row["strings"]), common.unpacked(row["lengths"], "u4"))
+                least = common.unpacked(row["least"], "i8")
+                for chunk, some in enumerate(common.slices(strings, CHUNK)):
+                    windows, part, owner, number = windows_of(strings[some.start:some.stop], row["n_parts"])
+                    smallest = np.full(len(windows), np.iinfo(np.int64).max)
+                    np.minimum.at(smallest, number, least[some.start:some.stop][owner])
+                    values, at = np.unique(part, return_index=True)
+                    ends = [*at[1:].tolist(), len(part)]
+                    columns = [[row["flush"]] * len(at), [row["bucket"]] * len(at), [chunk] * len(at), values,
+                               [common.packed(windows[s:e]) for s, e in zip(at, ends)], [common.packed(smallest[s:e]) for s, e in zip(at, ends)]]
+                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["flush", "bucket", "chunk", "part", "strings", "least"])
+
+    return common.mapped(rows.select("flush", "bucket", "n_parts", "strings", "lengths", "least"), deal,
+                         "flush string, bucket int, chunk int, part int, strings binary, least binary")
+
+
+def answers_by_window(rows: DataFrame) -> DataFrame:
+    """`answers` for the rows of overfull buckets."""
+    def meet(key, table):
+        windows = [np.frombuffer(common.unpacked(w), f"S{LENGTH}") for w in table.column("strings").to_pylist()]
+        least = np.concatenate([common.unpacked(n, "i8") for n in table.column("least").to_pylist()])
+        different, number = np.unique(np.concatenate(windows), return_inverse=True)
+        smallest = np.full(len(different), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, number, least)
+        ends = np.cumsum([len(w) for w in windows])
+        return table.select(["flush", "bucket", "chunk", "part"]).append_column(
+            "smallest", pa.array([common.packed(n) for n in np.split(smallest[number], ends[:-1])], pa.binary()))
+
+    met = dealt_windows(rows).groupBy("bucket", "part").applyInArrow(meet, "flush string, bucket int, chunk int, part int, smallest binary")
+    back = met.groupBy("flush", "bucket").agg(F.array_sort(F.collect_list(F.struct("chunk", "part", "smallest"))).alias("met"))
+
+    def gather(batches):
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                strings = cut_up(common.unpacked(row["strings"]), common.unpacked(row["lengths"], "u4"))
+                held, changes = {}, []
+                for m in row["met"]:
+                    held.setdefault(m["chunk"], []).append(m["smallest"])
+                for chunk, some in enumerate(common.slices(strings, CHUNK)):
+                    smallest = np.concatenate([common.unpacked(n, "i8") for n in held[chunk]])
+                    _, _, owner, number = windows_of(strings[some.start:some.stop], row["n_parts"])
+                    changes += map(runs_of, np.split(smallest[number], np.flatnonzero(np.diff(owner)) + 1))
+                made.append(answer(row["flush"], row["bucket"], changes, row["greatest"]))
+            columns = list(zip(*made)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["flush", "bucket", "counts", "parts"])
+
+    return common.mapped(rows.join(back, ["flush", "bucket"]).select("flush", "bucket", "n_parts", "strings", "lengths", "greatest", "met"), gather, ANSWERS)
+
+
 def answers(found: DataFrame) -> DataFrame:
     """For the strings of each flush and bucket, runs of windows (from, to, smallest document) that an earlier document has."""
+    rows = found.where("bucket >= 0").select("flush", "bucket", "strings", "lengths", "least", "greatest")
+    parts = overfull(found)
+    if not parts:
+        return answers_by_bucket(rows)
+    parts = F.broadcast(found.sparkSession.createDataFrame(list(parts.items()), "bucket int, n_parts int"))
+    return answers_by_bucket(rows.join(parts, "bucket", "left_anti")).unionByName(answers_by_window(rows.join(parts, "bucket")))
+
+
+def answers_by_bucket(rows: DataFrame) -> DataFrame:
+    """`answers` by suffix arrays, one for each bucket."""
     def sort(key, table):
         numbers, least, own = {}, [], []
         for joined, lengths, docs_of in zip(*(table.column(c).to_pylist() for c in ("strings", "lengths", "least"))):
-            at, mine, joined = 0, [], common.unpacked(joined)
-            for n, doc in zip(common.unpacked(lengths, "u4").tolist(), common.unpacked(docs_of, "i8").tolist()):
-                string = joined[at:at + n]
-                at += n
+            mine = []
+            for string, doc in zip(cut_up(common.unpacked(joined), common.unpacked(lengths, "u4")), common.unpacked(docs_of, "i8").tolist()):
                 number = numbers.setdefault(string, len(numbers))
                 if number == len(least):
                     least.append(doc)
@@ -226,20 +345,13 @@ def answers(found: DataFrame) -> DataFrame:
                     least[number] = min(least[number], doc)
                 mine.append(number)
             own.append(mine)
-        changes = []
-        for windows in least_documents(list(numbers), np.array(least, np.int64)):
-            starts = np.concatenate(([0], np.flatnonzero(windows[1:] != windows[:-1]) + 1))
-            changes.append(list(zip(starts.tolist(), [*starts[1:].tolist(), len(windows)], windows[starts].tolist())))
-        rows = []
-        for flush, mine, greatest in zip(table.column("flush").to_pylist(), own, table.column("greatest").to_pylist()):
-            parts = [[c for c in changes[n] if c[2] < most] for n, most in zip(mine, common.unpacked(greatest, "i8").tolist())]
-            rows.append((flush, key[0].as_py(), common.packed(np.array([len(p) for p in parts], np.int64)),
-                         common.packed(np.array([c for p in parts for c in p], np.int64).reshape(-1, 3))))
+        changes = [runs_of(windows) for windows in least_documents(list(numbers), np.array(least, np.int64))]
+        rows = [answer(flush, key[0].as_py(), [changes[n] for n in mine], greatest)
+                for flush, mine, greatest in zip(table.column("flush").to_pylist(), own, table.column("greatest").to_pylist())]
         kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["flush", "bucket", "counts", "parts"])
 
-    return (found.where("bucket >= 0").select("flush", "bucket", "strings", "lengths", "least", "greatest")
-            .groupBy("bucket").applyInArrow(sort, "flush string, bucket int, counts binary, parts binary"))
+    return rows.groupBy("bucket").applyInArrow(sort, ANSWERS)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
