@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum import fixed
@@ -124,6 +125,20 @@ def test_free_names(spark):
     assert {r.file_name for r in N.free_names(frame, held).collect()} == {f"{s}.md" for _, s in wanted}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_free_names_across_stems(spark, seed):
+    """Stems that are numbered names of other stems: every input gets the name one input after another would."""
+    rng = random.Random(seed)
+    stems = [["a", "a_2"], ["a", "a_2", "a_3", "a_2_2", "a_1", "b_02"], ["a", "a_2", "a_2_2", "a_2_2_2", "a_5", "_2", ""],
+             ["a", "a_2", "a_3", "a_4", "a_7", "a_4_2", "a_4_3", "b", "b_2"]][seed]
+    wanted = [(i, rng.choice(stems)) for i in range(30)]
+    existing = {f"{s}.md" for s in ["a", "a_3_2", "a_4", "a_2_5", "b"] if rng.random() < 0.4} | ({"a.md"} if seed == 0 else set())
+    frame = spark.createDataFrame([("/o", s, "md", i) for i, s in wanted], "folder string, stem string, extension string, input_seq bigint")
+    held = spark.createDataFrame([("/o", n) for n in existing], "folder string, name string")
+    got = {r.input_seq: r.file_name for r in N.free_names(frame, held, clobber=False, chunk=3 if seed % 2 else 1000).collect()}
+    assert got == free_name_model(wanted, existing)
+
+
 def test_inputs_named_as_files_and_folders(spark):
     files = manifest(spark, ["a.pdf", "n/b.pdf", "n/m/c.pdf", "n/converted/d.pdf", "n/notes.txt", "n/x/y/z/e.pdf"])
     asked = spark.createDataFrame([("/i/n", 0), ("/i/n/notes.txt", 1), ("/i/a.pdf", 2), ("/i/./a.pdf", 3), ("/i/ghost", 4)],

@@ -1,5 +1,6 @@
 """One output name per input, decided by the inputs alone."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import paths as P
@@ -71,6 +72,60 @@ def written_guard(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return counted.withColumn("written", F.col("input_seq") == F.col("_first")).select(*rows.columns, "written")
 
 
+_NAME = ["folder", "stem", "extension"]
+_NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
+
+
+def _count_below(marks: DataFrame, rows: DataFrame, order: str, name: str, chunk: int) -> DataFrame:
+    """`marks` with the number of `rows` of the same name whose `order`, never equal to a mark's, is smaller."""
+    both = rows.select(*_NAME, order).unionByName(marks.select(*_NAME, order))
+    every = rank_in_chunks(both, _NAME, order, "_every", chunk)
+    own = rank_in_chunks(marks, _NAME, order, "_own", chunk)
+    return own.join(every, [*_NAME, order]).withColumn(name, F.col("_every") - F.col("_own")).drop("_every", "_own")
+
+
+def _who_was_first(key, table):
+    """Whether inputs of a stem reach each contested slot, in ascending order, before the stem that is called like it."""
+    table = table.sort_by("slot")
+    passed, reached = 0, []
+    for slot, taken, earlier in zip(*(table.column(c).to_pylist() for c in ("slot", "_taken", "_earlier"))):
+        # the slot is the (slot - taken - passed)-th free one, for the input of this turn
+        reached.append(earlier >= slot - taken - passed)
+        passed += not reached[-1]
+    return table.select([*_NAME, "slot", "child"]).append_column("reached", pa.array(reached, pa.bool_()))
+
+
+def _across_stems(wanted: DataFrame, slots: DataFrame, chunk: int) -> DataFrame:
+    """`slots` with those that inputs of another stem take: `a_2` is slot 1 of stem `a_2` and slot 2 of stem `a`.
+
+    No third stem has the name, and the first input of `a_2` takes it unless an input of `a` already has. So a stem's names
+    depend on when the stems called like its slots begin, which is known, and on its own slot 1, which the stem it
+    is called after decides. Stems are settled from the shortest on, and only those that meet: as many rounds as the longest
+    chain `a`, `a_2`, `a_2_2`, ... of wanted stems has steps.
+    """
+    stems = wanted.groupBy(*_NAME).agg(F.min("input_seq").alias("input_seq"))
+    called = (stems.where(F.col("stem").rlike(_NUMBERED))
+              .withColumn("child", F.col("stem"))
+              .withColumn("slot", F.regexp_extract("child", _NUMBERED, 2).cast("bigint"))
+              .withColumn("stem", F.regexp_extract("child", _NUMBERED, 1)).where("slot >= 2"))
+    meeting = called.join(stems.select(*_NAME), _NAME, "left_semi")
+    left = written(meeting.join(slots, [*_NAME, "slot"], "left_anti"), "names-met")
+    while not left.isEmpty():
+        unsettled = left.select("folder", F.col("child").alias("stem"), "extension")
+        ready = written(left.join(unsettled, _NAME, "left_anti"), "names-ready")
+        stems_ready = ready.select(*_NAME).distinct()
+        counted = _count_below(ready, wanted.join(stems_ready, _NAME, "left_semi"), "input_seq", "_earlier", chunk)
+        counted = _count_below(counted, slots.join(stems_ready, _NAME, "left_semi"), "slot", "_taken", chunk)
+        kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+        settled = written(counted.select(*_NAME, "slot", "child", "_earlier", "_taken").groupBy(*_NAME).applyInArrow(
+            _who_was_first, ", ".join(f"{c} {kinds[c]}" for c in [*_NAME, "slot", "child"]) + ", reached boolean"), "names-settled")
+        slots = slots.unionByName(settled.select(
+            "folder", F.when(F.col("reached"), F.col("child")).otherwise(F.col("stem")).alias("stem"), "extension",
+            F.when(F.col("reached"), F.lit(1).cast("bigint")).otherwise(F.col("slot")).alias("slot")))
+        left = written(left.join(stems_ready, _NAME, "left_anti"), "names-met")
+    return slots
+
+
 def free_names(wanted: DataFrame, existing: DataFrame, clobber: bool = True,
                chunk: int = HOT_ROWS) -> DataFrame:
     """`wanted(folder, stem, extension, input_seq)` with `file_name`, the name each input writes.
@@ -78,24 +133,25 @@ def free_names(wanted: DataFrame, existing: DataFrame, clobber: bool = True,
     Overwriting is the default. Without it an input takes the first of `<stem>`,
     `<stem>_2`, `<stem>_3`, ... that neither `existing(folder, name)` nor an earlier input
     of the run has. Slot k of a name is free or taken; the r-th input takes the r-th free
-    one, and with m inputs and e taken slots that is always among the first m + e.
+    one, and with m inputs and e taken slots that is always among the first m + e. Slots
+    that another stem's input has taken by then are taken as well.
     """
     plain = F.concat("stem", F.lit("."), "extension")
     if clobber:
         return wanted.withColumn("file_name", plain)
-    keys = ["folder", "stem", "extension"]
+    keys = _NAME
     turns = rank_in_chunks(wanted, keys, "input_seq", "_turn", chunk)
 
     # A taken name is slot 1 as it stands, and slot N as well when it reads <stem>_N.
     found = (existing.select("folder", "name").distinct()
              .withColumn("extension", F.substr(P.ext(F.col("name")), F.lit(2)))
              .withColumn("_whole", P.stem(F.col("name"))))
-    numbered = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
-    nth = F.when(F.col("_whole").rlike(numbered), F.regexp_extract("_whole", numbered, 2).cast("bigint"))
+    nth = F.when(F.col("_whole").rlike(_NUMBERED), F.regexp_extract("_whole", _NUMBERED, 2).cast("bigint"))
     slots = found.select("folder", "extension", F.inline(F.array(
         F.struct(F.col("_whole").alias("stem"), F.lit(1).cast("bigint").alias("slot")),
-        F.struct(F.regexp_extract("_whole", numbered, 1).alias("stem"),
+        F.struct(F.regexp_extract("_whole", _NUMBERED, 1).alias("stem"),
                  F.when(nth >= 2, nth).alias("slot"))))).where(F.col("slot").isNotNull()).distinct()
+    slots = _across_stems(wanted, slots.select(*keys, "slot"), chunk)
     inputs = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_inputs"))
     sizes = slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_slots")).join(inputs, keys)
     taken = attach(slots, sizes, keys, "_slots", "slot", chunk).where(F.col("_inputs").isNotNull())
