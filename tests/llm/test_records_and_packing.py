@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from vellum.llm.encoding import Encoder, tokenizer_file
 TEXTS = [
     "", "a", "Plain words, two lines.\nAnd  a double space \n\n then tabs\tand trailing space ", None, " lead", "\n\n",
     "no break  space", "ça vá ́ x", "it's we'll 12 345,6", "!!\x1c!! a\x1c b", "<|endoftext|> x",
+    "ab <|endoftext|> cd<|startoftext|>.", "a <|ENDOFTEXT|> b", "half <|end of it", "two | bars, one.) \"end.\" 'quote'... 3.5, x!?\"", "Don't. it's, (we'll) o'clock' 's. é. ä,",
     "你好 世界 \U0001f600\U0001f600", "x" * 5000, "word " * 9000, "TAB\t\tTAB \r\n end",
 ]
 DOCS = "doc_id long, text string, file string, part long, length long"
@@ -19,7 +21,6 @@ DOCS = "doc_id long, text string, file string, part long, length long"
 def plain(name):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file(name))
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
@@ -134,3 +135,16 @@ def test_files_of_lost_attempts_are_not_read(spark):
     with system.open_output_stream(os.path.join(base, "part-000000-lost.rec")) as out:
         out.write(b"half a reco")
     assert token_records.read_records(token_records.read_index(spark, folder), folder).count() == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_punctuation_encode_as_in_their_texts(name):
+    draw, direct = random.Random(4), plain(name)
+    texts = ["".join(draw.choice(["ab", "It", "'s", "'", ".", ",\"", "(", ")", "!?", " ", "  ", "\n", "é", "9", "-", "<|", "\u0301", "ll", "'ll"]) for _ in range(draw.randrange(30))) for _ in range(1500)]
+    assert [g.tolist() for g in Encoder(tokenizer_file(name)).encode(texts)] == [direct(t) for t in texts]
+
+
+def test_long_words_are_not_kept():
+    own = Encoder(tokenizer_file("byte_bpe_50k.json"))
+    own.encode(["short " + "x" * 5000 + ". " + "y" * 5000])
+    assert max(map(len, own.known)) < 200

@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the files of public tokenizers; every different word is encoded once per worker."""
+"""Token ids of whole texts with the files of public tokenizers; a word that returns is encoded once per worker."""
 
 import json
 import os
@@ -16,6 +16,9 @@ SPACED_WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 BARE_WORD = re.compile(r"[^ \t\n\r]+")
 WORD_START = re.compile(r"(?<=[^ \t\n\r])(?=[ \t\n\r])")
 CHUNK = 1_000_000
+PUNCTUATION = ".,;:!?)\"'"
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LONGEST_KEPT = 100  # characters of a word that is remembered
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,7 +32,9 @@ class Encoder:
 
     A byte-level tokenizer without a prefix space never joins a character that is not white space with white
     space after it, and a word tokenizer that drops white space never joins across it. So a text's ids are the ids of its
-    words, each with the white space before it. Other tokenizers, and texts with unusual white space, are encoded whole.
+    words, each with the white space before it. Other tokenizers, texts with unusual white space, and texts that may hold an
+    added token (which the tokenizer takes as such wherever it stands) are encoded whole. Neither kind joins a letter with ASCII
+    punctuation after it, so words that differ by the punctuation at their end are one. At most `keep` words are remembered.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -37,12 +42,13 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = rules.get("added_tokens") or []
+        self.marks = sorted({t["content"][:2] for t in added})
         self.words = self._words(rules)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
@@ -70,23 +76,43 @@ class Encoder:
         return chunks
 
     def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
+        known = self.known
+        new = words.difference(known)
+        if len(known) + len(new) > self.keep:
+            known.clear()
             new = words
-        new = list(new)
-        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = array(self.code, encoded.ids).tobytes()
+        cores, rest = set(), []
+        for word in new:
+            core = word.rstrip(PUNCTUATION)
+            if len(core) < len(word) and core[-1:] in LETTERS and core:
+                rest.append((word, core, word[len(core):]))
+                cores.add(core)
+                cores.add(word[len(core):])
+            else:
+                cores.add(word)
+        cores = list(cores.difference(known))
+        for word, encoded in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)):
+            known[word] = array(self.code, encoded.ids).tobytes()
+        for word, core, tail in rest:
+            known[word] = known[core] + known[tail]
+
+    def _whole(self, text: str) -> bool:
+        return self.words is None or any(m in text for m in self.marks) or self.words is SPACED_WORD and ODD_SPACE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Give a few megabytes of texts at a time."""
-        whole = [self.words is None or (self.words is SPACED_WORD and ODD_SPACE.search(t) is not None) for t in texts]
+        whole = [self._whole(t) for t in texts]
         pieces = [[] if w else self._chunks(t) for t, w in zip(texts, whole)]
-        self._learn(set(chain.from_iterable(chain.from_iterable(pieces))))
+        words = set(chain.from_iterable(chain.from_iterable(pieces)))
+        self._learn(words)
         lookup = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if w else
+        made = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if w else
                 np.frombuffer(b"".join(map(lookup, chain.from_iterable(p))), self.dtype)
                 for t, p, w in zip(texts, pieces, whole)]
+        for word in [w for w in words if len(w) > LONGEST_KEPT]:
+            del self.known[word]
+            self.known.pop(word.rstrip(PUNCTUATION), None)
+        return made
 
 
 _ENCODERS: dict[str, Encoder] = {}
