@@ -2,8 +2,9 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.llm import main_text, queries
+from vellum.llm import common, main_text, queries
 
 PAGES = "page_id long, url string, html string, text string, h int, n_chars int"
 PAGE = """<!DOCTYPE html><html><head><title>no <b>title</b></title><script>if (a < b) x("<p>no</p>");</script></head><body>
@@ -48,3 +49,12 @@ def test_labelled_pages_give_their_articles_back(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S).group(1)
         article = re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", article))
         assert r["text"] == " ".join(html.unescape(article).split())
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 1000])
+def test_samples_are_the_different_values_with_the_smallest_hashes(spark, most):
+    values = [f"v{i}" for i in range(300)] + ["hot"] * 500 + [None] * 5
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    hashes = {r["v"]: r["h"] for r in rows.select("v", F.xxhash64("v").alias("h")).collect() if r["v"]}
+    assert sorted(r["v"] for r in common.sampled(rows, "v", most).collect()) == sorted(sorted(hashes, key=hashes.get)[:most])
+    assert common.sampled(rows.where("v is null"), "v", most).count() == 0

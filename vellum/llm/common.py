@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum import session
 
@@ -76,6 +76,27 @@ def unpacked(data: bytes, kind: str | None = None) -> np.ndarray | bytes:
     return np.frombuffer(raw, kind) if kind else raw
 
 
+def sampled(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """A row for each of the `most` different values of `column` with the smallest hashes; nulls are left out.
+
+    Only counts by hash range (1,024 numbers) and one hash reach the driver, and only rows of chosen values are shuffled, so a
+    sample costs the same whatever the size of values, tasks and groups of copies.
+    """
+    given = rows.where(F.col(column).isNotNull()).withColumn("_sample", F.xxhash64(column))
+    of_range = F.shiftright("_sample", 54)
+    counts = sorted(tuple(r) for r in given.groupBy(of_range.alias("at")).count().collect())  # at most 1,024 rows
+    total, last = 0, None
+    for last, count in counts:
+        total += count
+        if total >= 4 * most:  # copies of one value count once later
+            break
+    if last is None:
+        return rows.where(F.lit(False))
+    near = given.select("_sample").where(of_range <= last).distinct()
+    limit = near.orderBy("_sample").limit(most).agg(F.max("_sample")).first()[0]
+    return given.where(F.col("_sample") <= limit).dropDuplicates(["_sample"]).drop("_sample")
+
+
 class SlicedFilter:
     """A Bloom filter made of one slice of bits per segment of the key space, so that every slice is built by one group."""
 

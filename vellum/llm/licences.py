@@ -197,11 +197,11 @@ def fitted(lines: list[str]) -> Classifier:
 
 
 def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier:
-    """A classifier whose UNKNOWN lines are the first of at most `sample` documents each, the documents and lines chosen by hash."""
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    chosen = (docs.select(F.col(f"`{text}`").alias("t"), lines.alias("lines")).withColumn("h", F.xxhash64("t")).where("t is not null").orderBy("h", "t").limit(sample)
-              .select(F.substring(F.element_at("lines", (F.pmod(F.col("h"), F.size("lines")) + 1).cast("int")), 1, 2000).alias("line")))
-    return fitted(sorted(r["line"] for r in chosen.collect()))  # at most `sample` lines
+    """A classifier whose UNKNOWN lines are one line, cut to 2,000 characters, of each of at most `sample` different texts, all chosen by hash."""
+    lines, h = F.split("t", "\n"), F.xxhash64("t")
+    chosen = common.sampled(docs.select(F.col(f"`{text}`").alias("t")), "t", sample)
+    line = F.substring(F.element_at(lines, (F.pmod(h, F.size(lines)) + 1).cast("int")), 1, 2000)
+    return fitted(sorted(r["line"] for r in chosen.select(line.alias("line")).collect()))  # at most `sample` lines
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:

@@ -196,7 +196,7 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def learned(pages: DataFrame, column: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from at most `sample` pages with an <article>, chosen by the hash of the page."""
+    """Weights from at most `sample` different pages with an <article>, chosen by the hash of the page."""
     def count(batches):
         for batch in batches:
             counts = Counter()
@@ -207,8 +207,8 @@ def learned(pages: DataFrame, column: str = "html", sample: int = SAMPLE) -> Wei
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_(), pa.int64()))],
                                                  names=["kind", "place", "inside", "n"])
 
-    chosen = (pages.select(F.col(column).alias("html")).where(F.lower("html").contains("<article"))
-              .withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(sample).select("html"))
+    labelled = pages.select(F.col(f"`{column}`").alias("html")).where(F.lower("html").contains("<article"))
+    chosen = common.sampled(labelled, "html", sample)
     counts: dict[tuple[str, str], list[int]] = {}
     summed = common.mapped(chosen, count, "kind string, place string, inside boolean, n long").groupBy("kind", "place", "inside").agg(F.sum("n").alias("n"))
     for row in summed.collect():  # places of `sample` pages

@@ -276,7 +276,7 @@ def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.list_(pa.int32())))], names=["island", "spans"])
 
     given = docs.select(F.col(f"`{text}`").alias("t")).where(F.col("t").rlike("[0-9@]"))
-    chosen = given.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(sample).select("t")
+    chosen = common.sampled(given, "t", sample)
     drawn = sorted((r["island"], tuple(r["spans"])) for r in common.mapped(chosen, cut, "island string, spans array<int>").toLocalIterator())
     draw = random.Random(7)
     examples = made_up(draw)
