@@ -7,6 +7,8 @@ and a rounded rate could then differ from one run to the next.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum import fixed
+from vellum.functions import paths as P
+from vellum.functions.records import human_size
 
 EXACT = "decimal(28,9)"
 
@@ -129,6 +131,26 @@ def folder_size(files: DataFrame, folder: Column) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.sum(F.col("length").cast("bigint")).alias("bytes"))
 
 
+def folder_totals(files: DataFrame, root: str) -> DataFrame:
+    """Every folder from `root` down that has a file somewhere below it: own_files, files and bytes of all levels, and size to be read.
+
+    `files(path, length)`; files outside `root`, and null paths, belong to no folder; a null length counts as 0. Files are added up per
+    folder first, then each folder's sums are handed to the folders above it, and added up again within a task before they are
+    shuffled: even the root is one row a task.
+    """
+    path, base = P.normalise(F.col("path")), root.rstrip("/")
+    folder = F.when(P.under(path, root) & (path != F.lit(base or "/")), P.parent(path))
+    own = files.select(folder.alias("folder"), F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length")).where("folder is not null").groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    names = F.filter(F.split(F.substr("folder", F.lit(len(base) + 1)), "/"), lambda n: n != "")
+    above = F.transform(F.sequence(F.lit(0), F.size("_names")), lambda n: F.concat_ws("/", F.lit(base), F.slice("_names", F.lit(1), n)))
+    handed = own.withColumn("_names", names).select(F.explode(above).alias("above"), "folder", "files", "bytes")
+    summed = handed.groupBy(F.when(F.col("above") == "", "/").otherwise(F.rtrim("above", F.lit("/"))).alias("folder")).agg(
+        F.coalesce(F.sum(F.when(F.col("folder") == F.col("above"), F.col("files"))), F.lit(0)).alias("own_files"),
+        F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return summed.withColumn("size", human_size(F.col("bytes")))
+
+
 def bench_summary(runs: DataFrame, overheads: DataFrame) -> DataFrame:
     """The report's summary as one JSON row: a few kinds, whatever the number of documents."""
     kinds = path_summary(runs).agg(F.array_sort(F.collect_list(F.struct(
