@@ -143,9 +143,10 @@ def folder_totals(files: DataFrame, root: str) -> DataFrame:
     own = files.select(folder.alias("folder"), F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length")).where("folder is not null").groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     names = F.filter(F.split(F.substr("folder", F.lit(len(base) + 1)), "/"), lambda n: n != "")
-    above = F.transform(F.sequence(F.lit(0), F.size("_names")), lambda n: F.concat_ws("/", F.lit(base), F.slice("_names", F.lit(1), n)))
+    above = F.transform(F.sequence(F.lit(0), F.size("_names")), lambda n: F.when(n == 0, F.lit(base or "/")).otherwise(
+        F.concat_ws("/", F.lit(base), F.slice("_names", F.lit(1), n))))
     handed = own.withColumn("_names", names).select(F.explode(above).alias("above"), "folder", "files", "bytes")
-    summed = handed.groupBy(F.when(F.col("above") == "", "/").otherwise(F.rtrim("above", F.lit("/"))).alias("folder")).agg(
+    summed = handed.groupBy(F.col("above").alias("folder")).agg(
         F.coalesce(F.sum(F.when(F.col("folder") == F.col("above"), F.col("files"))), F.lit(0)).alias("own_files"),
         F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
     return summed.withColumn("size", human_size(F.col("bytes")))
