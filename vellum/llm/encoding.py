@@ -18,6 +18,12 @@ WORD_START = re.compile(r"(?<=[^ \t\n\r])(?=[ \t\n\r])")
 CHUNK = 1_000_000
 PUNCTUATION = ".,;:!?)\"'"
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+SPACED_LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+BARE_LETTERS = re.compile("[A-Za-z]+")
+# Byte-level tokenizers write the bytes that are no visible character of Latin-1 as the characters from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+SPACE_CHAR = chr(BYTE_CHARS[ord(" ")])
 LONGEST_KEPT = 100  # characters of a word that is remembered
 
 
@@ -48,6 +54,7 @@ class Encoder:
         added = rules.get("added_tokens") or []
         self.marks = sorted({t["content"][:2] for t in added})
         self.words = self._words(rules)
+        self.plain = SPACED_LETTERS if self.words is SPACED_WORD else BARE_LETTERS
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.keep = keep
@@ -90,8 +97,16 @@ class Encoder:
                 cores.add(word[len(core):])
             else:
                 cores.add(word)
-        cores = list(cores.difference(known))
-        for word, encoded in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)):
+        others, plain, merge = [], self.plain, self.tokenizer.model.tokenize
+        for word in cores.difference(known):
+            if not plain.fullmatch(word):
+                others.append(word)
+                continue
+            # A run of letters is one unit of the merges: it needs none of the steps before them.
+            unit = (word.lower() if plain is BARE_LETTERS else word.replace(" ", SPACE_CHAR) if word.isascii() else
+                    word.encode().decode("latin-1").translate(BYTE_CHARS))
+            known[word] = array(self.code, [t.id for t in merge(unit)]).tobytes()
+        for word, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             known[word] = array(self.code, encoded.ids).tobytes()
         for word, core, tail in rest:
             known[word] = known[core] + known[tail]
