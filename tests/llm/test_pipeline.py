@@ -133,7 +133,7 @@ def test_empty_documents(spark, corpus, tmp_path):
 def test_columns_beyond_those_of_documents(spark, corpus):
     """Names that the operators use inside may be columns of the table."""
     folder = corpus[0]
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(1) for c in ("kept", "node", "entropy", "text_hash", "masked", "spans", "c0", "_of_size", "n_tokens")})
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(1) for c in ("kept", "node", "entropy", "text_hash", "masked", "spans", "c0", "_of_size", "n_tokens", "_doc", "_hash", "_near_doc", "_near_hash", "own_doc", "own_hash", "gone_doc", "component_id", "h")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         made = stage(spark, docs, folder)
         assert made.columns == docs.columns and made.count() > 50, name

@@ -275,11 +275,16 @@ def near_copies(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id
 
 
 def without_near_copies(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, but one document of each group of near copies: the one with the smallest id.
+    """The rows of `docs`, with all their columns, whatever their names, but one document of each group of near copies: the one with the
+    smallest id.
 
-    Rows with an equal id and text stay once. Texts without words and rows with a null id are in no group.
+    Rows with an equal id and text stay once, those with a null id too. Texts without words and rows with a null id are in no group.
+    An empty table gives an empty one.
     """
-    gone = near_copies(docs, words, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash")).distinct()
-    marked = docs.withColumns({"_near_doc": F.col(doc_id).cast("long"), "_near_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    left = marked.join(gone, marked["_near_doc"].eqNullSafe(gone["gone_doc"]) & (marked["_near_hash"] == gone["gone_hash"]), "left_anti")
-    return left.dropDuplicates(["_near_doc", "_near_hash"]).drop("_near_doc", "_near_hash")
+    gone = near_copies(docs, words, percent, doc_id, text).where("not kept").select("doc_id", "text_hash").distinct()
+    # Columns travel as c0, c1, ..., so that none meets a name used here.
+    given = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (doc_id, text))
+    marked = given.withColumns({"own_doc": own_id.cast("long"), "own_hash": F.xxhash64(F.coalesce(own_text, F.lit("")))})
+    left = marked.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti")
+    return left.dropDuplicates(["own_doc", "own_hash"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -188,7 +188,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no copy of an item."""
-    marks = contaminations(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    own = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(marks, docs[doc_id].cast("long").eqNullSafe(F.col("_doc")) & (own == F.col("_hash")), "left_anti")
+    """The rows of `docs`, with all their columns, whatever their names, that hold no copy of an item.
+
+    Null and empty texts hold none. Rows with a null id and repeated rows are judged by their text like any other; an empty table
+    of documents or items changes nothing.
+    """
+    marks = contaminations(docs, benchmark, doc_id, text).select("doc_id", "text_hash").distinct()
+    # Columns travel as c0, c1, ..., so that none meets a name used here.
+    given = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (doc_id, text))
+    own = F.xxhash64(F.coalesce(own_text, F.lit("")))
+    left = given.join(marks, own_id.cast("long").eqNullSafe(F.col("doc_id")) & (own == F.col("text_hash")), "left_anti")
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
