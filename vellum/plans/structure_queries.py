@@ -1,10 +1,15 @@
 """What is inside documents and folders: leaves of JSON and XML, totals of nested folders, paths behind links."""
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from vellum import session
+from vellum.functions import paths as P
 from vellum.operators import leaves as L, links as K, report as R
 from vellum.plans import inputs as I
 from vellum.plans.registry import query
+from vellum.sinks import publish
+from vellum.sources import tree
 
 
 @query(r"""
@@ -79,3 +84,19 @@ def confine_links(spark, sf):
     path = F.concat(F.lit(I.ROOT + "/c"), "o_custkey", F.when(order % 10 == 1, "/../o").otherwise("/d/o"), order, F.lit(".pdf"))
     paths = I.table(spark, sf, "orders", "o_orderkey", "o_custkey").select("o_orderkey", path.alias("path"))
     return K.confine_resolved(paths, links, I.ROOT, "path").drop("path")
+
+
+@query("SELECT 'p' || page_id % 9 || '/_' || page_id || '.html' AS rel, octet_length(encode(html))::BIGINT AS length FROM pages")
+def publish_files(spark, sf):
+    """Pages published together as files, one export after another that failed, and listed."""
+    root = session.fresh_folder(spark, "published")
+    page = F.col("page_id")
+    files = I.table(spark, sf, "pages", "page_id", "html").select(F.concat(F.lit("p"), page % 9, F.lit("/_"), page, F.lit(".html")).alias("rel"), F.col("html").alias("body"))
+    try:
+        publish.publish_files(files.union(files.limit(1).select(F.lit("../outside"), "body")), root)
+    except PySparkException:  # one name is refused, so none of the others is there either
+        pass
+    publish.publish_files(files.where(page % 2 == 0), root)
+    publish.publish_files(files, root)
+    listed = tree.walk_batch(spark, root, root + "/none")
+    return listed.select(P.relative_to(F.col("path"), tree.open_store(root)[1]).alias("rel"), "length")
