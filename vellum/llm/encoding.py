@@ -33,6 +33,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Ids by word; a word that is missing is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, word by word where its rules allow that.
 
@@ -56,7 +67,8 @@ class Encoder:
         self.words = self._words(rules)
         self.plain = SPACED_LETTERS if self.words is SPACED_WORD else BARE_LETTERS
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.known = Words(self._learn)
         self.keep = keep
 
     @staticmethod
@@ -82,52 +94,34 @@ class Encoder:
         chunks.append(self.words.findall(text, start))
         return chunks
 
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        new = words.difference(known)
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = words
-        cores, rest = set(), []
-        for word in new:
-            core = word.rstrip(PUNCTUATION)
-            if len(core) < len(word) and core[-1:] in LETTERS and core:
-                rest.append((word, core, word[len(core):]))
-                cores.add(core)
-                cores.add(word[len(core):])
-            else:
-                cores.add(word)
-        others, plain, merge = [], self.plain, self.tokenizer.model.tokenize
-        for word in cores.difference(known):
-            if not plain.fullmatch(word):
-                others.append(word)
-                continue
-            # A run of letters is one unit of the merges: it needs none of the steps before them.
-            unit = (word.lower() if plain is BARE_LETTERS else word.replace(" ", SPACE_CHAR) if word.isascii() else
-                    word.encode().decode("latin-1").translate(BYTE_CHARS))
-            known[word] = array(self.code, [t.id for t in merge(unit)]).tobytes()
-        for word, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            known[word] = array(self.code, encoded.ids).tobytes()
-        for word, core, tail in rest:
-            known[word] = known[core] + known[tail]
+    def _ids(self, word: str) -> bytes:
+        if not self.plain.fullmatch(word):
+            return array(self.code, self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+        # A run of letters is one unit of the merges: it needs none of the steps before them.
+        unit = (word.lower() if self.plain is BARE_LETTERS else word.replace(" ", SPACE_CHAR) if word.isascii() else
+                word.encode().decode("latin-1").translate(BYTE_CHARS))
+        return array(self.code, [t.id for t in self.merge(unit)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word that is not remembered; a long one is not remembered either."""
+        if len(word) > LONGEST_KEPT:
+            return self._ids(word)
+        core = word.rstrip(PUNCTUATION)
+        ends = len(core) < len(word) and core and core[-1] in LETTERS
+        made = self.known[core] + self.known[word[len(core):]] if ends else self._ids(word)
+        if len(self.known) >= self.keep:
+            self.known.clear()
+        self.known[word] = made
+        return made
 
     def _whole(self, text: str) -> bool:
         return self.words is None or any(m in text for m in self.marks) or self.words is SPACED_WORD and ODD_SPACE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Give a few megabytes of texts at a time."""
-        whole = [self._whole(t) for t in texts]
-        pieces = [[] if w else self._chunks(t) for t, w in zip(texts, whole)]
-        words = set(chain.from_iterable(chain.from_iterable(pieces)))
-        self._learn(words)
         lookup = self.known.__getitem__
-        made = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if w else
-                np.frombuffer(b"".join(map(lookup, chain.from_iterable(p))), self.dtype)
-                for t, p, w in zip(texts, pieces, whole)]
-        for word in [w for w in words if len(w) > LONGEST_KEPT]:
-            del self.known[word]
-            self.known.pop(word.rstrip(PUNCTUATION), None)
-        return made
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if self._whole(t) else
+                np.frombuffer(b"".join(map(lookup, chain.from_iterable(self._chunks(t)))), self.dtype) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
