@@ -87,24 +87,30 @@ def test_empty_tables(spark, run):
         assert ngram_bloom.scores(empty.selectExpr("doc_id", "text", "doc_id % 7 = 2 as held_out"), "held_out").count() == 0
 
 
-def test_scores_against_plain_counting(spark):
+@pytest.mark.parametrize("most_bytes, head, per_segment", [(None, None, None), (64, 5, 20), (200, 0, 50), (None, 3, 100)])
+def test_scores_against_plain_counting(spark, monkeypatch, most_bytes, head, per_segment):
+    """With all in the broadcast filter, and with little room there, so that most is asked of the segments."""
+    for name, value in (("MOST_BYTES", most_bytes), ("HEAD", head), ("KEYS_PER_SEGMENT", per_segment)):
+        if value is not None:
+            monkeypatch.setattr(ngram_bloom, name, value)
+    start, end = "\t", b"\n"
     texts = [*TEXTS, "A b a B", "the fox and the dog and the fox"]
     rows = rows_of(texts)
     docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "crc32(cast(doc_id as string)) % 7 = 2 as held_out", "kept as score")
     got = ngram_bloom.scores(docs, "held_out").collect()
-    token = lambda t: (t or "").encode().lower().split() + [ngram_bloom.END]
+    token = lambda t: (t or "").encode().lower().split() + [end]
     single, pair = collections.Counter(), collections.Counter()
     for doc, text, *_ in rows:
         if doc is not None and zlib.crc32(str(doc).encode()) % 7 != 2:
             single.update(token(text))
-            pair.update(zip([ngram_bloom.START] + token(text), token(text)))
+            pair.update(zip([start] + token(text), token(text)))
     total, different = sum(single.values()), len(single)
-    starts = sum(n for (v, _), n in pair.items() if v == ngram_bloom.START)
+    starts = sum(n for (v, _), n in pair.items() if v == start)
     def held(n):  # what quantising leaves of a count
         q = math.floor(math.log2(n)) if n else 0
         return (2 ** q + 2 ** (q + 1) - 1) / 2 if n else 0
     def probability(v, w):
-        before = held(starts if v == ngram_bloom.START else single[v])
+        before = held(starts if v == start else single[v])
         mix = ngram_bloom.MIX * before / (before + ngram_bloom.PRIOR)
         return mix * min(held(pair[v, w]), before) / max(before, 1) + (1 - mix) * (held(single[w]) + 1) / (total + different + 1)
     want = []
@@ -112,7 +118,7 @@ def test_scores_against_plain_counting(spark):
         t = token(text)
         want.append((doc, doc is None or zlib.crc32(str(doc).encode()) % 7 == 2, len(t), sum(single[w] > 0 for w in t), total,
                      sum(math.log10((single[w] + 1) / (total + different + 1)) for w in t),
-                     sum(math.log10(probability(v, w)) for v, w in zip([ngram_bloom.START] + t, t))))
+                     sum(math.log10(probability(v, w)) for v, w in zip([start] + t, t))))
     key = lambda r: tuple((x is not None, x or 0) for x in r[:4])
     off = []
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
@@ -138,21 +144,55 @@ def test_filter_gives_counts_back():
     assert (model.counts(absent) > 0).mean() < 0.05
 
 
-def test_rare_pairs_stay_out_of_a_small_filter():
+def test_rare_levels_stay_out_of_a_small_filter():
     held = np.array([0, 1000, 100, 10, 1])
     assert [ngram_bloom.lowest_level(held, room) for room in (1234, 1233, 234, 34, 33, 3, 0)] == [0, 2, 2, 3, 4, 5, 5]
 
 
+def test_word_hashes():
+    """Every word in its place with the same hash wherever it stands, and no two alike."""
+    rng = np.random.default_rng(5)
+    known = {}
+    chunk = ngram_bloom.CHUNK
+    pieces = [b"", b" ", b"a", b"\x0b a\tb\r\nc ", "é\x1cz ꙮ".encode(), b"x" * 63 + b" " + b"x" * 64 + b" " + b"x" * 65,
+              b"y" * (chunk - 1) + b" z", b"y" * chunk + b" z", b"q " + b"y" * (2 * chunk + 5) + b"\tz", b" " * (chunk + 3) + b"end",
+              b" ".join(bytes(rng.integers(97, 105, n, dtype=np.uint8)) for n in rng.integers(1, 90, 60_000))]
+    for data in pieces:
+        at, hashes = ngram_bloom.word_hashes(data)
+        words = data.split()
+        assert [data[a:a + len(w)] for a, w in zip(at.tolist(), words, strict=True)] == words
+        for word, made in zip(words, hashes.tolist(), strict=True):
+            assert known.setdefault(word, made) == made
+    assert len(set(known.values())) == len(known)
+
+
+def test_transitions_are_cut_anywhere(monkeypatch):
+    texts = ["", "a b", "A  c\nb", " ", "d"]
+    def made():
+        return [[x.tolist() for x in part] for part in ngram_bloom.transitions(texts)]
+    whole = made()
+    assert len(whole) == 1 and whole[0][2] == [0, 1, 1, 1, 2, 2, 2, 2, 3, 4, 4]
+    assert [a for a, b in zip(whole[0][0][1:], whole[0][1][:-1]) if a != b] == [int(ngram_bloom.START)] * 4
+    monkeypatch.setattr(ngram_bloom, "BLOCK_TOKENS", 3)
+    parts = made()
+    assert len(parts) == 4 and [sum((p[i] for p in parts), []) for i in range(3)] == whole[0]
+
+
 def test_most_frequent_words_are_whole_classes(spark):
-    counts = [(f"w{i}".encode(), n) for i, n in enumerate([1000, 990, 40, 40, 40, 2, 2, 1, 1, 1])]
-    vocabulary = spark.createDataFrame(counts, "word binary, n long")
-    for most, held in ((100, 10), (9, 7), (7, 7), (6, 5), (4, 2), (2, 2), (1, 0), (0, 0)):
-        assert sorted(ngram_bloom.most_frequent(vocabulary, most).column("n").to_pylist(), reverse=True) == [n for _, n in counts][:held]
+    counts = [1000, 990, 40, 40, 40, 2, 2, 1, 1, 1]
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i, n in enumerate(counts) if n > at),) for at in range(1000)], "text string")
+    for segments in (1, 4):
+        held = ngram_bloom.counted(texts, segments).cache()
+        # the end, once in each of the texts, is as frequent as the first word
+        for most, got in ((100, 11), (10, 8), (8, 8), (7, 6), (5, 3), (3, 3), (2, 0), (0, 0)):
+            words, n = ngram_bloom.most_frequent(held, most)
+            assert sorted(n.tolist(), reverse=True) == [1000, *counts][:got] and (np.diff(words.astype(object)) > 0).all()
+        held.unpersist()
 
 
 def test_no_pair_stays_out(spark, monkeypatch):
-    """Many more n-grams than once had room, dealt over many segments: pairs seen once still count."""
-    monkeypatch.setattr(ngram_bloom, "BITS_PER_KEY", 1_000_000)  # a filter of 32 MB had room for 268 keys
+    """Many more n-grams than the broadcast filter has room for, dealt over many segments: pairs seen once still count."""
+    monkeypatch.setattr(ngram_bloom, "MOST_BYTES", 200)
     monkeypatch.setattr(ngram_bloom, "KEYS_PER_SEGMENT", 100)
     seen = [f"w{i}" for i in range(500)]
     texts = [" ".join(seen), " ".join(seen), " ".join(reversed(seen))]  # the first is learned from

@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter that holds quantised n-gram counts.
 
 The filter never stores an n-gram. A count c is quantised to q = 1 + floor(log2 c), and the n-gram is put into a Bloom
-filter q times, once with each level 1..q. Reading probes level 1, 2, ... until one is missing; the levels found give the
+filter once for each level up to q. Reading probes level after level until one is missing; the levels found give the
 count back as the mean of its range. A false count needs a false positive at every level above the true one, so
-its size is bounded by falling odds. Levels 3 and up share the filter with the others: few n-grams have them.
+its size is bounded by falling odds.
 
 Tokens are words between ASCII white space with A-Z in lower case, then one end per document. Words and pairs (word,
 follower; a start stands before the first) are counted over all training documents. The probability of a token mixes both:
@@ -12,22 +12,25 @@ follower; a start stands before the first) are counted over all training documen
 
 with the counts c read from the filter, and N tokens and V different ones counted exactly. c(v w) counts as at most c(v).
 
-How it is spread: tasks take their texts in blocks of whole documents. The different n-grams of a block go, as sorted keys with
-their counts in training documents, packed, to the segments of the key space. A segment's group adds the counts up,
-builds its slice of the filter from all of them and reads it once for each different n-gram that any block asks for. The levels go back
-to the blocks, which sum the logs of their documents. The number of segments grows with the text, so a group stays small, and an
-n-gram of a third of all tokens is one entry per block. No task holds the whole filter, nothing of it is broadcast, and no word or
-pair is left out of it.
+How it is spread:
 
-The base score needs exact counts. The HEAD most frequent words, a bounded number, are broadcast; the others in each
-document are joined to the table of counts.
+1. Tasks count the n-grams of blocks of training text and send them, packed, to segments of the key space, whose number grows
+   with the text. A segment adds them up. An n-gram of a third of all tokens is one entry per block.
+2. The n-grams of the frequent levels, as many as MOST_BYTES have room for, make one filter, which is broadcast. The others
+   make a slice of a filter per segment, written once. In a small corpus all levels are frequent and no slice is needed.
+   No word or pair is left out of both.
+3. Tasks probe the broadcast filter for all n-grams of their blocks and score at once all tokens of which it holds each. Only
+   n-grams that it does not hold travel, packed per segment, to the slices, and their levels back to the block's other tokens.
+
+The base score needs exact counts. The HEAD most frequent words, a bounded number, are broadcast with theirs; the others in a
+block are asked of the segments, in the same way and with 64-bit keys. Words are known by their hash alone.
 """
 
 import math
-from collections import Counter
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -36,23 +39,30 @@ from pyspark.sql import DataFrame, functions as F
 from vellum import session
 from vellum.llm import common
 from vellum.llm.common import SlicedFilter
-from vellum.llm.words import word_lists
 
-END, START = b"\n", b"\t"  # no word holds them
 HEAD = 200_000
 MIX, PRIOR = 0.7, 50.0
 BITS_PER_KEY, PROBES = 10, 4
+MOST_BYTES = 32 << 20  # of the broadcast filter
+HEAD_SLICES = 64  # it is built in so many parts
 KEYS_PER_SEGMENT = 1 << 20
 TOKEN_BYTES = 6  # bytes of text for one token, about
-FLUSH = 3_000_000  # n-grams of a block, about
+BLOCK_TOKENS = 1_000_000
+LEVELS = 64
 ODD = np.uint64(1)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
 LEVEL = 0xD1B54A32D192ED03
 
-
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+# Words of up to LONG bytes are hashed side by side: a sum of a number for each byte times a power for its place.
+CHUNK, LONG = 1 << 20, 64
+SPACES = b" \t\n\x0b\x0c\r"
+WHITE = np.isin(np.arange(256), list(SPACES))
+BYTE = common.mix(np.arange(1, 257, dtype=np.uint64) * PAIR)
+BASE = 0x5851F42D4C957F2D
+POWERS = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK - 1, BASE, np.uint64)], dtype=np.uint64)
+INVERSES = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK - 1, pow(BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b"\t", b"\n"))  # no word holds these bytes
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -79,130 +89,224 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (np.exp2(levels - 1.0) + np.exp2(levels) - 1) / 2, 0.0)
 
 
-class Words:
-    """Keys of words, held for up to `keep` different ones."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of `data`, in lower case, begin, and their hashes; a chunk at a time, cut at white space."""
+    begins, hashes, at = [], [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            cut = max(data.rfind(c, at, end) for c in SPACES)
+            if cut < 0:  # one word longer than a chunk
+                ends = [p for p in (data.find(c, end) for c in SPACES) if p >= 0]
+                end = min(ends, default=len(data))
+                begins.append(np.array([at]))
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(data[at:end])], np.uint64))
+                at = end
+                continue
+            end = cut + 1
+        raw = np.frombuffer(data, np.uint8)[at:end]
+        edges = np.flatnonzero(np.diff(WHITE[raw], prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE[raw] * POWERS[:len(raw)], out=sums[1:])
+        made = common.mix((sums[last] - sums[first]) * INVERSES[first] + (last - first).astype(np.uint64))
+        for i in np.flatnonzero(last - first > LONG).tolist():
+            made[i] = xxhash.xxh3_64_intdigest(data[at + first[i]:at + last[i]])
+        begins.append(at + first)
+        hashes.append(made)
+        at = end
+    return np.concatenate(begins or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
+def transitions(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of texts, at most BLOCK_TOKENS at a time: the one before each, it, and the number of its text."""
+    for some in common.slices(texts):
+        data = [t.encode().lower() for t in texts[some.start:some.stop]]
+        sizes = np.array([len(d) + 1 for d in data])
+        at, words = word_hashes(b" ".join(data))
+        of = np.searchsorted(np.cumsum(sizes), at, "right")
+        held = np.bincount(of, minlength=len(data)) + 2  # a start and an end
+        stops = np.cumsum(held)
+        keys = np.zeros(stops[-1], np.uint64)
+        inner = np.ones(len(keys), np.bool_)
+        inner[stops - 1] = inner[stops - held] = False
+        keys[inner], keys[stops - 1], keys[stops - held] = words, END, START
+        follows = np.ones(len(keys), np.bool_)
+        follows[stops - held] = False  # a start is given, not scored
+        follows, number = np.flatnonzero(follows), np.repeat(np.arange(some.start, some.stop), held)
+        for first in range(0, len(follows), BLOCK_TOKENS):
+            part = follows[first:first + BLOCK_TOKENS]
+            yield keys[part - 1], keys[part], number[part]
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the number of each key among them."""
+    codes, different = pd.factorize(keys)
+    order = np.argsort(different)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return different[order], rank[codes]
+
+
+def per_segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment begins among keys in order, and the end."""
+    return np.searchsorted(common.segment_of(keys, segments).astype(np.int64), np.arange(segments + 1))
+
+
+def halves(keys: np.ndarray) -> np.ndarray:
+    """The lower halves of keys of one segment, which are enough within it."""
+    return (keys & LOW).astype(np.uint32)
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Keys in order, packed by their differences."""
+    return common.packed(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def from_steps(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(common.unpacked(data, kind), dtype=kind)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    different, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return different, np.bincount(number, np.concatenate(counts), len(different)).astype(np.int64)
+
 
-    def __init__(self, keep: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.keep = keep
+def lowest_level(held: np.ndarray, room: float) -> int:
+    """The lowest level such that n-grams from it on, held[level] of each, have no more keys than `room`."""
+    keys = np.cumsum((held * np.arange(len(held)))[::-1])[::-1]
+    return int(np.flatnonzero(np.append(keys, 0) <= room)[0])
 
-    def keys(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        keys = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
-        for at in np.flatnonzero(keys == 0).tolist():  # words not seen lately
-            word = words[at]
-            if word not in known:
-                known[word] = word_key(word)
-            keys[at] = known[word]
-        return keys
 
+COUNTED = "segment int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
-def tokens(text: str):
-    """The tokens of a text without its end, in lists of bounded length."""
-    return word_lists(text.encode().lower())
 
+def counted(training: DataFrame, segments: int) -> DataFrame:
+    """The n-grams of `training` (text) per segment: words with 64-bit hashes, pairs with the lower halves of theirs, packed
+    in order with their counts; N and V of the segment, how many n-grams have each level and words each class of counts.
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """How often each token occurs in `training` (text): word, n. Counted per task first."""
+    A class is an eighth of a doubling. The start counts as a word in levels, not in N, V and classes.
+    """
     def count(batches):
-        held = Counter()
+        for batch in batches:
+            for left, right, _ in transitions(common.strings(batch)):
+                words, word = numbered(np.append(right, left[left == START]))
+                pairs, pair = numbered(pair_keys(left, right))
+                word_counts, pair_counts = np.bincount(word).astype(np.uint32), np.bincount(pair).astype(np.uint32)
+                of_words, of_pairs = per_segment(words, segments), per_segment(pairs, segments)
+                some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
+                w, p = ([slice(of[s], of[s + 1]) for s in some] for of in (of_words, of_pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(column, pa.binary()) for column in (
+                    [steps(words[at]) for at in w], [common.packed(word_counts[at]) for at in w],
+                    [steps(halves(pairs[at])) for at in p], [common.packed(pair_counts[at]) for at in p]))],
+                    names=["segment", "words", "word_counts", "pairs", "pair_counts"])
+
+    def add(key, table):
+        column = {c: [read(v, kind) for v in table.column(c).to_pylist()]
+                  for c, kind, read in (("words", "u8", from_steps), ("word_counts", "u4", common.unpacked),
+                                        ("pairs", "u4", from_steps), ("pair_counts", "u4", common.unpacked))}
+        words, word_counts = summed(column["words"], column["word_counts"])
+        pairs, pair_counts = summed(column["pairs"], column["pair_counts"])
+        own = word_counts[words != START]
+        levels = np.bincount(levels_of(np.append(word_counts, pair_counts)), minlength=LEVELS)
+        classes = np.bincount(np.floor(np.log2(own) * 8).astype(np.int64), minlength=8 * LEVELS)
+        return pa.table({"segment": table.column("segment")[:1], "words": [steps(words)], "word_counts": [common.packed(word_counts)],
+                         "pairs": [steps(pairs)], "pair_counts": [common.packed(pair_counts)], "tokens": [int(own.sum())],
+                         "different": [len(own)], "levels": [levels.tolist()], "classes": [classes.tolist()]})
+
+    return (common.mapped(training.select("text"), count, COUNTED).groupBy("segment")
+            .applyInArrow(add, COUNTED + ", tokens long, different long, levels array<long>, classes array<long>"))
+
+
+def added_up(counts: DataFrame, column: str, size: int) -> np.ndarray:
+    """The sums of arrays of `size` numbers."""
+    sums = counts.select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()
+    made = np.zeros(size, np.int64)
+    for at, n in sums:
+        made[at] = n
+    return made
+
+
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words, as hashes in order, with their counts, from the lowest class of counts on with which there are at most `most`."""
+    above = np.cumsum(added_up(counts, "classes", 8 * LEVELS)[::-1])[::-1]
+    least = int(np.flatnonzero(np.append(above, 0) <= most)[0])
+
+    def choose(batches):
+        for batch in batches:
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("word_counts").to_pylist()):
+                words, n = from_steps(words, "u8"), common.unpacked(n, "i8")
+                chosen = (np.floor(np.log2(n) * 8) >= least) & (words != START)
+                yield pa.RecordBatch.from_arrays([pa.array(words[chosen].view(np.int64)), pa.array(n[chosen])], names=["word", "n"])
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return batch
+    found = common.mapped(counts.select("words", "word_counts"), choose, "word long, n long").toArrow()  # at most `most` rows
+    words, n = (found.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(words.view(np.uint64))
+    return words.view(np.uint64)[order], n[order]
 
-        for batch in batches:
-            for text in common.strings(batch):
-                held[END] += 1
-                for words in tokens(text):
-                    held.update(words)
-                if len(held) > 1_000_000:
-                    yield flush()
-        yield flush()
 
-    return common.mapped(training.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def grams_of(row: dict, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short keys and levels of all n-grams of a segment."""
+    first = common.first_of_segment(np.uint64(row["segment"]), segments)
+    keys = np.append(common.short_keys(word_keys(from_steps(row["words"], "u8")), segments),
+                     first | from_steps(row["pairs"], "u4").astype(np.uint64))
+    return keys, levels_of(np.append(common.unpacked(row["word_counts"], "i8"), common.unpacked(row["pair_counts"], "i8")))
 
 
-def most_frequent(vocabulary: DataFrame, most: int) -> pa.Table:
-    """The words from the lowest class of counts on with which there are at most `most`; a class is an eighth of a doubling.
+def stored_keys(keys: np.ndarray, levels: np.ndarray, lowest: int) -> np.ndarray:
+    """The keys under which n-grams are stored at all their levels from `lowest` on."""
+    return np.concatenate([keys[:0], *(level_keys(keys[levels >= at], at) for at in range(lowest, int(levels.max(initial=0)) + 1))])
 
-    Classes are counted first, so that no task sends more words than are wanted in all.
-    """
-    classed = vocabulary.withColumn("class", F.floor(F.log2("n") * 8))
-    sizes = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}  # at most 8 * 64 rows
-    least, held = None, 0
-    for class_ in sorted(sizes, reverse=True):
-        held += sizes[class_]
-        if held > most:
-            break
-        least = class_
-    return (classed.where(F.col("class") >= least) if least is not None else classed.limit(0)).select("word", "n").toArrow()
-
-
-def ngrams(keys: np.ndarray, starts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different n-grams of texts whose tokens' keys stand one after another, each from `starts` on behind a start, as
-    sorted short keys; and the number among them of every word, and of the pair it ends (of a start: of the start itself)."""
-    pairs = pair_keys(keys[:-1], keys[1:])
-    words = word_keys(keys)
-    ends = np.concatenate((words[:1], pairs))
-    ends[starts] = words[starts]
-    different, number = np.unique(common.short_keys(np.concatenate((words, ends)), segments), return_inverse=True)
-    return different, number[:len(keys)], number[len(keys):]
-
-
-def merged_counts(halves: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The different keys of packed blocks, as lower halves, the sums of their counts, and the number of each block's keys among them."""
-    halves = [np.cumsum(common.unpacked(h, "u4"), dtype=np.uint32) for h in halves]
-    counts = np.concatenate([common.unpacked(c, "u4") for c in counts])
-    ends = np.cumsum([len(h) for h in halves])
-    halves, number = np.unique(np.concatenate(halves), return_inverse=True)
-    sums = np.zeros(len(halves), np.int64)
-    np.add.at(sums, number, counts)
-    return halves, sums, np.split(number, ends[:-1])
 
+def broadcast_filter(counts: DataFrame, segments: int, lowest: int) -> SlicedFilter:
+    """The filter of the n-grams with levels from `lowest` on, of at most MOST_BYTES."""
+    parts = min(segments, HEAD_SLICES)  # both are powers of two, so a part is a run of segments
 
-def lowest_level(held: np.ndarray, room: float) -> int:
-    """The lowest level such that n-grams from it on, held[level] of each, have no more keys than `room`."""
-    keys = np.cumsum((held * np.arange(len(held)))[::-1])[::-1]
-    return int(np.flatnonzero(np.append(keys, 0) <= room)[0])
+    def choose(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, levels = grams_of(row, segments)
+                stored = stored_keys(keys[levels >= lowest], levels[levels >= lowest], lowest)
+                yield pa.RecordBatch.from_pylist([{"part": row["segment"] * parts // segments, "keys": common.packed(stored)}],
+                                                 pa.schema([("part", pa.int32()), ("keys", pa.binary())]))
 
+    def gather(key, table):
+        keys = np.concatenate([common.unpacked(k, "u8") for k in table.column("keys").to_pylist()])
+        return pa.table({"segment": table.column("part")[:1], "keys": [keys.tobytes()], "n": [len(keys)]})
 
-def slice_filter(halves: np.ndarray, counts: np.ndarray) -> SlicedFilter:
-    """The slice of a segment: every n-gram with a count is stored under all its levels."""
-    halves, levels = halves[counts > 0].astype(np.uint64), levels_of(counts[counts > 0])
-    stored = [level_keys(halves[levels >= at], at) for at in range(1, int(levels.max(initial=0)) + 1)]
-    stored = np.concatenate(stored) if stored else halves
-    slice_bytes = max(64, -(-len(stored) * BITS_PER_KEY // 8))
-    return SlicedFilter(1, slice_bytes, PROBES, np.frombuffer(SlicedFilter.slice_of(stored, slice_bytes, PROBES), np.uint8))
+    chosen = common.mapped(counts.drop("tokens", "different", "levels", "classes"), choose, "part int, keys binary")
+    stored = session.written(chosen.groupBy("part").applyInArrow(gather, "segment int, keys binary, n long"), "frequent")
+    most = stored.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return common.sliced_filter(stored, most, parts, BITS_PER_KEY, PROBES, MOST_BYTES)
 
 
-def answers(found: DataFrame) -> DataFrame:
-    """For every block and segment, the levels of the block's n-grams, read from the segment's slice: nth, segment, levels."""
-    def read(key, table):
-        halves, counts, numbers = merged_counts(table.column("keys").to_pylist(), table.column("counts").to_pylist())
-        levels = Model(slice_filter(halves, counts), 0, 0).levels(halves.astype(np.uint64)).astype(np.uint8)
-        return pa.table({"nth": table.column("nth"), "segment": table.column("segment"),
-                         "levels": pa.array([common.packed(levels[n]) for n in numbers], pa.binary())})
+def slices(counts: DataFrame, segments: int, lowest: int) -> DataFrame:
+    """A row per segment: the slice that holds its n-grams below level `lowest`, and its words with exact counts."""
+    def build(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, levels = grams_of(row, segments)
+                stored = stored_keys(keys[levels < lowest], levels[levels < lowest], 1)
+                size = max(64, -(-len(stored) * BITS_PER_KEY // 8))
+                # within a segment the slice is a filter of its own
+                bits = SlicedFilter.slice_of(stored, size, PROBES)
+                yield pa.RecordBatch.from_pylist([{"segment": row["segment"], "bits": bits, "words": row["words"], "word_counts": row["word_counts"]}],
+                                                 pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary())]))
 
-    return (found.where("segment >= 0").select("nth", "segment", "keys", "counts")
-            .groupBy("segment").applyInArrow(read, "nth long, segment int, levels binary"))
+    return common.mapped(counts.drop("tokens", "different", "levels", "classes"), build, "segment int, bits binary, words binary, word_counts binary")
 
 
 class Model:
-    """Reads counts from a filter, and scores texts whose counts were read."""
+    """Reads counts from a filter that holds levels from `lowest` on, and scores tokens whose counts were read."""
 
-    def __init__(self, held: SlicedFilter | None, total: int, different: int):
-        self.held, self.total, self.different = held, total, different
+    def __init__(self, held: SlicedFilter | None, total: int, different: int, lowest: int = 1):
+        self.held, self.total, self.different, self.lowest = held, total, different, lowest
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of n-grams found in the filter."""
-        keys = common.short_keys(keys, self.held.segments)
+        """Levels of n-grams, by their short keys, found in the filter; 0 for those it does not hold."""
         levels = np.zeros(len(keys), np.int64)
-        at, level = np.arange(len(keys)), 1
-        while len(at) and level < 64:
+        at, level = np.arange(len(keys)), self.lowest
+        while len(at) and level < LEVELS:
             at = at[self.held.holds(level_keys(keys[at], level))]
             levels[at] = level
             level += 1
@@ -212,25 +316,21 @@ class Model:
         """Counts of n-grams as the filter gives them back."""
         return count_of(self.levels(keys))
 
-    def score(self, counts: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of texts, from the counts of their words and of the pairs these end, each from `starts` on behind a start."""
-        follows = np.ones(len(counts), np.bool_)
-        follows[starts] = False  # a start is given, not scored
-        right = np.flatnonzero(follows)
-        before = counts[right - 1]
-        pairs = np.minimum(pairs[right], before)
+    def logs(self, before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens from the levels of the word before, the word and the pair."""
+        before, word, pair = count_of(before), count_of(word), count_of(pair)
         mix = MIX * before / (before + PRIOR)
-        logs = np.zeros(len(counts))
-        logs[right] = np.log10(mix * pairs / np.maximum(before, 1) + (1 - mix) * (counts[right] + 1) / (self.total + self.different + 1))
-        return np.add.reduceat(logs, starts)
+        return np.log10(mix * np.minimum(pair, before) / np.maximum(before, 1) + (1 - mix) * (word + 1) / (self.total + self.different + 1))
 
 
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-ROW = pa.schema([("nth", pa.int64()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                 ("known", pa.int64()), ("logs", pa.float64()), ("rare", RARE), ("keys", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary())])
-ROWS = ("nth long, segment int, doc_id long, held_out boolean, n_tokens long, known long, logs double, "
-        "rare array<struct<word:binary,n:long>>, keys binary, counts binary, starts binary")
+# A row for each part of a document, for each block with open questions, and for each segment that it asks.
+PACKED = ("words", "pairs", "open", "levels")
+ROW = pa.schema([("nth", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                 ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), *((c, pa.binary()) for c in PACKED)])
+ROWS = ("nth long, kind int, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, "
+        "words binary, pairs binary, open binary, levels binary")
 BLOCK, DOCUMENT = -1, -2  # in place of a segment
+SUMS = ("n_tokens", "known", "logs", "score")
 
 
 def row_batch(size: int, columns: dict) -> pa.RecordBatch:
@@ -238,116 +338,165 @@ def row_batch(size: int, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in ROW], schema=ROW)
 
 
-def block_rows(nth: int, keys: list[np.ndarray], starts: list[int], training: list[bool], segments: int) -> pa.RecordBatch:
-    """A block whose first document is `nth`: a row per segment with its n-grams and their counts in training documents,
-    and one with the different tokens' keys, which of them stands where, and where documents start."""
-    keys, starts = np.concatenate(keys), np.array(starts, np.int64)
-    learned = np.repeat(np.array(training), np.diff(starts, append=len(keys)))
-    different, words, ends = ngrams(keys, starts, segments)
-    follows = learned.copy()
-    follows[starts] = False  # what ends in a start is no pair
-    counts = (np.bincount(words[learned], minlength=len(different)) + np.bincount(ends[follows], minlength=len(different))).astype(np.uint32)
-    at = np.searchsorted(common.segment_of(different, segments).astype(np.int64), np.arange(segments + 1))
-    some = np.flatnonzero(np.diff(at))
-    halves = (different & LOW).astype(np.uint32)  # steps between sorted numbers pack well
-    tokens_held, token = np.unique(keys, return_inverse=True)
-    return row_batch(len(some) + 1, {
-        "nth": [nth] * (len(some) + 1), "segment": [*some.tolist(), BLOCK],
-        "keys": [*(common.packed(np.diff(halves[at[s]:at[s + 1]], prepend=np.uint32(0))) for s in some), common.packed(tokens_held)],
-        "counts": [*(common.packed(counts[at[s]:at[s + 1]]) for s in some), common.packed(token.astype(np.uint32))],
-        "starts": [*[None] * len(some), common.packed(starts)]})
-
-
-def block_scores(found: DataFrame, total: int, different: int, segments: int) -> DataFrame:
-    """The score of every document of the blocks: nth, score."""
-    per_block = answers(found).groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("answers"))
-    blocks = found.where(F.col("segment") == BLOCK).select("nth", "keys", "counts", "starts")
+def sums_by(number: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(number, values, size).astype(np.float64)  # of no values it makes integers
+
+
+def block_rows(block: int, nth: np.ndarray, left: np.ndarray, right: np.ndarray, of: np.ndarray, model: Model, segments: int,
+               head: tuple[np.ndarray, np.ndarray], whole: bool) -> tuple[dict, pa.RecordBatch | None]:
+    """What is known of a block's tokens, summed per document, and the rows with its open questions, if any.
+
+    `of` is each token's document, a number into `nth`; `head` has the frequent words and is all of them if `whole`.
+    """
+    words, word = numbered(np.append(left, right))
+    before, word = word[:len(left)], word[len(left):]
+    pairs, pair = numbered(pair_keys(left, right))
+    word_levels = model.levels(common.short_keys(word_keys(words), segments))
+    pair_levels = model.levels(common.short_keys(pairs, segments))
+    place = np.minimum(np.searchsorted(head[0], words), max(0, len(head[0]) - 1))
+    exact = np.where(head[0][place] == words, head[1][place], 0 if whole else -1) if len(head[0]) else np.full(len(words), 0 if whole else -1)
+    exact[words == START] = 0
+    every = model.lowest == 1  # what this filter does not hold has no count
+    word_open, pair_open = (word_levels == 0) & (not every), (pair_levels == 0) & (not every)
+    scored = ~(word_open[before] | word_open[word] | pair_open[pair])
+    based = exact[word] >= 0
+    n = len(nth)
+    part = {"n_tokens": np.bincount(of, minlength=n), "known": np.bincount(of[exact[word] > 0], minlength=n),
+            "logs": sums_by(of[based], np.log10(exact[word][based] + 1), n),
+            "score": sums_by(of[scored], model.logs(word_levels[before[scored]], word_levels[word[scored]], pair_levels[pair[scored]]), n)}
+    if scored.all() and based.all():
+        return part, None
+    asked, asked_pairs = np.flatnonzero(word_open | (exact < 0)), np.flatnonzero(pair_open)
+    of_words, of_pairs = per_segment(words[asked], segments), per_segment(pairs[asked_pairs], segments)
+    some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
+    # Open tokens refer to words and pairs as numbered here; levels and counts of those that are not asked are known.
+    left_open = np.flatnonzero(~(scored & based))
+    flags = scored[left_open].astype(np.uint8) + 2 * based[left_open].astype(np.uint8)
+    tokens_open = [common.packed(np.diff(of[left_open], prepend=0).astype(np.int32)), common.packed(flags),
+                   *(common.packed(x[left_open].astype(np.uint32)) for x in (before, word, pair))]
+    known = [common.packed(x) for x in (word_levels.astype(np.uint8), pair_levels.astype(np.uint8), exact.astype(np.int64),
+                                        asked.astype(np.uint32), asked_pairs.astype(np.uint32), nth.astype(np.int64))]
+    return part, row_batch(len(some) + 1, {
+        "nth": [block] * (len(some) + 1), "kind": [*some, BLOCK],
+        "words": [*(steps(words[asked[of_words[s]:of_words[s + 1]]]) for s in some), None],
+        "pairs": [*(steps(halves(pairs[asked_pairs[of_pairs[s]:of_pairs[s + 1]]])) for s in some), None],
+        "open": [*[None] * len(some), framed(tokens_open)], "levels": [*[None] * len(some), framed(known)]})
+
+
+def framed(parts: list[bytes]) -> bytes:
+    """Byte strings one after another behind their number and lengths."""
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unframed(data: bytes) -> list[bytes]:
+    count = int(np.frombuffer(data, np.int64, 1)[0])
+    ends = 8 * (count + 1) + np.r_[0, np.cumsum(np.frombuffer(data, np.int64, count, 8))]
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def answers(found: DataFrame, held: DataFrame, segments: int) -> DataFrame:
+    """For each block and segment asked, the levels of its words and pairs in the segment's slice and the exact counts of its words."""
+    def read(key, asked, held):
+        segment, row = key[0].as_py(), (held.to_pylist() or [None])[0]
+        first = common.first_of_segment(np.uint64(segment), segments)
+        model = row and Model(SlicedFilter(1, len(row["bits"]), PROBES, np.frombuffer(row["bits"], np.uint8)), 0, 0)
+        known, counts = (from_steps(row["words"], "u8"), common.unpacked(row["word_counts"], "i8")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        made = []
+        for words, pairs in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
+            words, pairs = from_steps(words, "u8"), first | from_steps(pairs, "u4").astype(np.uint64)
+            keys = np.append(common.short_keys(word_keys(words), segments), pairs)
+            levels = (model.levels(keys) if row else np.zeros(len(keys))).astype(np.uint8)
+            exact = np.zeros(len(words), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                exact = np.where(known[place] == words, counts[place], 0)
+            made.append(framed([common.packed(levels[:len(words)]), common.packed(levels[len(words):]), common.packed(exact)]))
+        return pa.table({"nth": asked.column("nth"), "segment": asked.column("segment"), "answer": pa.array(made, pa.binary())})
+
+    asked = found.where("kind >= 0").select("nth", F.col("kind").alias("segment"), "words", "pairs")
+    return asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(read, "nth long, segment int, answer binary")
+
+
+def answered(found: DataFrame, held: DataFrame, segments: int, total: int, different: int) -> DataFrame:
+    """What the answers add to documents: nth, n_tokens (0), known, logs, score."""
+    per_block = answers(found, held, segments).groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("segment", "answer"))).alias("answers"))
+    blocks = found.where(F.col("kind") == BLOCK).select("nth", "open", "levels").join(per_block, "nth").select("open", "levels", F.col("answers.answer").alias("answers"))
 
     def score(batches):
         model = Model(None, total, different)
         for batch in batches:
-            for nth, keys, token, starts, answered in zip(*(batch.column(c).to_pylist() for c in ("nth", "keys", "counts", "starts", "answers"))):
-                keys, starts = common.unpacked(keys, "u8")[common.unpacked(token, "u4")], common.unpacked(starts, "i8")
-                _, words, ends = ngrams(keys, starts, segments)
-                counts = count_of(np.concatenate([common.unpacked(a["levels"], "u1") for a in answered]))
-                made = model.score(counts[words], counts[ends], starts)
-                yield pa.RecordBatch.from_arrays([pa.array(nth + np.arange(len(made))), pa.array(made)], names=["nth", "score"])
-
-    return common.mapped(blocks.join(per_block, "nth"), score, "nth long, score double")
+            for opened, known, given in zip(*(batch.column(c).to_pylist() for c in ("open", "levels", "answers"))):
+                of, flags, before, word, pair = (common.unpacked(x, kind) for x, kind in zip(unframed(opened), ("i4", "u1", "u4", "u4", "u4")))
+                word_levels, pair_levels, exact, asked, asked_pairs, nth = (
+                    common.unpacked(x, kind).copy() for x, kind in zip(unframed(known), ("u1", "u1", "i8", "u4", "u4", "i8")))
+                given = list(zip(*map(unframed, given)))
+                levels, levels_of_pairs, counts = (np.concatenate([common.unpacked(x, kind) for x in column]) for column, kind in zip(given, ("u1", "u1", "i8")))
+                open_words = asked[word_levels[asked] == 0]
+                word_levels[open_words] = levels[word_levels[asked] == 0]
+                pair_levels[asked_pairs] = levels_of_pairs
+                exact[asked] = np.where(exact[asked] < 0, counts, exact[asked])
+                of, n = np.cumsum(of), len(nth)
+                scores, bases = flags & 1 == 0, flags & 2 == 0
+                logs = model.logs(*(x[y[scores]].astype(np.int64) for x, y in ((word_levels, before), (word_levels, word), (pair_levels, pair))))
+                counts = exact[word[bases]]
+                yield pa.RecordBatch.from_arrays([pa.array(nth), pa.array(np.zeros(n, np.int64)), pa.array(np.bincount(of[bases][counts > 0], minlength=n)),
+                    pa.array(sums_by(of[bases], np.log10(counts + 1), n)), pa.array(sums_by(of[scores], logs, n))], names=["nth", *SUMS])
+
+    return common.mapped(blocks, score, "nth long, n_tokens long, known long, logs double, score double")
 
 
 def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs`.
 
     Rows whose `held_out` is false are learned from; a null counts as true. A null text is empty: its only token
-    is the end. Without any row to learn from, all counts are 0. Repeated rows are each learned from and scored.
+    is the end. Without any row to learn from, all counts are 0. Repeated rows are each learned from and scored; an empty table
+    gives no row. A very long text is several blocks; its task holds about eight times its bytes. Other columns do not matter.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    vocabulary = session.written(word_counts(training), "words")
-    total, different = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = max(1, math.ceil(2 * size / TOKEN_BYTES / KEYS_PER_SEGMENT))
-    frequent = most_frequent(vocabulary, HEAD)
-    head = spark.sparkContext.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())))  # at most HEAD words
-    del frequent
+    segments = 1 << max(0, math.ceil(math.log2(max(1, 2 * size / TOKEN_BYTES / KEYS_PER_SEGMENT))))
+    counts = session.written(counted(rows.where(~F.col("held_out")), segments), "counts")
+    total, different = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
+    lowest = max(1, lowest_level(added_up(counts, "levels", LEVELS), MOST_BYTES * 8 / BITS_PER_KEY))
+    frequent = most_frequent(counts, HEAD)
+    whole = len(frequent[0]) == different
+    shared = spark.sparkContext.broadcast((broadcast_filter(counts, segments, lowest), frequent))  # MOST_BYTES and HEAD words at most
+
+    def probe(batches):
+        held, head = shared.value
+        model = Model(held, total, different, lowest)
+        task = TaskContext.get().partitionId() << 33
+        nth = block = task
+        waiting, size = [], 0  # parts of documents: their numbers from nth on, and tokens
+
+        def block_of():
+            left, right, of = (np.concatenate(x) for x in list(zip(*waiting))[:3])
+            numbers, of = np.unique(of, return_inverse=True)
+            part, opened = block_rows(block, numbers, left, right, of, model, segments, head, whole)
+            first = {n: d for w in waiting for n, d in w[3].items()}
+            return [row_batch(len(numbers), {"nth": numbers, "kind": [DOCUMENT] * len(numbers), "doc_id": [first[n][0] for n in numbers.tolist()],
+                                             "held_out": [first[n][1] for n in numbers.tolist()], **part}), *([opened] if opened else [])]
 
-    # One row per document, one per block of documents, and one per (block, segment).
-    def count(batches):
-        known_words = Words()
-        place = {word: at for at, word in enumerate(head.value)}
-        head_keys = np.fromiter(map(word_key, place), np.uint64, len(place))
-        head_logs = np.log10(np.fromiter(head.value.values(), np.float64, len(place)) + 1)
-        start = word_key(START)
-        nth = block = TaskContext.get().partitionId() << 33
-        held, begins, learned, size = [], [], [], 0
         for batch in batches:
-            texts, ids, kept_out = common.strings(batch), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for some in common.slices(texts):
-                words, starts = [], []
-                for text in texts[some.start:some.stop]:
-                    starts.append(len(words))
-                    words.append(START)
-                    for part in tokens(text):
-                        words += part
-                    words.append(END)
-                starts = np.array(starts)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                known, rare = at >= 0, at < 0
-                rare[starts] = False
-                keys, logs = np.full(len(words), start, np.uint64), np.zeros(len(words))
-                keys[known], logs[known] = head_keys[at[known]], head_logs[at[known]]
-                places = np.flatnonzero(rare)
-                rare_words = [words[i] for i in places.tolist()]
-                keys[places] = known_words.keys(rare_words)
-                outside = [Counter() for _ in starts]
-                for doc, word in zip((np.searchsorted(starts, places, "right") - 1).tolist(), rare_words):
-                    outside[doc][word] += 1
-                yield row_batch(len(starts), {
-                    "nth": nth + np.arange(len(starts)), "segment": [DOCUMENT] * len(starts), "doc_id": ids[some.start:some.stop],
-                    "held_out": kept_out[some.start:some.stop], "n_tokens": np.diff(starts, append=len(words)) - 1,
-                    "known": np.add.reduceat(known.astype(np.int64), starts), "logs": np.add.reduceat(logs, starts),
-                    "rare": [[{"word": w, "n": n} for w, n in o.items()] for o in outside]})
-                nth += len(starts)
-                held.append(keys)
-                begins += (starts + size).tolist()
-                learned += [not h for h in kept_out[some.start:some.stop]]
-                size += len(keys)
-                if 2 * size > FLUSH:
-                    yield block_rows(block, held, begins, learned, segments)
-                    block, held, begins, learned, size = nth, [], [], [], 0
-        if size:
-            yield block_rows(block, held, begins, learned, segments)
-
-    found = session.written(common.mapped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), count, ROWS), "ngrams")
-    scored = block_scores(found, total, different, segments)
-    held = found.where(F.col("segment") == DOCUMENT).select("nth", "doc_id", "held_out", "n_tokens", "known", "logs", "rare")
-    rare = held.select("nth", F.explode("rare").alias("r")).select("nth", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    others = (rare.join(vocabulary, "word").groupBy("nth")
-              .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")))
-    known = F.col("known") + F.coalesce(F.col("more"), F.lit(0))
-    logs = F.col("logs") + F.coalesce(F.col("more_logs"), F.lit(0.0))
-    return held.drop("rare").join(others, "nth", "left").join(scored, "nth").select(
-        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"), "score")
+            ids, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            for left, right, of in transitions(common.strings(batch)):
+                first, last = int(of[0]), int(of[-1])
+                waiting.append((left, right, nth + of, {nth + i: (ids[i], kept_out[i]) for i in range(first, last + 1)}))
+                size += len(left)
+                if size >= BLOCK_TOKENS:
+                    yield from block_of()
+                    block, waiting, size = block + 1, [], 0
+            nth += batch.num_rows
+        if waiting:
+            yield from block_of()
+
+    found = session.written(common.mapped(rows.select("doc_id", "held_out", "text"), probe, ROWS), "probed")
+    parts = found.where(F.col("kind") == DOCUMENT).select("nth", "doc_id", "held_out", *SUMS)
+    if lowest > 1 or not whole:
+        held = session.written(slices(counts, segments, lowest), "slices")
+        more = answered(found, held, segments, total, different)
+        parts = parts.unionByName(more, allowMissingColumns=True)
+    return parts.groupBy("nth").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in SUMS)).select(
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"), "score")
