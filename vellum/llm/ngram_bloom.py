@@ -158,13 +158,35 @@ def halves(keys: np.ndarray) -> np.ndarray:
     return (keys & LOW).astype(np.uint32)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers packed byte by byte: all their first bytes, all their second ones, and so on, as the last are mostly zeros."""
+    return common.packed(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(common.unpacked(data, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def steps(keys: np.ndarray) -> bytes:
     """Keys in order, packed by their differences."""
-    return common.packed(np.diff(keys, prepend=keys.dtype.type(0)))
+    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
 def from_steps(data: bytes, kind: str) -> np.ndarray:
-    return np.cumsum(common.unpacked(data, kind), dtype=kind)
+    return np.cumsum(from_planes(data, kind), dtype=kind)
+
+
+def blocks_of(parts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Consecutive parts with about BLOCK_TOKENS tokens together; a part begins with an array of its tokens."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= BLOCK_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,30 +210,30 @@ def counted(training: DataFrame, segments: int) -> DataFrame:
     A class is an eighth of a doubling. The start counts as a word in levels, not in N, V and classes.
     """
     def count(batches):
-        for batch in batches:
-            for left, right, _ in transitions(common.strings(batch)):
-                words, word = numbered(np.append(right, left[left == START]))
-                pairs, pair = numbered(pair_keys(left, right))
-                word_counts, pair_counts = np.bincount(word).astype(np.uint32), np.bincount(pair).astype(np.uint32)
-                of_words, of_pairs = per_segment(words, segments), per_segment(pairs, segments)
-                some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
-                w, p = ([slice(of[s], of[s + 1]) for s in some] for of in (of_words, of_pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(column, pa.binary()) for column in (
-                    [steps(words[at]) for at in w], [common.packed(word_counts[at]) for at in w],
-                    [steps(halves(pairs[at])) for at in p], [common.packed(pair_counts[at]) for at in p]))],
-                    names=["segment", "words", "word_counts", "pairs", "pair_counts"])
+        for block in blocks_of(part for batch in batches for part in transitions(common.strings(batch))):
+            left, right = (np.concatenate([part[i] for part in block]) for i in (0, 1))
+            words, word = numbered(np.append(right, left[left == START]))
+            pairs, pair = numbered(pair_keys(left, right))
+            word_counts, pair_counts = np.bincount(word).astype(np.uint32), np.bincount(pair).astype(np.uint32)
+            of_words, of_pairs = per_segment(words, segments), per_segment(pairs, segments)
+            some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
+            w, p = ([slice(of[s], of[s + 1]) for s in some] for of in (of_words, of_pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(column, pa.binary()) for column in (
+                [steps(words[at]) for at in w], [planes(word_counts[at]) for at in w],
+                [steps(halves(pairs[at])) for at in p], [planes(pair_counts[at]) for at in p]))],
+                names=["segment", "words", "word_counts", "pairs", "pair_counts"])
 
     def add(key, table):
         column = {c: [read(v, kind) for v in table.column(c).to_pylist()]
-                  for c, kind, read in (("words", "u8", from_steps), ("word_counts", "u4", common.unpacked),
-                                        ("pairs", "u4", from_steps), ("pair_counts", "u4", common.unpacked))}
+                  for c, kind, read in (("words", "u8", from_steps), ("word_counts", "u4", from_planes),
+                                        ("pairs", "u4", from_steps), ("pair_counts", "u4", from_planes))}
         words, word_counts = summed(column["words"], column["word_counts"])
         pairs, pair_counts = summed(column["pairs"], column["pair_counts"])
         own = word_counts[words != START]
         levels = np.bincount(levels_of(np.append(word_counts, pair_counts)), minlength=LEVELS)
         classes = np.bincount(np.floor(np.log2(own) * 8).astype(np.int64), minlength=8 * LEVELS)
-        return pa.table({"segment": table.column("segment")[:1], "words": [steps(words)], "word_counts": [common.packed(word_counts)],
-                         "pairs": [steps(pairs)], "pair_counts": [common.packed(pair_counts)], "tokens": [int(own.sum())],
+        return pa.table({"segment": table.column("segment")[:1], "words": [steps(words)], "word_counts": [planes(word_counts)],
+                         "pairs": [steps(pairs)], "pair_counts": [planes(pair_counts)], "tokens": [int(own.sum())],
                          "different": [len(own)], "levels": [levels.tolist()], "classes": [classes.tolist()]})
 
     return (common.mapped(training.select("text"), count, COUNTED).groupBy("segment")
@@ -235,7 +257,7 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     def choose(batches):
         for batch in batches:
             for words, n in zip(batch.column("words").to_pylist(), batch.column("word_counts").to_pylist()):
-                words, n = from_steps(words, "u8"), common.unpacked(n, "i8")
+                words, n = from_steps(words, "u8"), from_planes(n, "i8")
                 chosen = (np.floor(np.log2(n) * 8) >= least) & (words != START)
                 yield pa.RecordBatch.from_arrays([pa.array(words[chosen].view(np.int64)), pa.array(n[chosen])], names=["word", "n"])
 
@@ -250,7 +272,7 @@ def grams_of(row: dict, segments: int) -> tuple[np.ndarray, np.ndarray]:
     first = common.first_of_segment(np.uint64(row["segment"]), segments)
     keys = np.append(common.short_keys(word_keys(from_steps(row["words"], "u8")), segments),
                      first | from_steps(row["pairs"], "u4").astype(np.uint64))
-    return keys, levels_of(np.append(common.unpacked(row["word_counts"], "i8"), common.unpacked(row["pair_counts"], "i8")))
+    return keys, levels_of(np.append(from_planes(row["word_counts"], "i8"), from_planes(row["pair_counts"], "i8")))
 
 
 def stored_keys(keys: np.ndarray, levels: np.ndarray, lowest: int) -> np.ndarray:
@@ -266,17 +288,20 @@ def broadcast_filter(counts: DataFrame, segments: int, lowest: int) -> SlicedFil
         for batch in batches:
             for row in batch.to_pylist():
                 keys, levels = grams_of(row, segments)
-                stored = stored_keys(keys[levels >= lowest], levels[levels >= lowest], lowest)
-                yield pa.RecordBatch.from_pylist([{"part": row["segment"] * parts // segments, "keys": common.packed(stored)}],
+                stored = np.sort(stored_keys(keys[levels >= lowest], levels[levels >= lowest], lowest))
+                yield pa.RecordBatch.from_pylist([{"part": row["segment"] * parts // segments, "keys": steps(stored)}],
                                                  pa.schema([("part", pa.int32()), ("keys", pa.binary())]))
 
     def gather(key, table):
-        keys = np.concatenate([common.unpacked(k, "u8") for k in table.column("keys").to_pylist()])
-        return pa.table({"segment": table.column("part")[:1], "keys": [keys.tobytes()], "n": [len(keys)]})
-
-    chosen = common.mapped(counts.drop("tokens", "different", "levels", "classes"), choose, "part int, keys binary")
-    stored = session.written(chosen.groupBy("part").applyInArrow(gather, "segment int, keys binary, n long"), "frequent")
-    most = stored.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        keys = [from_steps(k, "u8") for k in table.column("keys").to_pylist()]
+        return pa.table({"segment": table.column("part")[:1], "keys": pa.array([np.concatenate(keys).tobytes()], pa.binary())})
+
+    chosen = common.mapped(counts.select("segment", "words", "word_counts", "pairs", "pair_counts"), choose, "part int, keys binary")
+    stored = chosen.groupBy("part").applyInArrow(gather, "segment int, keys binary")
+    keys_of_level = F.transform("levels", lambda n, level: n * F.greatest(level - (lowest - 1), F.lit(0)))
+    keys = F.aggregate(keys_of_level, F.lit(0).cast("long"), lambda a, b: a + b)
+    part = F.floor(F.col("segment").cast("long") * parts / segments)
+    most = counts.groupBy(part.alias("part")).agg(F.sum(keys).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     return common.sliced_filter(stored, most, parts, BITS_PER_KEY, PROBES, MOST_BYTES)
 
 
@@ -293,7 +318,7 @@ def slices(counts: DataFrame, segments: int, lowest: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"segment": row["segment"], "bits": bits, "words": row["words"], "word_counts": row["word_counts"]}],
                                                  pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary())]))
 
-    return common.mapped(counts.drop("tokens", "different", "levels", "classes"), build, "segment int, bits binary, words binary, word_counts binary")
+    return common.mapped(counts.select("segment", "words", "word_counts", "pairs", "pair_counts"), build, "segment int, bits binary, words binary, word_counts binary")
 
 
 class Model:
@@ -371,11 +396,11 @@ def block_rows(block: int, nth: np.ndarray, left: np.ndarray, right: np.ndarray,
     some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
     # Open tokens refer to words and pairs as numbered here; levels and counts of those that are not asked are known.
     left_open = np.flatnonzero(~(scored & based))
+    left_open = left_open[np.argsort(pair[left_open], kind="stable")]  # their order is free; so pairs pack to almost nothing
     flags = scored[left_open].astype(np.uint8) + 2 * based[left_open].astype(np.uint8)
-    tokens_open = [common.packed(np.diff(of[left_open], prepend=0).astype(np.int32)), common.packed(flags),
-                   *(common.packed(x[left_open].astype(np.uint32)) for x in (before, word, pair))]
-    known = [common.packed(x) for x in (word_levels.astype(np.uint8), pair_levels.astype(np.uint8), exact.astype(np.int64),
-                                        asked.astype(np.uint32), asked_pairs.astype(np.uint32), nth.astype(np.int64))]
+    tokens_open = [common.packed(flags), *(planes(x[left_open].astype(np.uint32)) for x in (of, before, word)), steps(pair[left_open].astype(np.uint32))]
+    known = [common.packed(word_levels.astype(np.uint8)), common.packed(pair_levels.astype(np.uint8)), planes(exact.astype(np.int64)),
+             steps(asked.astype(np.uint32)), steps(asked_pairs.astype(np.uint32)), steps(nth.astype(np.int64))]
     return part, row_batch(len(some) + 1, {
         "nth": [block] * (len(some) + 1), "kind": [*some, BLOCK],
         "words": [*(steps(words[asked[of_words[s]:of_words[s + 1]]]) for s in some), None],
@@ -400,7 +425,7 @@ def answers(found: DataFrame, held: DataFrame, segments: int) -> DataFrame:
         segment, row = key[0].as_py(), (held.to_pylist() or [None])[0]
         first = common.first_of_segment(np.uint64(segment), segments)
         model = row and Model(SlicedFilter(1, len(row["bits"]), PROBES, np.frombuffer(row["bits"], np.uint8)), 0, 0)
-        known, counts = (from_steps(row["words"], "u8"), common.unpacked(row["word_counts"], "i8")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known, counts = (from_steps(row["words"], "u8"), from_planes(row["word_counts"], "i8")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         made = []
         for words, pairs in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
             words, pairs = from_steps(words, "u8"), first | from_steps(pairs, "u4").astype(np.uint64)
@@ -410,7 +435,7 @@ def answers(found: DataFrame, held: DataFrame, segments: int) -> DataFrame:
             if len(known):
                 place = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 exact = np.where(known[place] == words, counts[place], 0)
-            made.append(framed([common.packed(levels[:len(words)]), common.packed(levels[len(words):]), common.packed(exact)]))
+            made.append(framed([common.packed(levels[:len(words)]), common.packed(levels[len(words):]), planes(exact)]))
         return pa.table({"nth": asked.column("nth"), "segment": asked.column("segment"), "answer": pa.array(made, pa.binary())})
 
     asked = found.where("kind >= 0").select("nth", F.col("kind").alias("segment"), "words", "pairs")
@@ -426,16 +451,18 @@ def answered(found: DataFrame, held: DataFrame, segments: int, total: int, diffe
         model = Model(None, total, different)
         for batch in batches:
             for opened, known, given in zip(*(batch.column(c).to_pylist() for c in ("open", "levels", "answers"))):
-                of, flags, before, word, pair = (common.unpacked(x, kind) for x, kind in zip(unframed(opened), ("i4", "u1", "u4", "u4", "u4")))
-                word_levels, pair_levels, exact, asked, asked_pairs, nth = (
-                    common.unpacked(x, kind).copy() for x, kind in zip(unframed(known), ("u1", "u1", "i8", "u4", "u4", "i8")))
+                flags, of, before, word, pair = unframed(opened)
+                flags, pair, (of, before, word) = common.unpacked(flags, "u1"), from_steps(pair, "u4"), (from_planes(x, "u4") for x in (of, before, word))
+                word_levels, pair_levels, exact, asked, asked_pairs, nth = unframed(known)
+                word_levels, pair_levels = (common.unpacked(x, "u1").copy() for x in (word_levels, pair_levels))
+                exact, (asked, asked_pairs), nth = from_planes(exact, "i8"), (from_steps(x, "u4") for x in (asked, asked_pairs)), from_steps(nth, "i8")
                 given = list(zip(*map(unframed, given)))
-                levels, levels_of_pairs, counts = (np.concatenate([common.unpacked(x, kind) for x in column]) for column, kind in zip(given, ("u1", "u1", "i8")))
+                levels, levels_of_pairs, counts = (np.concatenate([from_planes(x, kind) for x in column]) for column, kind in zip(given, ("u1", "u1", "i8")))
                 open_words = asked[word_levels[asked] == 0]
                 word_levels[open_words] = levels[word_levels[asked] == 0]
                 pair_levels[asked_pairs] = levels_of_pairs
                 exact[asked] = np.where(exact[asked] < 0, counts, exact[asked])
-                of, n = np.cumsum(of), len(nth)
+                n = len(nth)
                 scores, bases = flags & 1 == 0, flags & 2 == 0
                 logs = model.logs(*(x[y[scores]].astype(np.int64) for x, y in ((word_levels, before), (word_levels, word), (pair_levels, pair))))
                 counts = exact[word[bases]]
@@ -467,29 +494,24 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
         held, head = shared.value
         model = Model(held, total, different, lowest)
         task = TaskContext.get().partitionId() << 33
-        nth = block = task
-        waiting, size = [], 0  # parts of documents: their numbers from nth on, and tokens
 
-        def block_of():
-            left, right, of = (np.concatenate(x) for x in list(zip(*waiting))[:3])
-            numbers, of = np.unique(of, return_inverse=True)
-            part, opened = block_rows(block, numbers, left, right, of, model, segments, head, whole)
-            first = {n: d for w in waiting for n, d in w[3].items()}
-            return [row_batch(len(numbers), {"nth": numbers, "kind": [DOCUMENT] * len(numbers), "doc_id": [first[n][0] for n in numbers.tolist()],
-                                             "held_out": [first[n][1] for n in numbers.tolist()], **part}), *([opened] if opened else [])]
+        def parts():
+            nth = task
+            for batch in batches:
+                ids, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+                for left, right, of in transitions(common.strings(batch)):
+                    yield left, right, nth + of, {nth + i: (ids[i], kept_out[i]) for i in range(int(of[0]), int(of[-1]) + 1)}
+                nth += batch.num_rows
 
-        for batch in batches:
-            ids, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for left, right, of in transitions(common.strings(batch)):
-                first, last = int(of[0]), int(of[-1])
-                waiting.append((left, right, nth + of, {nth + i: (ids[i], kept_out[i]) for i in range(first, last + 1)}))
-                size += len(left)
-                if size >= BLOCK_TOKENS:
-                    yield from block_of()
-                    block, waiting, size = block + 1, [], 0
-            nth += batch.num_rows
-        if waiting:
-            yield from block_of()
+        for block, waiting in enumerate(blocks_of(parts()), task):
+            left, right, of = (np.concatenate([part[i] for part in waiting]) for i in range(3))
+            numbers, of = np.unique(of, return_inverse=True)
+            sums, opened = block_rows(block, numbers, left, right, of, model, segments, head, whole)
+            row_of = {n: row for part in waiting for n, row in part[3].items()}
+            ids, kept_out = zip(*(row_of[n] for n in numbers.tolist()))
+            yield row_batch(len(numbers), {"nth": numbers, "kind": [DOCUMENT] * len(numbers), "doc_id": ids, "held_out": kept_out, **sums})
+            if opened:
+                yield opened
 
     found = session.written(common.mapped(rows.select("doc_id", "held_out", "text"), probe, ROWS), "probed")
     parts = found.where(F.col("kind") == DOCUMENT).select("nth", "doc_id", "held_out", *SUMS)
