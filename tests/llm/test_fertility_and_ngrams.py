@@ -64,6 +64,22 @@ def test_bands_reject_what_the_vocabulary_does_not_fit(spark):
     assert sum(kept[i] for i in range(120)) >= 118
 
 
+@pytest.mark.parametrize("others", [0, 200])
+@pytest.mark.parametrize("size", [6, 29, 30, 31])
+def test_small_groups_are_judged(spark, size, others):
+    """A language of few documents has bands of its own, alone and beside a larger one: clean documents stay, odd ones go."""
+    rng = np.random.default_rng(5)
+    words = {"en": sorted(set(PLAIN.split())), "fi": "talvella järven jäällä kulkee monta hiihtäjää vaikka tuuli puhaltaa pohjoisesta ja lunta sataa koko päivän".split()}
+    def text(lang, wear=str):
+        return " ".join(wear(words[lang][i] + str(rng.integers(10))) for i in rng.integers(0, len(words[lang]), 150))
+    rows = [(i, text("fi"), "fi", 0, False, "") for i in range(size)]
+    odd = [(10_000 + i, text("fi", lambda w: "ꙮꙮ" + w if i else "#" + "#".join(w)), "fi", 0, False, "") for i in range(2)]
+    rows += odd + [(1000 + i, text("en"), "en", 0, False, "") for i in range(others)]
+    kept = {r["doc_id"]: r["kept"] for r in fertility.verdicts(spark.createDataFrame(rows, DOCS), MODEL, ["doc_id"]).collect()}
+    assert [kept[o[0]] for o in odd] == [False, False]
+    assert sum(kept[i] for i in range(size)) >= size - 1 and sum(kept[1000 + i] for i in range(others)) >= others - 4
+
+
 def test_labels_agree(spark):
     """Held against the labels: clean documents stay, and most of the bad ones go."""
     folder = "/root/testdata/sf0.01"

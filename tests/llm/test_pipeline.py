@@ -51,23 +51,35 @@ def plain_quality(rows):
     found = [(r, fertility.measure(r[1] or "", counter)) for r in rows]
     figures, failed = [], []
     for r, m in found:
-        words, chars, *_, again, tokens, _, entropy = m
+        words, chars, *_, again, tokens, fallen, entropy = m
         failed.append(words < 50 or 100 * again > 50 * words)
-        figures.append((round(chars / max(1, tokens), 3), round(words / max(1, tokens), 3), round(entropy, 3), math.sqrt(1 + fertility.SHORT / max(1, tokens)),
-                        r[2] or "", int(math.log2(max(1, tokens)))))
+        n = max(1, tokens)
+        figures.append({"chars_per_token": chars / n, "words_per_token": words / n, "byte_share": fallen / n, "entropy": entropy,
+                        "wide": math.sqrt(1 + fertility.SHORT / n), "language": r[2] or "", "size": int(math.log2(n))})
+    sound = [f for f, bad in zip(figures, failed) if not bad]
     kept = [not f for f in failed]
-    for at, group, name in ((0, 4, "chars_per_token"), (1, 4, "words_per_token"), (2, 5, "entropy")):
-        for value in {f[group] for f in figures}:
-            sound = [f for f, bad in zip(figures, failed) if not bad and f[group] == value]
-            if len(sound) < fertility.LEAST_GROUP:
-                continue
-            middle = statistics.median(f[at] for f in sound)
-            away = lambda f: round((f[at] - middle) / f[3], 3)
-            unit = max(1.4826 * statistics.median(abs(away(f)) for f in sound), middle * fertility.LEAST_SPREAD)
-            low, high = fertility.BANDS[name]
-            for i, f in enumerate(figures):
-                if f[group] == value and not -low * unit <= away(f) <= high * unit:
-                    kept[i] = False
+    for name, group in (("chars_per_token", "language"), ("words_per_token", "language"), ("byte_share", "language"), ("entropy", "size")):
+        middles, spreads, counts = {}, {}, {}
+        for value in sorted({f[group] for f in sound}):
+            of = [f for f in sound if f[group] == value]
+            counts[value], middles[value] = len(of), statistics.median(round(f[name], 3) for f in of)
+            spreads[value] = statistics.median(abs(round((round(f[name], 3) - middles[value]) / f["wide"], 3)) for f in of)
+        usual = sum(counts[v] * spreads[v] for v in counts) / sum(counts.values())
+        places = [v if group == "size" else 0 for v in counts]
+        straight = np.polyfit(places, list(middles.values()), 1) if len(set(places)) > 1 else [0, statistics.mean(middles.values())]
+        expected = {v: straight[0] * place + straight[1] for v, place in zip(counts, places)}
+        between = statistics.mean((middles[v] - expected[v]) ** 2 for v in counts)
+        low, high = fertility.BANDS[name]
+        for i, f in enumerate(figures):
+            v = f[group]
+            if kept[i]:
+                share = fertility.PRIOR / (counts[v] + fertility.PRIOR)
+                own = 1.4826 * ((1 - share) * spreads[v] + share * usual)
+                trust = own ** 2 / counts[v] / (own ** 2 / counts[v] + between) if own or between else 0
+                centre = (1 - trust) * middles[v] + trust * expected[v]
+                unit = math.hypot(own, math.sqrt(trust * between))
+                unit = max(unit, fertility.LEAST_SPREAD * (1 if name == "byte_share" else centre))
+                kept[i] = -low * unit <= (round(f[name], 3) - centre) / f["wide"] <= high * unit
     return [r for r, k in zip(rows, kept) if k]
 
 

@@ -1,11 +1,16 @@
 """Quality rules by tokeniser fertility: how a public vocabulary cuts a document, held against bands per language.
 
 Text a vocabulary was not made for breaks into more and shorter tokens, falls back to bytes, or repeats few of them.
-Three figures are measured over all tokens of a document: characters per token, tokens per word (as words per token),
-and the entropy of its tokens, besides the share of byte-fallback tokens. A band is the median over the corpus plus or minus
+Four figures are measured over all tokens of a document: characters per token, tokens per word (as words per token),
+the share of byte-fallback tokens, and the entropy of its tokens. A band is the median of a group plus or minus
 some robust deviations (1.4826 times the median absolute deviation), widened for short documents, whose figures
-scatter more. Bands of characters and words per token are per language, those of entropy per size class (the whole
-part of log2 of the tokens), as entropy grows with length far more than it differs between languages.
+scatter more. Bands of entropy are per size class (the whole part of log2 of the tokens), as entropy grows with length
+far more than it differs between languages; the others are per language.
+
+Every group has a band, however few documents it has, and no count of documents switches a rule on. The deviation of a group of
+n documents is mixed with the usual one at a share of PRIOR / (n + PRIOR). Its median is as uncertain as deviation^2 / n, and is
+mixed with the expected one by how that compares with the variance between groups; what stays uncertain widens the band.
+Expected of a language is the mean of the languages' medians, of a size class the line through the classes' medians.
 """
 
 import math
@@ -22,13 +27,14 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 LEAST_WORDS = 50
 
-# How many deviations below and above the median a document may be, and the share of byte-fallback tokens it may have.
-BANDS = {"chars_per_token": (4.0, 8.0), "words_per_token": (5.0, 5.0), "entropy": (4.0, 8.0)}
-MOST_BYTE_SHARE = 0.5
+# How many deviations below and above the median a document may be. Few byte-fallback tokens are never amiss.
+BANDS = {"chars_per_token": (4.0, 8.0), "words_per_token": (5.0, 5.0), "byte_share": (math.inf, 8.0), "entropy": (4.0, 8.0)}
 # Short documents: the deviation of a document of n tokens counts as sqrt(1 + SHORT / n) deviations.
 SHORT = 400
-# Bands are not narrower than this share of the median, and a group of fewer measured documents gives none.
-LEAST_SPREAD, LEAST_GROUP = 0.01, 30
+# A deviation is at least this share of the median; that of byte_share, whose median is mostly 0, is at least this share itself.
+LEAST_SPREAD = 0.01
+# As many documents of a group say as much of its deviation as all other groups do.
+PRIOR = 30
 # Up to so many groups, each a row of a few numbers, bands are broadcast; more are joined like any table.
 MOST_BANDS = 10_000
 
@@ -134,6 +140,28 @@ def small(groups: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= MOST_BANDS else held
 
 
+def banded(groups: DataFrame, group: str, figures: list[str], place: Column) -> DataFrame:
+    """`groups(group, _n, _m_*, _s_*)`, a written table, as (group, _c_*, _u_*): the centre and the unit of each group's bands.
+
+    One row of sums over all groups is read on the driver. `place` is where a group stands on the line of medians.
+    """
+    share, chosen = F.lit(PRIOR) / (F.col("_n") + PRIOR), [F.col(group)]
+    for f in figures:
+        middle, spread = F.col(f"_m_{f}"), F.col(f"_s_{f}")
+        mean, at, slope, between, usual = (v or 0.0 for v in groups.agg(
+            F.avg(middle), F.avg(place), F.regr_slope(middle, place),
+            F.var_pop(middle) * (1 - F.coalesce(F.regr_r2(middle, place), F.lit(0.0))),
+            F.try_divide(F.sum(F.col("_n") * spread), F.sum("_n"))).first())
+        own, between = 1.4826 * (spread + share * (F.lit(usual) - spread)), F.lit(max(0.0, between))
+        unsure = own * own / F.col("_n")
+        trust = F.coalesce(F.try_divide(unsure, unsure + between), F.lit(0.0))
+        centre = F.round(middle + trust * (F.lit(mean) + F.lit(slope) * (place - F.lit(at)) - middle), 6)
+        least = F.lit(LEAST_SPREAD) if f == "byte_share" else centre * LEAST_SPREAD
+        unit = F.greatest(F.sqrt(own * own + trust * between), least)
+        chosen += [centre.alias(f"_c_{f}"), F.round(unit, 6).alias(f"_u_{f}")]
+    return groups.select(*chosen)
+
+
 def judged(measures: DataFrame, language: str) -> DataFrame:
     """`measures`, a written table, with base_failed, chars_per_token, words_per_token, byte_share and kept.
 
@@ -146,19 +174,22 @@ def judged(measures: DataFrame, language: str) -> DataFrame:
         "words_per_token": F.round(F.coalesce(F.try_divide("n_words", n), F.lit(0.0)), 3),
         "entropy": F.round("entropy", 3), "_wide": F.sqrt(1 + F.lit(SHORT) / F.greatest(n, F.lit(1))),
         "_of_language": F.coalesce(F.col(language).cast("string"), F.lit("")), "_of_size": F.floor(F.log2(F.greatest(n, F.lit(1))))})
-    within = ~F.col("base_failed") & (F.col("byte_share") <= MOST_BYTE_SHARE)
-    sound = rows.where(~F.col("base_failed"))
-    for group, figures in (("_of_language", ["chars_per_token", "words_per_token"]), ("_of_size", ["entropy"])):
+    within, sound = ~F.col("base_failed"), rows.where(~F.col("base_failed"))
+    for group, figures, place in (("_of_language", ["chars_per_token", "words_per_token", "byte_share"], F.lit(0.0)),
+                                  ("_of_size", ["entropy"], F.col("_of_size").cast("double"))):
         # Figures are rounded, so that an exact median needs as many counters as there are different values.
-        middle = sound.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *(F.percentile(f, F.lit(0.5)).alias(f"_m_{f}") for f in figures))
-        away = {f: F.round((F.col(f) - F.col(f"_m_{f}")) / F.col("_wide"), 3) for f in figures}
-        middle = small(middle.where(F.col("_n") >= LEAST_GROUP).drop("_n"))
-        spread = (sound.join(middle, group).groupBy(group, *(f"_m_{f}" for f in figures))
-                  .agg(*(F.percentile(F.abs(away[f]), F.lit(0.5)).alias(f"_s_{f}") for f in figures)))
-        rows = rows.join(small(spread), group, "left")  # the texts may be carried along
+        figure = {f: F.round(f, 3) for f in figures}
+        middle = small(sound.groupBy(group).agg(F.count(F.lit(1)).alias("_n"),
+                                                *(F.percentile(figure[f], F.lit(0.5)).alias(f"_m_{f}") for f in figures)))
+        away = {f: F.round((figure[f] - F.col(f"_m_{f}")) / F.col("_wide"), 3) for f in figures}
+        spread = session.written(sound.join(middle, group).groupBy(group, "_n", *(f"_m_{f}" for f in figures))
+                                 .agg(*(F.percentile(F.abs(away[f]), F.lit(0.5)).alias(f"_s_{f}") for f in figures)), "bands")
+        rows = rows.join(small(banded(spread, group, figures, place)), group, "left")  # the texts may be carried along
         for f in figures:
-            unit, (low, high) = F.greatest(F.col(f"_s_{f}") * 1.4826, F.col(f"_m_{f}") * LEAST_SPREAD), BANDS[f]
-            within &= F.coalesce(away[f].between(-unit * low, unit * high), F.lit(True))
+            off, (low, high), unit = F.round((figure[f] - F.col(f"_c_{f}")) / F.col("_wide"), 6), BANDS[f], F.col(f"_u_{f}")
+            within &= off <= unit * high
+            if low < math.inf:
+                within &= off >= -unit * low
     return rows.withColumn("kept", within)
 
 
