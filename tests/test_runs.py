@@ -44,6 +44,25 @@ def test_deadlines_end_a_document_not_its_batch(spark):
     assert rows["a.pdf"].ok and bytes(rows["a.pdf"].files[0].body) == b"# a.pdf"
 
 
+def test_results_leave_with_their_batch(spark):
+    """Short results of a long partition do not gather in Python: a converter never sees more than a few batches of them alive."""
+    def counting(data, name, options, resources):
+        class Body(bytes):
+            def __del__(self):
+                resources["alive"] -= 1
+        resources["alive"] += 1
+        return {"n": Body(str(resources["alive"]).encode())}, {}
+
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "5")
+    try:
+        docs = documents(spark, [f"d{i}" for i in range(100)]).coalesce(1)
+        alive = [int(bytes(r.files[0].body)) for r in U.convert_documents(docs, "s", counting, lambda: {"alive": 0}).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(alive) == 100 and max(alive) <= 20
+
+
 def test_files_get_a_folder_of_their_own(spark, tmp_path):
     seen = str(tmp_path / "seen")
 

@@ -182,27 +182,32 @@ def convert_routed(documents: DataFrame, converters: dict[str, tuple[Converter,
             helpers.pop(row.backend).close()
         return done
 
+    def converted(batch: pd.DataFrame, helpers: dict) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for row in batch.itertuples(index=False):
+            if not deadlines and row.backend in converters:     # loading is not part of any document's seconds
+                with contextlib.suppress(Exception):            # the row will say why
+                    _resources(loaders[row.backend], converters[row.backend][1])
+            started, clock = time.time(), time.perf_counter()
+            files, versions, error = convert_row(row, helpers)
+            seconds = round(time.perf_counter() - clock, 3)
+            rows.append((row.path, row.name, row.backend, error is None, error, seconds,
+                         _instant(started), _instant(started + seconds),
+                         [{"name": n, "body": b} for n, b in files or []], versions or {},
+                         *(getattr(row, k) for k in kept)))
+            size += sum(len(b) for _, b in files or [])
+            if size > _OUT_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        helpers, rows, size = {}, [], 0
+        helpers = {}
         try:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    if not deadlines and row.backend in converters:     # loading is not part of any document's seconds
-                        with contextlib.suppress(Exception):            # the row will say why
-                            _resources(loaders[row.backend], converters[row.backend][1])
-                    started, clock = time.time(), time.perf_counter()
-                    files, versions, error = convert_row(row, helpers)
-                    seconds = round(time.perf_counter() - clock, 3)
-                    rows.append((row.path, row.name, row.backend, error is None, error, seconds,
-                                 _instant(started), _instant(started + seconds),
-                                 [{"name": n, "body": b} for n, b in files or []], versions or {},
-                                 *(getattr(row, k) for k in kept)))
-                    size += sum(len(b) for _, b in files or [])
-                    if size > _OUT_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            for batch in batches:   # results leave with their batch: short ones would gather until the partition ends
+                yield from converted(batch, helpers)
+                del batch           # or it would stay while the next one is read
         finally:
             for helper in helpers.values():
                 helper.close()
