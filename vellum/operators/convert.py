@@ -29,7 +29,7 @@ RESULT = ("path string, name string, backend string, ok boolean, error string, s
           "files array<struct<name:string,body:binary>>, versions map<string,string>")
 
 # Results handed back to the JVM per batch; bodies are large.
-_OUT_BYTES = 32 * 1024 * 1024
+_OUT_BYTES = 8 * 1024 * 1024
 _RESOURCES: dict = {}
 
 

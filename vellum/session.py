@@ -10,7 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Document bodies are large: batches handed to Python are cut by bytes, not only by rows.
-ARROW_BYTES = 64 * 1024 * 1024
+ARROW_BYTES = 16 * 1024 * 1024
 
 
 class SharedFolderMissing(RuntimeError):
