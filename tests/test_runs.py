@@ -157,6 +157,18 @@ def test_sidecars_round_trip(spark, tmp_path):
     assert abs(K.storage_clock(root).timestamp() - time.time()) < 60 and not any(n.startswith(".clock") for n in os.listdir(root))
 
 
+def test_sidecars_are_read_by_name(spark, tmp_path):
+    """Files are opened by the tasks that hold their names, each once; no folder is listed, so what else is there is not met."""
+    def body(path):
+        return json.dumps({"schema": "s", "source": {"path": path, "sha256": "x"}, "conversion": {"backend": "b"}}, indent=2)
+    for folder, text in (("a", body("/i/ä")), ("b", "{broken"), ("c", body("/i/c"))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "provenance.json").write_text(text)
+    names = spark.createDataFrame([("a/provenance.json",), ("a/provenance.json",), ("b/provenance.json",)], "rel string")
+    got = T.read_sidecars_by_name(names, str(tmp_path)).select("sidecar", "source.path").collect()
+    assert [tuple(r) for r in got] == [("a/provenance.json", "/i/ä")]
+
+
 def test_copies_of_a_hot_source_are_found_in_parts(spark):
     held = [(f"/o/c{i}", "/in/a.pdf", "marker") for i in range(50)] + [("/o/a", "/in/a.pdf", "marker"),
             ("/o/k1", "/in/a.pdf", "markitdown"), ("/o/k2", "/else/a.pdf", "marker"), ("/o/b", "/in/a.pdf", "marker")]

@@ -202,8 +202,10 @@ def write_provenance(spark, sf):
     K.write_provenance(held, table)
     stored = spark.read.parquet(table)
     root = session.fresh_folder(spark, "sidecars")
-    K.export_files(K.sidecar_rows(stored, F.substring_index("conversion.output_dir", "/", -1)), root)
-    files = T.read_sidecars(spark, root + "/*/" + fixed.SIDECAR_NAME)
+    sidecars = K.sidecar_rows(stored, F.substring_index("conversion.output_dir", "/", -1))
+    K.export_files(sidecars, root)
+    # Only those in a folder of their own.
+    files = T.read_sidecars_by_name(sidecars.where(F.col("rel").contains("/")), root)
     mine = stored.select("source.path", "source.sha256", "conversion.output_dir")
     return mine.join(files.select("source.path", "source.sha256"), ["path", "sha256"])
 

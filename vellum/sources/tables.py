@@ -1,9 +1,13 @@
 """Documents, sidecars and jobs read by explicit schema; nothing is inferred."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.operators.jobs import JOB_SCHEMA
 from vellum.operators.provenance import RECORD_SCHEMA
+from vellum.sources.tree import open_store
 
 
 def read_bytes(table: DataFrame, name: Column, content: Column, path: Column | None = None) -> DataFrame:
@@ -30,6 +34,20 @@ def parse_sidecars(bodies: DataFrame, body: str = "body") -> DataFrame:
     return valid_sidecars(parsed.select(*[c for c in bodies.columns if c != body], "_r.*"))
 
 
+def read_sidecars_by_name(files: DataFrame, root: str) -> DataFrame:
+    """The sidecars at `files(rel)` below `root`, each opened once by the task that holds its name: no folder is listed."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(root)
+        for batch in batches:
+            bodies = []
+            for rel in batch["rel"]:
+                with store.open_input_stream(f"{base}/{rel}") as source:
+                    bodies.append(source.read().decode())
+            yield pd.DataFrame({"sidecar": batch["rel"], "body": bodies})
+
+    return parse_sidecars(files.select("rel").distinct().mapInPandas(read, "sidecar string, body string"))
+
+
 def read_jobs(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
     """The queue: a stream of job files, one JSON object per line."""
     reader = spark.readStream.schema(JOB_SCHEMA)
