@@ -114,3 +114,17 @@ def test_groups_over_batches():
     for cut in range(1, 6):
         batches = [pa.RecordBatch.from_pydict({"k": values[i:i + cut], "v": list(range(i, min(i + cut, 9)))}) for i in range(0, 9, cut)]
         assert [g.column("v").to_pylist() for g in common.groups(iter(batches), ["k"])] == [[0, 1], [2], [3, 4, 5, 6, 7], [8]]
+
+
+def test_texts_are_shuffled_once(spark):
+    """Dropping near copies and repeated rows deals texts out by the same keys."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        left = minhash.without_near_copies(spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string"), 3, 85)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        rows = left.select("doc_id", "text").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "own_" in line]) == 1
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, "a b c d"), (None, "a b c d"), (None, None)], key=str)

@@ -286,5 +286,6 @@ def without_near_copies(docs: DataFrame, words: int, percent: int, doc_id: str =
     given = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (doc_id, text))
     marked = given.withColumns({"own_doc": own_id.cast("long"), "own_hash": F.xxhash64(F.coalesce(own_text, F.lit("")))})
-    left = marked.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti")
+    # A null id is never gone, so plain equality will do: texts are then shuffled once, by the same keys for this and for the next step.
+    left = marked.join(gone, (F.col("own_doc") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti")
     return left.dropDuplicates(["own_doc", "own_hash"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
