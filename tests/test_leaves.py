@@ -102,3 +102,10 @@ def test_rows_of_mixed_documents(spark):
     assert [tuple(r) for r in rows] == [("a.json", 0, "$.k[0]", 2, "number", "1", None), ("b.xml", 0, "/r", 1, "text", "t", None),
                                         ("c.json", None, None, None, None, None, "not well-formed JSON"), ("d.txt", None, None, None, None, None, "no reader for leaves of: txt")]
     assert L.as_leaf_rows(L.with_leaves(docs.limit(0)), "name").count() == 0
+
+
+def test_documents_of_one_task_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, "a.xml", f"<r>{i}</r>") for i in range(100)], "id int, name string, text string").coalesce(1)
+    read = L.with_leaves(docs)
+    assert read.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert sorted((r.id, r.text) for r in L.as_leaf_rows(read, "id").collect()) == [(i, str(i)) for i in range(100)]
