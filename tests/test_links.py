@@ -89,3 +89,13 @@ def test_without_links_and_without_paths(spark):
     paths = spark.createDataFrame([("/a/../b", 1, "", 0), ("/a/../b", 1, "", 0)], PATHS)
     assert [(r["real"], r["error"]) for r in L.confine_resolved(paths, none, "/b", "path").collect()] == [("/b", None)] * 2
     assert L.confine_resolved(paths.limit(0), none, "/b", "path").count() == 0
+
+
+def test_links_are_never_broadcast(spark):
+    """A table of names is small on disk and large in memory: looking links up merges, whatever Spark takes its size to be."""
+    facts = spark.createDataFrame([("a", "/x"), ("b", "/y"), ("c", None)], "id string, at string")
+    found = L._look_up(facts, "at", spark.createDataFrame([("/x", 1)], "key string, real int"), "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the links' own join is in the plan twice; only hot keys (bounded, see skew) are broadcast
+    assert plan.count("strategy=merge") == 3 and plan.count("strategy=broadcast") == 1
+    assert sorted(map(tuple, found.select("id", "at", "real").collect())) == [("a", "/x", 1), ("b", "/y", None), ("c", None, None)]

@@ -45,8 +45,9 @@ def _join(path: Column, rest: Column) -> Column:
 
 def _look_up(facts: DataFrame, column: str, table: DataFrame, spread: str) -> DataFrame:
     """`facts` left-joined to `table`, which has one row per value of its column `key`, on `column`."""
-    known = facts.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_rows")).join(table, "key")
-    return skew.attach(facts.withColumn("key", F.col(column)), known, ["key"], "_rows", spread).drop("key", "_rows")
+    # Names compress so well that a written table looks small enough to broadcast when it is not: these joins are by merging.
+    known = facts.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_rows")).join(table.hint("merge"), "key")
+    return skew.attach(facts.withColumn("key", F.col(column)), known.hint("merge"), ["key"], "_rows", spread).drop("key", "_rows")
 
 
 def first_links(paths: DataFrame, links: DataFrame) -> DataFrame:
@@ -74,11 +75,11 @@ def resolve_links(links: DataFrame) -> DataFrame:
         if not n:
             break
         endless = _endless(hits, n)
-        ended = _ends(hits.join(endless, "id", "left_anti"))
+        ended = _ends(hits.join(endless.hint("merge"), "id", "left_anti"))
         to = _look_up(ended, "next", state.select("key", F.col("real").alias("to_real"), F.col("loop").alias("to_loop")), "id")
         moved = to.select(F.col("id").alias("key"), F.when(~F.col("to_loop"), _join(F.col("to_real"), F.col("rest"))).alias("new"), F.col("to_loop").alias("bad"))
         moved = moved.unionByName(endless.select(F.col("id").alias("key"), F.lit(None).cast("string").alias("new"), F.lit(True).alias("bad")))
-        state = session.written(state.join(moved, "key", "left").select(
+        state = session.written(state.join(moved.hint("merge"), "key", "left").select(
             "key", F.when(F.col("bad").isNull(), F.col("real")).otherwise(F.col("new")).alias("real"), F.coalesce("bad", "loop").alias("loop")), "links")
     else:
         left = first_links(state.where("not loop").select(F.col("key").alias("id"), F.col("real").alias("path")), state.select("key")).select(F.col("id").alias("key"), F.lit(True).alias("left"))
@@ -124,14 +125,14 @@ def real_paths(paths: DataFrame, resolved: DataFrame, path: str = "path") -> Dat
     while True:
         hits = session.written(first_links(todo, links), "through")
         over = hits.where("loop").select("id", F.lit(None).cast("string").alias("real"), F.lit(True).alias("loop"))
-        plain = todo.join(hits, "id", "left_anti").select("id", P.normalise(F.col("path")).alias("real"), F.lit(False).alias("loop"))
+        plain = todo.join(hits.hint("merge"), "id", "left_anti").select("id", P.normalise(F.col("path")).alias("real"), F.lit(False).alias("loop"))
         done = over.unionByName(plain) if done is None else done.unionByName(over).unionByName(plain)
         if hits.where("not loop").isEmpty():
             break
         todo = hits.where("not loop").select("id", _join(F.col("real"), F.col("rest")).alias("path"))
     known = session.written(done, "real")
     kept = paths.drop("real", "loop", "_id")
-    return kept.join(known.withColumnRenamed("id", "_id"), kept[path] == F.col("_id"), "left").drop("_id")
+    return kept.join(known.withColumnRenamed("id", "_id").hint("merge"), kept[path] == F.col("_id"), "left").drop("_id")
 
 
 def confine_resolved(paths: DataFrame, links: DataFrame, root: str, what: str, path: str = "path") -> DataFrame:
