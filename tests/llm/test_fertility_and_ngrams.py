@@ -1,11 +1,14 @@
 import collections
 import math
+import os
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
 import pytest
 
+from vellum import session
 from vellum.llm import fertility, ngram_bloom, queries, words
 from vellum.llm.encoding import tokenizer_file
 
@@ -218,3 +221,51 @@ def test_no_pair_stays_out(spark, monkeypatch):
     alone = 501 * math.log10((1 - mix) * single)
     assert got[0] == got[1] == pytest.approx(501 * math.log10(mix + (1 - mix) * single), rel=0.02)
     assert got[2] == pytest.approx(alone, rel=0.02)
+
+
+def test_little_is_written_beside_the_text(spark, monkeypatch):
+    """N-grams travel once: what is kept between steps is packed text and levels, also where few n-grams would fit a broadcast filter."""
+    monkeypatch.setattr(ngram_bloom, "MOST_BYTES", 2000)
+    monkeypatch.setattr(ngram_bloom, "HEAD", 100)
+    monkeypatch.setattr(ngram_bloom, "KEYS_PER_SEGMENT", 100_000)
+    rng, kept, write = np.random.default_rng(7), [], session.written
+    def recorded(frame, name):
+        made = write(frame, name)
+        kept.extend(made.inputFiles())
+        return made
+    monkeypatch.setattr(session, "written", recorded)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 2000).clip(0, 10 ** 6)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    assert ngram_bloom.scores(docs, "held_out").count() == 300
+    size = sum(os.path.getsize(urllib.parse.urlparse(f).path) for f in kept)
+    assert size < 0.75 * sum(map(len, texts))
+
+
+def test_long_documents_are_scored_in_parts(spark):
+    rng = np.random.default_rng(11)
+    seen = [f"w{i}" for i in range(300)]
+    one, other = ([seen[i] for i in rng.integers(0, n, 1_300_000)] for n in (300, 200))
+    rows = [(1, " ".join(one), False), (1, " ".join(other), True), (None, None, False), (2, "w1 w2 unseen", True)]
+    got = ngram_bloom.scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), "held_out").collect()
+    single, pair = collections.Counter([*one, b"\n", b"\n"]), collections.Counter(zip(["\t", *one], [*one, b"\n"]))
+    pair["\t", b"\n"] += 1
+    total, different = single.total(), len(single)
+    def held(n):
+        return ngram_bloom.count_of(ngram_bloom.levels_of(np.array([n])))[0] if n else 0
+    starts, logs = held(2), {}
+    def log(v, w):
+        if (v, w) not in logs:
+            before = starts if v == "\t" else held(single[v])
+            mix = ngram_bloom.MIX * before / (before + ngram_bloom.PRIOR)
+            logs[v, w] = math.log10(mix * min(held(pair[v, w]), before) / max(before, 1) + (1 - mix) * (held(single[w]) + 1) / (total + different + 1))
+        return logs[v, w]
+    want = sorted((len(t) + 1, sum(log(v, w) for v, w in zip(["\t", *t], [*t, b"\n"])),
+                   sum(math.log10((single[w] + 1) / (total + different + 1)) for w in [*t, b"\n"])) for t in (one, other, [], "w1 w2 unseen".split()))
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 1, 2] and {r["train_tokens"] for r in got} == {total}
+    for r, (n, score, base_score) in zip(sorted(got, key=lambda r: (r["n_tokens"], r["score"])), want, strict=True):
+        assert r["n_tokens"] == n and r["base_score"] == pytest.approx(base_score) and r["score"] == pytest.approx(score, rel=0.01)
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(5, dtype="u8") << np.uint64(60), np.zeros(0, "u4"), np.array([1, 2 ** 31], "u4"), np.array([-1], "i8")]
+    assert [a.tolist() for a in ngram_bloom.parted(ngram_bloom.joined(*arrays), "u8", "u4", "u4", "i8")] == [a.tolist() for a in arrays]

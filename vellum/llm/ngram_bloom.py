@@ -14,16 +14,15 @@ with the counts c read from the filter, and N tokens and V different ones counte
 
 How it is spread:
 
-1. Tasks count the n-grams of blocks of training text and send them, packed, to segments of the key space, whose number grows
-   with the text. A segment adds them up. An n-gram of a third of all tokens is one entry per block.
-2. The n-grams of the frequent levels, as many as MOST_BYTES have room for, make one filter, which is broadcast. The others
-   make a slice of a filter per segment, written once. In a small corpus all levels are frequent and no slice is needed.
-   No word or pair is left out of both.
-3. Tasks probe the broadcast filter for all n-grams of their blocks and score at once all tokens of which it holds each. Only
-   n-grams that it does not hold travel, packed per segment, to the slices, and their levels back to the block's other tokens.
-
-The base score needs exact counts. The HEAD most frequent words, a bounded number, are broadcast with theirs; the others in a
-block are asked of the segments, in the same way and with 64-bit keys. Words are known by their hash alone.
+1. Documents are gathered in blocks of about BLOCK_TOKENS tokens, which are written once, packed.
+2. Tasks count the n-grams of a block and send them, packed, to segments of the key space, whose number grows with the text. An
+   n-gram of a third of all tokens is one entry per block. N-grams of held-out documents go along with a count of 0.
+3. A segment adds the counts up, puts its n-grams into its slice of the filter, and probes the slice for all n-grams it was sent.
+   The levels found go back to each block in the order in which it sent its n-grams, and with them the exact counts of its words,
+   which the base score needs. So an n-gram travels once per block, and its levels, a few bits each, come back.
+4. A block meets its answers and all its documents are scored.
+
+Nothing is broadcast, and no word or pair is left out of the filter. Words are known by their hash alone.
 """
 
 import math
@@ -43,8 +42,7 @@ from vellum.llm.common import SlicedFilter
 HEAD = 200_000
 MIX, PRIOR = 0.7, 50.0
 BITS_PER_KEY, PROBES = 10, 4
-MOST_BYTES = 32 << 20  # of the broadcast filter
-HEAD_SLICES = 64  # it is built in so many parts
+MOST_BYTES = 32 << 20  # of a filter small enough to be broadcast
 KEYS_PER_SEGMENT = 1 << 20
 TOKEN_BYTES = 6  # bytes of text for one token, about
 BLOCK_TOKENS = 1_000_000
@@ -194,6 +192,13 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return different, np.bincount(number, np.concatenate(counts), len(different)).astype(np.int64)
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The different keys in order, where those of each list are among them, and their summed counts."""
+    different, number = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(number, np.concatenate(counts), len(different)).astype(np.int64)
+    return different, np.split(number, np.cumsum([len(k) for k in keys])[:-1]), total
+
+
 def lowest_level(held: np.ndarray, room: float) -> int:
     """The lowest level such that n-grams from it on, held[level] of each, have no more keys than `room`."""
     keys = np.cumsum((held * np.arange(len(held)))[::-1])[::-1]
@@ -267,60 +272,11 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return words.view(np.uint64)[order], n[order]
 
 
-def grams_of(row: dict, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Short keys and levels of all n-grams of a segment."""
-    first = common.first_of_segment(np.uint64(row["segment"]), segments)
-    keys = np.append(common.short_keys(word_keys(from_steps(row["words"], "u8")), segments),
-                     first | from_steps(row["pairs"], "u4").astype(np.uint64))
-    return keys, levels_of(np.append(from_planes(row["word_counts"], "i8"), from_planes(row["pair_counts"], "i8")))
-
-
 def stored_keys(keys: np.ndarray, levels: np.ndarray, lowest: int) -> np.ndarray:
     """The keys under which n-grams are stored at all their levels from `lowest` on."""
     return np.concatenate([keys[:0], *(level_keys(keys[levels >= at], at) for at in range(lowest, int(levels.max(initial=0)) + 1))])
 
 
-def broadcast_filter(counts: DataFrame, segments: int, lowest: int) -> SlicedFilter:
-    """The filter of the n-grams with levels from `lowest` on, of at most MOST_BYTES."""
-    parts = min(segments, HEAD_SLICES)  # both are powers of two, so a part is a run of segments
-
-    def choose(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, levels = grams_of(row, segments)
-                stored = np.sort(stored_keys(keys[levels >= lowest], levels[levels >= lowest], lowest))
-                yield pa.RecordBatch.from_pylist([{"part": row["segment"] * parts // segments, "keys": steps(stored)}],
-                                                 pa.schema([("part", pa.int32()), ("keys", pa.binary())]))
-
-    def gather(key, table):
-        keys = [from_steps(k, "u8") for k in table.column("keys").to_pylist()]
-        return pa.table({"segment": table.column("part")[:1], "keys": pa.array([np.concatenate(keys).tobytes()], pa.binary())})
-
-    chosen = common.mapped(counts.select("segment", "words", "word_counts", "pairs", "pair_counts"), choose, "part int, keys binary")
-    stored = chosen.groupBy("part").applyInArrow(gather, "segment int, keys binary")
-    keys_of_level = F.transform("levels", lambda n, level: n * F.greatest(level - (lowest - 1), F.lit(0)))
-    keys = F.aggregate(keys_of_level, F.lit(0).cast("long"), lambda a, b: a + b)
-    part = F.floor(F.col("segment").cast("long") * parts / segments)
-    most = counts.groupBy(part.alias("part")).agg(F.sum(keys).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    return common.sliced_filter(stored, most, parts, BITS_PER_KEY, PROBES, MOST_BYTES)
-
-
-def slices(counts: DataFrame, segments: int, lowest: int) -> DataFrame:
-    """A row per segment: the slice that holds its n-grams below level `lowest`, and its words with exact counts."""
-    def build(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, levels = grams_of(row, segments)
-                stored = stored_keys(keys[levels < lowest], levels[levels < lowest], 1)
-                size = max(64, -(-len(stored) * BITS_PER_KEY // 8))
-                # within a segment the slice is a filter of its own
-                bits = SlicedFilter.slice_of(stored, size, PROBES)
-                yield pa.RecordBatch.from_pylist([{"segment": row["segment"], "bits": bits, "words": row["words"], "word_counts": row["word_counts"]}],
-                                                 pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary())]))
-
-    return common.mapped(counts.select("segment", "words", "word_counts", "pairs", "pair_counts"), build, "segment int, bits binary, words binary, word_counts binary")
-
-
 class Model:
     """Reads counts from a filter that holds levels from `lowest` on, and scores tokens whose counts were read."""
 
@@ -348,128 +304,146 @@ class Model:
         return np.log10(mix * np.minimum(pair, before) / np.maximum(before, 1) + (1 - mix) * (word + 1) / (self.total + self.different + 1))
 
 
-# A row for each part of a document, for each block with open questions, and for each segment that it asks.
-PACKED = ("words", "pairs", "open", "levels")
-ROW = pa.schema([("nth", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                 ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), *((c, pa.binary()) for c in PACKED)])
-ROWS = ("nth long, kind int, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, "
-        "words binary, pairs binary, open binary, levels binary")
-BLOCK, DOCUMENT = -1, -2  # in place of a segment
-SUMS = ("n_tokens", "known", "logs", "score")
+BLOCKS = "block long, ids array<long>, held_out array<boolean>, sizes binary, texts binary"
+
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """Consecutive rows of `docs` (doc_id, held_out, text), with about BLOCK_TOKENS tokens together, as one row."""
+    def gather(batches):
+        def packed(nth, rows):
+            ids, held_out, texts = zip(*rows)
+            return pa.RecordBatch.from_pylist([{"block": nth, "ids": ids, "held_out": held_out, "sizes": planes(np.array([len(t) for t in texts])),
+                                                "texts": common.packed(b"".join(texts))}], schema)
 
-def row_batch(size: int, columns: dict) -> pa.RecordBatch:
-    """Rows of ROW with nulls in the other columns."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in ROW], schema=ROW)
+        nth, held, size = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            for doc, kept_out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), common.strings(batch)):
+                data = text.encode()
+                held.append((doc, kept_out, data))
+                size += len(data) + TOKEN_BYTES
+                if size >= BLOCK_TOKENS * TOKEN_BYTES:
+                    yield packed(nth, held)
+                    nth, held, size = nth + 1, [], 0
+        if held:
+            yield packed(nth, held)
 
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("texts", pa.binary())])
+    return common.mapped(docs.select("doc_id", "held_out", "text"), gather, BLOCKS)
 
-def sums_by(number: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(number, values, size).astype(np.float64)  # of no values it makes integers
 
+def parts_of(sizes: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of a block in parts of about BLOCK_TOKENS: the one before each, it, and the number of its text. Mostly one part."""
+    ends, data = np.cumsum(np.r_[0, from_planes(sizes, "i8")]).tolist(), common.unpacked(texts)
+    for some in blocks_of(transitions([data[a:b].decode() for a, b in zip(ends, ends[1:])])):
+        yield tuple(np.concatenate([part[i] for part in some]) for i in range(3))
 
-def block_rows(block: int, nth: np.ndarray, left: np.ndarray, right: np.ndarray, of: np.ndarray, model: Model, segments: int,
-               head: tuple[np.ndarray, np.ndarray], whole: bool) -> tuple[dict, pa.RecordBatch | None]:
-    """What is known of a block's tokens, summed per document, and the rows with its open questions, if any.
 
-    `of` is each token's document, a number into `nth`; `head` has the frequent words and is all of them if `whole`.
-    """
+def numbered_grams(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different words and pairs of tokens in order, and of each token the numbers of the word before, the word and the pair."""
     words, word = numbered(np.append(left, right))
-    before, word = word[:len(left)], word[len(left):]
     pairs, pair = numbered(pair_keys(left, right))
-    word_levels = model.levels(common.short_keys(word_keys(words), segments))
-    pair_levels = model.levels(common.short_keys(pairs, segments))
-    place = np.minimum(np.searchsorted(head[0], words), max(0, len(head[0]) - 1))
-    exact = np.where(head[0][place] == words, head[1][place], 0 if whole else -1) if len(head[0]) else np.full(len(words), 0 if whole else -1)
-    exact[words == START] = 0
-    every = model.lowest == 1  # what this filter does not hold has no count
-    word_open, pair_open = (word_levels == 0) & (not every), (pair_levels == 0) & (not every)
-    scored = ~(word_open[before] | word_open[word] | pair_open[pair])
-    based = exact[word] >= 0
-    n = len(nth)
-    part = {"n_tokens": np.bincount(of, minlength=n), "known": np.bincount(of[exact[word] > 0], minlength=n),
-            "logs": sums_by(of[based], np.log10(exact[word][based] + 1), n),
-            "score": sums_by(of[scored], model.logs(word_levels[before[scored]], word_levels[word[scored]], pair_levels[pair[scored]]), n)}
-    if scored.all() and based.all():
-        return part, None
-    asked, asked_pairs = np.flatnonzero(word_open | (exact < 0)), np.flatnonzero(pair_open)
-    of_words, of_pairs = per_segment(words[asked], segments), per_segment(pairs[asked_pairs], segments)
-    some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
-    # Open tokens refer to words and pairs as numbered here; levels and counts of those that are not asked are known.
-    left_open = np.flatnonzero(~(scored & based))
-    left_open = left_open[np.argsort(pair[left_open], kind="stable")]  # their order is free; so pairs pack to almost nothing
-    flags = scored[left_open].astype(np.uint8) + 2 * based[left_open].astype(np.uint8)
-    tokens_open = [common.packed(flags), *(planes(x[left_open].astype(np.uint32)) for x in (of, before, word)), steps(pair[left_open].astype(np.uint32))]
-    known = [common.packed(word_levels.astype(np.uint8)), common.packed(pair_levels.astype(np.uint8)), planes(exact.astype(np.int64)),
-             steps(asked.astype(np.uint32)), steps(asked_pairs.astype(np.uint32)), steps(nth.astype(np.int64))]
-    return part, row_batch(len(some) + 1, {
-        "nth": [block] * (len(some) + 1), "kind": [*some, BLOCK],
-        "words": [*(steps(words[asked[of_words[s]:of_words[s + 1]]]) for s in some), None],
-        "pairs": [*(steps(halves(pairs[asked_pairs[of_pairs[s]:of_pairs[s + 1]]])) for s in some), None],
-        "open": [*[None] * len(some), framed(tokens_open)], "levels": [*[None] * len(some), framed(known)]})
-
-
-def framed(parts: list[bytes]) -> bytes:
-    """Byte strings one after another behind their number and lengths."""
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
-
-
-def unframed(data: bytes) -> list[bytes]:
-    count = int(np.frombuffer(data, np.int64, 1)[0])
-    ends = 8 * (count + 1) + np.r_[0, np.cumsum(np.frombuffer(data, np.int64, count, 8))]
-    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def answers(found: DataFrame, held: DataFrame, segments: int) -> DataFrame:
-    """For each block and segment asked, the levels of its words and pairs in the segment's slice and the exact counts of its words."""
-    def read(key, asked, held):
-        segment, row = key[0].as_py(), (held.to_pylist() or [None])[0]
-        first = common.first_of_segment(np.uint64(segment), segments)
-        model = row and Model(SlicedFilter(1, len(row["bits"]), PROBES, np.frombuffer(row["bits"], np.uint8)), 0, 0)
-        known, counts = (from_steps(row["words"], "u8"), from_planes(row["word_counts"], "i8")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        made = []
-        for words, pairs in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
-            words, pairs = from_steps(words, "u8"), first | from_steps(pairs, "u4").astype(np.uint64)
-            keys = np.append(common.short_keys(word_keys(words), segments), pairs)
-            levels = (model.levels(keys) if row else np.zeros(len(keys))).astype(np.uint8)
-            exact = np.zeros(len(words), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                exact = np.where(known[place] == words, counts[place], 0)
-            made.append(framed([common.packed(levels[:len(words)]), common.packed(levels[len(words):]), planes(exact)]))
-        return pa.table({"nth": asked.column("nth"), "segment": asked.column("segment"), "answer": pa.array(made, pa.binary())})
-
-    asked = found.where("kind >= 0").select("nth", F.col("kind").alias("segment"), "words", "pairs")
-    return asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(read, "nth long, segment int, answer binary")
-
-
-def answered(found: DataFrame, held: DataFrame, segments: int, total: int, different: int) -> DataFrame:
-    """What the answers add to documents: nth, n_tokens (0), known, logs, score."""
-    per_block = answers(found, held, segments).groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("segment", "answer"))).alias("answers"))
-    blocks = found.where(F.col("kind") == BLOCK).select("nth", "open", "levels").join(per_block, "nth").select("open", "levels", F.col("answers.answer").alias("answers"))
-
-    def score(batches):
-        model = Model(None, total, different)
+    return words, pairs, word[:len(left)], word[len(left):], pair
+
+
+def joined(*arrays: np.ndarray) -> bytes:
+    """Arrays as one packed byte string, behind their lengths; of each, all first bytes, all second ones, and so on."""
+    return common.packed(np.array([len(x) for x in arrays], np.uint32).tobytes()
+                         + b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays))
+
+
+def parted(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = common.unpacked(data, "u1")
+    made, at = [], 4 * len(kinds)
+    for size, kind in zip(raw[:at].view("u4").tolist(), map(np.dtype, kinds)):
+        made.append(np.ascontiguousarray(raw[at:at + size * kind.itemsize].reshape(kind.itemsize, size).T).view(kind).ravel())
+        at += size * kind.itemsize
+    return made
+
+
+def sent(held: DataFrame, segments: int) -> DataFrame:
+    """For each part of a block and each segment, its different n-grams there, with how often they stand in documents learned from."""
+    def count(batches):
         for batch in batches:
-            for opened, known, given in zip(*(batch.column(c).to_pylist() for c in ("open", "levels", "answers"))):
-                flags, of, before, word, pair = unframed(opened)
-                flags, pair, (of, before, word) = common.unpacked(flags, "u1"), from_steps(pair, "u4"), (from_planes(x, "u4") for x in (of, before, word))
-                word_levels, pair_levels, exact, asked, asked_pairs, nth = unframed(known)
-                word_levels, pair_levels = (common.unpacked(x, "u1").copy() for x in (word_levels, pair_levels))
-                exact, (asked, asked_pairs), nth = from_planes(exact, "i8"), (from_steps(x, "u4") for x in (asked, asked_pairs)), from_steps(nth, "i8")
-                given = list(zip(*map(unframed, given)))
-                levels, levels_of_pairs, counts = (np.concatenate([from_planes(x, kind) for x in column]) for column, kind in zip(given, ("u1", "u1", "i8")))
-                open_words = asked[word_levels[asked] == 0]
-                word_levels[open_words] = levels[word_levels[asked] == 0]
-                pair_levels[asked_pairs] = levels_of_pairs
-                exact[asked] = np.where(exact[asked] < 0, counts, exact[asked])
-                n = len(nth)
-                scores, bases = flags & 1 == 0, flags & 2 == 0
-                logs = model.logs(*(x[y[scores]].astype(np.int64) for x, y in ((word_levels, before), (word_levels, word), (pair_levels, pair))))
-                counts = exact[word[bases]]
-                yield pa.RecordBatch.from_arrays([pa.array(nth), pa.array(np.zeros(n, np.int64)), pa.array(np.bincount(of[bases][counts > 0], minlength=n)),
-                    pa.array(sums_by(of[bases], np.log10(counts + 1), n)), pa.array(sums_by(of[scores], logs, n))], names=["nth", *SUMS])
-
-    return common.mapped(blocks, score, "nth long, n_tokens long, known long, logs double, score double")
+            for block, kept_out, sizes, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "held_out", "sizes", "texts"))):
+                learned = ~np.array(kept_out, np.bool_)
+                for nth, (left, right, of) in enumerate(parts_of(sizes, texts)):
+                    words, pairs, before, word, pair = numbered_grams(left, right)
+                    use = learned[of]
+                    # the start counts where a document begins
+                    at = np.append(word[use], before[use & (left == START)])
+                    word_counts, pair_counts = (np.bincount(x, minlength=n).astype(np.uint32) for x, n in ((at, len(words)), (pair[use], len(pairs))))
+                    of_words, of_pairs = per_segment(words, segments), per_segment(pairs, segments)
+                    some = np.flatnonzero((np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)).tolist()
+                    grams = []
+                    for s in some:
+                        w, p = (slice(x[s], x[s + 1]) for x in (of_words, of_pairs))
+                        grams.append(joined(np.diff(words[w], prepend=np.uint64(0)), word_counts[w],
+                                            np.diff(halves(pairs[p]), prepend=np.uint32(0)), pair_counts[p]))
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([nth] * len(some), pa.int32()),
+                                                      pa.array(some, pa.int32()), pa.array(grams, pa.binary())], names=["block", "part", "segment", "grams"])
+
+    return common.mapped(held.select("block", "held_out", "sizes", "texts"), count, "block long, part int, segment int, grams binary")
+
+
+def answers(grams: DataFrame, segments: int) -> DataFrame:
+    """For each row of `grams`, the levels of its words and pairs in the segment's slice of the filter, and the exact counts of its words.
+
+    A row without a block for each segment has its share of N (tokens) and V (different).
+    """
+    def answer(key, table):
+        segment = key[0].as_py()
+        asked = [parted(g, "u8", "u4", "u4", "u4") for g in table.column("grams").to_pylist()]
+        words, word, word_counts = merged([np.cumsum(a[0], dtype=np.uint64) for a in asked], [a[1] for a in asked])
+        pairs, pair, pair_counts = merged([np.cumsum(a[2], dtype=np.uint32) for a in asked], [a[3] for a in asked])
+        keys = np.append(common.short_keys(word_keys(words), segments),
+                         common.first_of_segment(np.uint64(segment), segments) | pairs.astype(np.uint64))
+        counts = np.append(word_counts, pair_counts)
+        seen = counts > 0
+        stored = stored_keys(keys[seen], levels_of(counts[seen]), 1)
+        size = max(64, -(-len(stored) * BITS_PER_KEY // 8))
+        # within a segment the slice is a filter of its own
+        bits = np.frombuffer(SlicedFilter.slice_of(stored, size, PROBES), np.uint8)
+        levels = Model(SlicedFilter(1, size, PROBES, bits), 0, 0).levels(keys).astype(np.uint8)
+        exact = np.where(words == START, 0, word_counts)  # the start is no token
+        made = [joined(levels[w], levels[len(words) + p], exact[w]) for w, p in zip(word, pair)]
+        n = table.num_rows
+        return pa.table({"block": pa.chunked_array([*table.column("block").chunks, pa.nulls(1, pa.int64())]),
+                         "part": pa.chunked_array([*table.column("part").chunks, pa.nulls(1, pa.int32())]),
+                         "segment": pa.array([segment] * (n + 1), pa.int32()), "answer": pa.array([*made, None], pa.binary()),
+                         "tokens": pa.array([None] * n + [int(exact.sum())], pa.int64()),
+                         "different": pa.array([None] * n + [int((exact > 0).sum())], pa.int64())})
+
+    return grams.groupBy("segment").applyInArrow(answer, "block long, part int, segment int, answer binary, tokens long, different long")
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double"
+
+
+def scored(held: DataFrame, answered: DataFrame, total: int, different: int) -> DataFrame:
+    """Every document of the blocks `held` with its tokens, those known, the sum of log10(c + 1) and the model's score."""
+    def score(blocks, answered):
+        model = Model(None, total, different)
+        given = answered.select(["part", "segment", "answer"]).sort_by([("part", "ascending"), ("segment", "ascending")])
+        starts = np.searchsorted(given.column("part").to_numpy(), np.arange(1 + max(given.column("part").to_pylist())))
+        given, made = given.column("answer"), []
+        for block in blocks.to_pylist():
+            n = len(block["ids"])
+            sums = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
+            for nth, (left, right, of) in enumerate(parts_of(block["sizes"], block["texts"])):
+                words, pairs, before, word, pair = numbered_grams(left, right)
+                read = [parted(a, "u1", "u1", "i8") for a in given[starts[nth]:starts[nth + 1] if nth + 1 < len(starts) else None].to_pylist()]
+                word_levels, pair_levels, exact = (np.concatenate(x) for x in zip(*read))
+                if len(word_levels) != len(words) or len(pair_levels) != len(pairs):
+                    raise ValueError(f"block {block['block']} has other n-grams than were counted")
+                counts = exact[word]
+                for total_of, values in zip(sums, (None, counts > 0, np.log10(counts + 1), model.logs(
+                        *(x[y].astype(np.int64) for x, y in ((word_levels, before), (word_levels, word), (pair_levels, pair)))))):
+                    total_of += np.bincount(of, values, n).astype(total_of.dtype)
+            made.append(pa.table([pa.array(block["ids"], pa.int64()), pa.array(block["held_out"], pa.bool_()), *map(pa.array, sums)],
+                                 names=["doc_id", "held_out", "n_tokens", "known", "logs", "score"]))
+        return pa.concat_tables(made)
+
+    return held.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -477,48 +451,15 @@ def scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
 
     Rows whose `held_out` is false are learned from; a null counts as true. A null text is empty: its only token
     is the end. Without any row to learn from, all counts are 0. Repeated rows are each learned from and scored; an empty table
-    gives no row. A very long text is several blocks; its task holds about eight times its bytes. Other columns do not matter.
+    gives no row. A very long text is several parts of a block; its task holds about eight times its bytes. Other columns do not matter.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(True)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = 1 << max(0, math.ceil(math.log2(max(1, 2 * size / TOKEN_BYTES / KEYS_PER_SEGMENT))))
-    counts = session.written(counted(rows.where(~F.col("held_out")), segments), "counts")
-    total, different = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
-    lowest = max(1, lowest_level(added_up(counts, "levels", LEVELS), MOST_BYTES * 8 / BITS_PER_KEY))
-    frequent = most_frequent(counts, HEAD)
-    whole = len(frequent[0]) == different
-    shared = spark.sparkContext.broadcast((broadcast_filter(counts, segments, lowest), frequent))  # MOST_BYTES and HEAD words at most
-
-    def probe(batches):
-        held, head = shared.value
-        model = Model(held, total, different, lowest)
-        task = TaskContext.get().partitionId() << 33
-
-        def parts():
-            nth = task
-            for batch in batches:
-                ids, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-                for left, right, of in transitions(common.strings(batch)):
-                    yield left, right, nth + of, {nth + i: (ids[i], kept_out[i]) for i in range(int(of[0]), int(of[-1]) + 1)}
-                nth += batch.num_rows
-
-        for block, waiting in enumerate(blocks_of(parts()), task):
-            left, right, of = (np.concatenate([part[i] for part in waiting]) for i in range(3))
-            numbers, of = np.unique(of, return_inverse=True)
-            sums, opened = block_rows(block, numbers, left, right, of, model, segments, head, whole)
-            row_of = {n: row for part in waiting for n, row in part[3].items()}
-            ids, kept_out = zip(*(row_of[n] for n in numbers.tolist()))
-            yield row_batch(len(numbers), {"nth": numbers, "kind": [DOCUMENT] * len(numbers), "doc_id": ids, "held_out": kept_out, **sums})
-            if opened:
-                yield opened
-
-    found = session.written(common.mapped(rows.select("doc_id", "held_out", "text"), probe, ROWS), "probed")
-    parts = found.where(F.col("kind") == DOCUMENT).select("nth", "doc_id", "held_out", *SUMS)
-    if lowest > 1 or not whole:
-        held = session.written(slices(counts, segments, lowest), "slices")
-        more = answered(found, held, segments, total, different)
-        parts = parts.unionByName(more, allowMissingColumns=True)
-    return parts.groupBy("nth").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in SUMS)).select(
+    held = session.written(blocks(rows), "blocks")
+    answered = session.written(answers(sent(held, segments), segments), "answers")
+    total, different = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
+    made = scored(held, answered.where(F.col("block").isNotNull()).select("block", "part", "segment", "answer"), total, different)
+    return made.select(
         "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"), "score")
