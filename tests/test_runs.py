@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum import fixed, session
 from vellum.operators import blocks as B, convert as U, jobs as J, provenance as V, report as R
 from vellum.operators.skew import attach, rank_in_chunks
+from vellum.plans import prepare
 from vellum.sinks import files as K
 from vellum.sources import tables as T, tree
 from vellum.streaming import queue as Q
@@ -255,3 +256,18 @@ def test_results_vanish_after_their_lifetime(spark):
 
 def test_the_shared_folder_is_the_sessions(spark):
     assert session.fresh_folder(spark, "x") != session.fresh_folder(spark, "x")
+
+
+def test_a_plan_reads_its_manifest_once(spark):
+    """Both halves are counted and joined back, but from the short written list, not by listing everything again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    names = ["a.pdf", "a.docx", "A.pdf", "b.html", "a_docx.txt", "c.zip"]
+    files = spark.createDataFrame([(f"/in/{d}/{n}", 10 * d + i, 1) for d in range(3) for i, n in enumerate(names)], "path string, input_seq long, pdf_pages long")
+    got = prepare.plan_run(files.mapInPandas(counting, files.schema), "/in", "/out").collect()
+    assert len(got) == 15 and read.value == 18

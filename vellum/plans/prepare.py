@@ -27,9 +27,10 @@ def plan_run(manifest: DataFrame, root: str, output_dir: str, depth: int | None
     """
     listed = in_scope(manifest, root, output_dir, depth)
     name = P.basename(F.col("path"))
-    routed = listed.select(
+    # Both halves are counted and joined back, so what is listed is read several times: paths only, written once.
+    routed = session.written(listed.select(
         "path", "input_seq", C.route(name).alias("backend"),
-        facts.page_count(name, F.col("pdf_pages")).alias("pages"))
+        facts.page_count(name, F.col("pdf_pages")).alias("pages")), "routed")
     heavy = routed.where(F.col("backend") == fixed.HEAVY)
     light = routed.where(F.col("backend") == fixed.LIGHT)
     heavy = session.written(N.output_stems(heavy, input_root, flat=True, hot_rows=hot_rows), "heavy")
